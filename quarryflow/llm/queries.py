@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import pack
 from .sharding import byte_shards
+from .substring_dedup import remove_repeats
 from .topk import exact_top_k
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +30,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
