@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack
+from .quality import classify
 from .sharding import byte_shards
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .topk import exact_top_k
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,6 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_simhash": op6_simhash,
