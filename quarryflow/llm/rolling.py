@@ -20,7 +20,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         steps = [np.full(size, b, U) for b in (base, pow(base, -1, 2**64))]
         for s in steps:
             s[0] = 1
@@ -46,7 +46,7 @@ def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bas
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def in_portions(texts: Sequence[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def in_portions(texts: Sequence[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters, a longer text alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
