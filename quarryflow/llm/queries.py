@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contaminated
 from .html_extract import extract_pages
+from .license_scan import scan_licenses
 from .packing import pack
 from .pii import find_pii
 from .quality import classify
@@ -26,6 +27,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_html_extraction": op4_html_extraction,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_simhash": op6_simhash,

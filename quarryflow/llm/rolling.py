@@ -6,7 +6,7 @@ look-ups; a finaliser then spreads the bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -61,8 +61,9 @@ def in_portions(texts: Sequence[str], most: int = 200_000) -> Iterator[tuple[int
 class Words:
     """The words of some texts, side by side: `doc` numbers each word's text, `hash` its letters."""
 
-    def __init__(self, texts: Sequence[str]):
+    def __init__(self, texts: Sequence[str], fold: Callable[[np.ndarray], np.ndarray] | None = None):
         points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le"), np.uint32)
+        points = fold(points) if fold else points
         space = (points == 32) | ((points >= 9) & (points <= 13))
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
