@@ -1,64 +1,24 @@
-"""What several operators share: scratch tables, word patterns, global positions."""
+"""What several operators share: word patterns, table access, Arrow batch sizes."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import drop_stored, shared_dir, store, with_positions
+
+__all__ = ["WORD", "drop_stored", "lookup", "release_shuffles", "shared_dir", "small_arrow_batches", "store", "table", "with_positions", "words"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Without `spark.checkpoint.dir` only a local master can go on, since there
-    all tasks run on this machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quarryflow-")
-    return _local_dirs[app]
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
-
-    It cuts the lineage, so a lost executor costs the tasks it ran and no more,
-    and later plans see a plain scan.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarryflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table that `store` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner see that finished plans are unreachable.
 
@@ -85,31 +45,6 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def with_positions(df: DataFrame, order: Sequence[str], size: str | None = None, name: str = "ordered") -> DataFrame:
-    """Adds `row_pos` (from 0) and, given `size`, `offset` (the sizes before) in a global order.
-
-    Rows are dealt by ranges of the order, each partition's totals (a row for
-    each partition) become prefix sums, and a running window inside each
-    partition does the rest. No partition sees more than its range.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
-    total = F.sum(size) if size else F.lit(0)
-    base_rows = base_size = 0
-    bases = []
-    for part, n, s in sorted(dealt.groupBy("__part").agg(F.count("*"), total).collect()):
-        bases.append((part, base_rows, base_size))
-        base_rows, base_size = base_rows + n, base_size + (s or 0)
-    before = spark.createDataFrame(bases, "__part int, __rows long, __size long")
-    w = Window.partitionBy("__part").orderBy(*order)
-    out = dealt.join(F.broadcast(before), "__part").withColumn("row_pos", F.col("__rows") + F.row_number().over(w) - 1)
-    if size:
-        upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn("offset", F.col("__size") + upto - F.col(size))
-    return out.drop("__part", "__rows", "__size")
-
-
 def lookup(key: Column, values: dict) -> Column:
     """A few constants by key, as a CASE expression."""
     out = F.lit(None)

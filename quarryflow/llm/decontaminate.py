@@ -37,13 +37,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def shingled(df: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """keep, n_words and shingles (hashes of five words each); rows with fewer words are left out."""
-    word = F.array_remove(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), "")
-    hashed = df.filter(F.col(text).isNotNull()).select(*keep, F.transform(word, lambda w: F.xxhash64(w)).alias("w"))
-    hashed = hashed.filter(F.size("w") >= SHINGLE)
-    w = F.col("w")
-    five = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
+    """keep, n_words and shingles (hashes of five words each; none for null and shorter texts).
+
+    No lambda refers to another array, and nothing filters on the arrays: the
+    optimizer would copy what they are made from into the lambda or the filter
+    and work it out again for each word.
+    """
+    word = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
+    hashed = df.select(*keep, F.transform(word, lambda w: F.xxhash64(w)).alias("w"))
     names = [c for c in hashed.columns if c != "w"]
+    n = F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0))
+    side_by_side = F.arrays_zip(*[F.slice("w", j + 1, n).alias(f"w{j}") for j in range(SHINGLE)])
+    five = F.transform(side_by_side, lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(SHINGLE)]))
     return hashed.select(*names, F.size("w").alias("n_words"), five.alias("shingles"))
 
 
@@ -88,13 +93,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     radius is wide for the threshold: windows at 0.8 differ from their item in
     about 10 of 64 bits.
     """
-    items = store(shingled(benchmark, [F.monotonically_increasing_id().alias("item"), F.col("item_id")]).filter(F.size("shingles") < 2**15), "leaks-items")
+    items = store(shingled(benchmark, [F.monotonically_increasing_id().alias("item"), F.col("item_id")]), "leaks-items").filter(F.size("shingles").between(1, 2**15 - 1))
     index = store(items.select("item", "item_id", "n_words", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).groupBy("item", "item_id", "n_words", "n", "h").agg(F.count("*").alias("weight")), "leaks-index")
     n_index = index.count()
     shared = small(index.select("item", "n", "h"), n_index)
 
     every = shingled(docs, doc_keys())
-    hits = every.select("did", "tag", "n_words", F.posexplode("shingles").alias("pos", "h")).join(shared, "h")
+    hits = every.select("did", "tag", "n_words", F.posexplode_outer("shingles").alias("pos", "h")).join(shared, "h")
     by_pair = hits.groupBy("did", "tag", "n_words", "item", "n").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
     last = F.greatest(F.col("n_words") - (F.col("n") + SHINGLE - 1), F.lit(0))
     full = F.least(F.col("n"), F.col("n_words") - SHINGLE + 1)  # shingles of the last window
@@ -110,7 +115,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     named = store(windows.select("did", "tag").distinct(), "leaks-docs")
     texts = docs.filter("text IS NOT NULL").select(*doc_keys(), "text").join(named, ["did", "tag"], "left_semi").dropDuplicates(["did", "tag"])
     texts = shingled(texts, [F.col("did"), F.col("tag")])
-    placed = windows.join(texts, ["did", "tag"]).select("did", "tag", "start", "n", F.explode(F.slice("shingles", F.col("start") + 1, F.col("n"))).alias("h"))
+    placed = windows.join(texts, ["did", "tag"]).select("did", "tag", "start", "n", F.explode_outer(F.slice("shingles", F.col("start") + 1, F.col("n"))).alias("h"))
     window = ["did", "tag", "start", "n"]
     counted = store(placed.groupBy(*window, "h").agg(F.count("*").alias("weight")), "leaks-shingles")
 

@@ -29,7 +29,7 @@ from .rolling import U, Words, in_portions, mix
 class Settings:
     """Parameters. sample_per_class bounds the labelled rows that a fit uses."""
 
-    sample_per_class: int = 1500
+    sample_per_class: int = 1000
     buckets: int = 1 << 17
     width: int = 12
     epochs: int = 6
