@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Anything but letters, digits and underscore, in Unicode's sense.
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -80,7 +81,7 @@ def api_endpoint(base: Column | str, path: str) -> Column:
 # Markup
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(x: pd.Series) -> pd.Series:
     """All character references, decoded once."""
     return x.map(lambda s: None if s is None else html.unescape(s))
@@ -103,7 +104,7 @@ def strip_abstract_label(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)^abstract\.?\s*", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_name(x: pd.Series) -> pd.Series:
     """NFKC, case-folded, word characters alone."""
     return x.map(lambda s: re.sub(r"[^\w]", "", unicodedata.normalize("NFKC", s or "").casefold()))
