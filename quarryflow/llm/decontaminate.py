@@ -87,7 +87,7 @@ def block_keys(radius: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 24) -> DataFrame:
     """did, tag, item_id, start, n_words, hamming, similarity: the best window for each document and item.
 
-    Ties go to the earliest window. Null texts and texts of fewer than five
+    Ties go to the earliest window of those in step 2. Null texts and texts of fewer than five
     words, of documents or items, match nothing; a document shorter than an item
     is one window. Equal rows share a result; items of one id count each. The
     radius is wide for the threshold: windows at 0.8 differ from their item in

@@ -72,7 +72,7 @@ def _balanced(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings) ->
     known = labels.filter(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q = 0 OR q = 1")
     part = [known.filter(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_per_class) for q in (0, 1)]
     chosen = part[0].unionByName(part[1])  # 2 * sample_per_class rows at most, so it can be broadcast
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("q").cast("int").alias("q"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("q").cast("int").alias("q"))
 
 
 @dataclass

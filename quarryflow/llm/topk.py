@@ -87,7 +87,8 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 3
     find each other. Vectors null, or holding null or non-finite components, and
     rows with a null id take no part; an empty vector scores zero; vectors of
     unlike length are compared as if the shorter one ended in zeros. Fewer than
-    k candidates give fewer rows. Further columns are ignored.
+    k candidates give fewer rows. Scores are 64-bit integers and must fit in them.
+    Further columns are ignored.
     """
     rows = store(quantised(vectors), "topk-vectors")
     n, n_queries, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("q"))).first()
