@@ -12,6 +12,7 @@ join them. Keys with many fingerprints are split into chunks that meet pairwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,11 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, store
 from .components import connected_components
+from .rolling import WORD_BASE, Words, in_portions, mix, stretch_hashes
 
 #: Fingerprints of one key that meet in one task; larger sets are split into chunks of half.
 MEET = 4096
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit, of rows of 64-bit words; summed in bytes, 255 rows at a time."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    parts = np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8)
+    return parts.sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+
+
 def fingerprint(text: str, shingle: int = 4) -> int:
     """64 bits by majority over the XXH64 (seed 42) of word shingles, as a signed integer."""
     words = text.encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone splits
@@ -42,8 +52,7 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     digest, starts = xxhash.xxh64_intdigest, starts[:n].tolist()
     for lo in range(0, n, 16384):
         hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[lo : lo + 16384], last[lo : lo + 16384], strict=True)), np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int32)
+        counts += bit_counts(hashes[:, None])
     majority = np.packbits(2 * counts > n, bitorder="little")
     return int(majority.view(np.int64)[0])
 
@@ -60,10 +69,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row i holds bit i of all fingerprints, 64 lanes a word."""
+    """Bit planes of fingerprints (rows of 64-bit words): row i holds bit i of all, 64 lanes a word."""
     lanes = -(-len(fps) // 64) * 64
-    bits = np.zeros((lanes, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.zeros((lanes, 64 * fps.shape[1]), np.uint8)
+    bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -72,20 +81,21 @@ def bit_sliced_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     vertical = planes(fps)
     n, lanes = len(fps), vertical.shape[1]
     width = (radius + 1).bit_length()
+    every = max(8, len(vertical) // 16)
     left, right = [], []
-    step = max(1, 1 << 18 >> max(0, lanes - 1).bit_length())
+    step = max(1, 1 << 16 >> max(0, lanes - 1).bit_length())
     for lo in range(0, n, step):
         rows = np.arange(lo, min(n, lo + step))
         counters = np.zeros((width, len(rows), lanes), np.uint64)
         over = np.zeros((len(rows), lanes), np.uint64)
-        for bit in range(64):
-            flip = -((fps[rows] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
+        for bit in range(len(vertical)):
+            flip = -((fps[rows, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64)
             carry = vertical[bit][None, :] ^ flip.view(np.uint64)[:, None]
             for c in counters:
                 c ^= carry
                 carry = carry & ~c  # a counter bit that fell from 1 to 0 carries on
             over |= carry
-            if bit % 8 == 7 and bit > radius:
+            if (bit + 1) % every == 0 and bit > radius:
                 over |= _exceeds(counters, radius)
                 alive = ~(over == np.uint64(2**64 - 1)).all(1)
                 if not alive.any():
@@ -132,35 +142,51 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _links(radius: int):
-    def linked(fps: np.ndarray) -> pd.DataFrame:
-        fps = np.unique(fps)
-        root = forest(len(fps), *bit_sliced_pairs(fps, radius))
-        at = np.flatnonzero(root != np.arange(len(fps)))
-        return pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)})
+    def linked(nodes: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+        nodes, at = np.unique(nodes, return_index=True)
+        root = forest(len(nodes), *bit_sliced_pairs(fps[at], radius))
+        at = np.flatnonzero(root != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[at], "b": nodes[root[at]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order of their set; sets are gathered into blocks, and none is parted."""
-        held: list[np.ndarray] = []
-        held_rows, last = 0, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, last = 0, None
         for pdf in batches:
-            fps = pdf["fp"].to_numpy().view(np.uint64)
+            nodes = pdf["node"].to_numpy()
+            fps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
             names = pdf[["key", "lo", "hi"]].to_numpy()
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
-            starts = [0, *cuts]
-            for s, e in zip(starts, [*cuts, len(fps)], strict=True):
+            for s, e in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
                 name = tuple(names[s])
-                if name != last and held_rows >= 512:
-                    yield linked(np.concatenate(held))
-                    held, held_rows = [], 0
+                if name != last and rows >= 512:
+                    yield linked(*map(np.concatenate, zip(*held, strict=True)))
+                    held, rows = [], 0
                 last = name
-                held.append(fps[s:e])
-                held_rows += e - s
+                held.append((nodes[s:e], fps[s:e]))
+                rows += e - s
         if held:
-            yield linked(np.concatenate(held))
+            yield linked(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
+def meet(keyed: DataFrame, radius: int, name: str) -> DataFrame:
+    """Links a, b among the nodes that share a key. keyed: node, bits (the fingerprint's bytes), key.
+
+    Keys of one node alone go. A key with more than MEET nodes is split into
+    chunks, and each pair of chunks is a set of its own.
+    """
+    keyed = store(keyed, f"{name}-keys")
+    met = store(keyed.groupBy("key").count().filter("count > 1"), f"{name}-sets")
+    chunks = F.when(F.col("count") <= MEET, 1).otherwise(F.ceil(F.col("count") / (MEET // 2)).cast("int"))
+    pairs = keyed.join(met, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0)))))
+    sets = pairs.select("node", "bits", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = sets.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInPandas(_links(radius), "a long, b long")
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """The bits of each choice of blocks - radius blocks, as signed 64-bit masks."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
@@ -170,21 +196,18 @@ def block_masks(radius: int, blocks: int) -> list[int]:
 
 
 def near_links(unique: DataFrame, radius: int = 4) -> DataFrame:
-    """Links a, b between the fingerprints of column fp that keep all their components together."""
+    """Links a, b between the 64-bit fingerprints of column fp that keep all their components together."""
     n = unique.count()
     # more blocks make more keys and smaller sets: about 32 chance meetings at most
     blocks = next((b for b in range(radius + 1, radius + 5) if n / 2 ** (64 * (b - radius) // b) <= 32), radius + 4)
     keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(block_masks(radius, blocks))])
-    keyed = store(unique.select("fp", F.explode(keys).alias("key")), "simhash-keys")
-    met = store(keyed.groupBy("key").count().filter("count > 1"), "simhash-sets")
-    chunks = F.ceil(F.col("count") / (MEET // 2)).cast("int")
-    chunks = F.when(F.col("count") <= MEET, 1).otherwise(chunks)
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = keyed.join(met, "key").withColumn("chunks", chunks).withColumn("own", own)
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0)))))
-    sets = pairs.select("fp", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    dealt = sets.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInPandas(_links(radius), "a long, b long")
+    keyed = unique.select(F.col("fp").alias("node"), _little_endian("fp").alias("bits"), F.explode(keys).alias("key"))
+    return meet(keyed, radius, "simhash")
+
+
+def _little_endian(c: str) -> Column:
+    """The eight bytes of a long, lowest first."""
+    return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 16, "0"), 15 - 2 * i, 2) for i in range(8)]))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -210,13 +233,95 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The documents left when each component keeps the one with the least doc_id.
+WIDE = 8
+_SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % 2**64 for i in range(WIDE)], np.uint64)
+
+
+def ascii_lower(points: np.ndarray) -> np.ndarray:
+    return np.where((points >= 65) & (points <= 90), points + 32, points)
+
+
+def wide_fingerprints(texts: list[str], shingle: int = 5) -> list[bytes]:
+    """512 bits of each text by majority over its word shingles; eight hashes of a shingle give 64 bits each."""
+    out = []
+    for lo, hi in in_portions(texts):
+        words = Words(texts[lo:hi], ascii_lower)
+        hashes, _ = words.windows(shingle)
+        for d in range(hi - lo):
+            first, end = words.doc_from[d], words.doc_from[d + 1]
+            n = end - first
+            if not n:
+                out.append(bytes(8 * WIDE))
+                continue
+            h = hashes[first : end - shingle + 1] if n >= shingle else stretch_hashes(words.hash[first:end], np.array([0]), np.array([n]), WORD_BASE)
+            counts = np.zeros(64 * WIDE, np.int64)
+            for at in range(0, len(h), 4080):
+                counts += bit_counts(mix(h[at : at + 4080, None] + _SALTS[None, :]))
+            out.append(np.packbits(2 * counts > len(h), bitorder="little").tobytes())
+    return out
+
+
+def similar_links(rows: DataFrame, similarity: float = 0.8, miss: float = 0.005) -> DataFrame:
+    """Links between nodes of 512-bit fingerprints (columns node, bits) whose shingles are similar.
+
+    Texts of weighted Jaccard s share 2 s / (1 + s) of their shingles, the cosine
+    of their counts, and a bit differs with probability acos(cosine) / pi. The
+    radius is that share of the bits and two standard deviations. Keys are
+    random choices of bits, as many as let a pair at the threshold miss all of
+    them with probability `miss`; their length follows the number of rows, so
+    that about 64 rows meet by chance.
+    """
+    bits = 64 * WIDE
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.floor(bits * differs + 2 * math.sqrt(bits * differs * (1 - differs)))
+    length = max(8, math.ceil(math.log2(max(2, rows.count()) / 64)))
+    n_keys = math.ceil(math.log(miss) / math.log(1 - (1 - differs) ** length))
+    rng = np.random.default_rng(17)
+    places = np.array([rng.choice(bits, length, replace=False) for _ in range(n_keys)])
+    weights = (1 << np.arange(length)).astype(np.int64)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = np.unpackbits(np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
+            values = got[:, places].astype(np.int64) @ weights * n_keys + np.arange(n_keys)
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), n_keys), "bits": np.repeat(pdf["bits"].to_numpy(), n_keys), "key": values.ravel()})
+
+    return meet(rows.mapInPandas(keys, "node long, bits binary, key long"), radius, "similar")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """doc_id, component_id of every row: near copies by the wide fingerprints of five-word shingles.
+
+    Rows that `near_duplicates` links by its 64-bit fingerprints are linked too,
+    and equal fingerprints of either kind. Null ids never name a component.
+    """
+    small_arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": pdf["node"], "fp": [fingerprint(t) for t in texts], "bits": wide_fingerprints(texts, shingle)})
+
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = store(texts.mapInPandas(run, "doc_id long, node long, fp long, bits binary"), "similar-rows")
+    narrow = store(rows.groupBy("fp").agg(F.min("node").alias("node")), "similar-narrow")
+    wide = store(rows.groupBy("bits").agg(F.min("node").alias("node")), "similar-wide")
+    links = near_links(narrow, radius).join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = [rows.select("node", k).join(firsts.select(k, F.col("node").alias("b")), k).filter("node <> b").select(F.col("node").alias("a"), "b") for k, firsts in (("fp", narrow), ("bits", wide))]
+    edges = store(links.unionByName(similar_links(wide, similarity)).unionByName(alike[0]).unionByName(alike[1]), "similar-links")
+    roots = store(connected_components(edges), "similar-roots")
+    placed = store(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-placed")
+    least = store(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
+    return placed.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """The documents left when each group of near copies keeps the one with the least doc_id.
 
     Of repeated rows of that id one stays. Rows with a null id cannot be told
     apart by id; they stay.
     """
-    found = near_duplicates(docs, radius, shingle)
+    found = similar_groups(docs, similarity, shingle, radius)
     kept = store(found.filter("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")

@@ -28,10 +28,25 @@ def test_stages_take_effect(spark):
     clean = [i for i, q in truth.items() if q == 1]
     assert sum(i in ids["quality"] for i in clean) > 0.97 * len(clean)
 
-    groups = Counter(r.component_id for r in simhash.near_duplicates(after["near_dedup"]).collect())
-    assert set(groups.values()) == {1}
-    named = {r.doc_id: r.component_id for r in simhash.near_duplicates(after["quality"]).collect()}
-    assert ids["near_dedup"] == set(named.values())
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(after["quality"]).collect()}
+    assert ids["near_dedup"] == set(found.values())
+    shingles = {}
+    for r in after["quality"].collect():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r.text).split()
+        shingles[r.doc_id] = Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    by_shingle = {}
+    for i, s in shingles.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    pairs = {(a, b) for group in by_shingle.values() for a in group for b in group if a < b}
+    similar = {p: (shingles[p[0]] & shingles[p[1]]).total() / (shingles[p[0]] | shingles[p[1]]).total() for p in pairs}
+    close = [p for p, x in similar.items() if x >= 0.8]
+    assert len(close) > 50
+    assert sum(found[a] == found[b] for a, b in close) >= 0.98 * len(close)
+    most = Counter()
+    for (a, b), x in similar.items():
+        most[a], most[b] = max(most[a], x), max(most[b], x)
+    assert all(most[i] > 0.6 for i in ids["quality"] - ids["near_dedup"])
 
     leaked = {r.doc_id for r in decontaminate.contaminated(after["near_dedup"], bench).collect()}
     assert leaked
