@@ -25,7 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +57,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            did, tag = pdf["did"].to_numpy(), pdf["tag"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
             for lo, hi in in_portions(texts):
                 words, h, chosen, _, _ = _anchored(texts[lo:hi], window)
                 at = np.flatnonzero(chosen)
@@ -68,7 +68,7 @@ def _anchor_rows(window: int):
                 same = doc[1:] == doc[:-1]
                 gap = np.zeros(len(at), np.int32)
                 gap[:-1] = np.where(same, at[1:] - at[:-1], 0)
-                yield pd.DataFrame(
+                yield pa.RecordBatch.from_pydict(
                     {
                         "anchor": _signed(a), "did": did[lo:hi][doc], "tag": tag[lo:hi][doc], "pos": (at - words.doc_from[doc]).astype(np.int32),
                         "gap": gap, "next": _signed(np.concatenate((a[1:], a[:1]))),
@@ -99,10 +99,10 @@ def _span_rows(window: int):
     """Settled spans and windows to verify, of documents with repeated anchors."""
     k = window // 2 + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, marks = pdf["text"].tolist(), pdf["marks"].tolist()
-            did, tag = pdf["did"].to_numpy(), pdf["tag"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, marks = batch.column("text").to_pylist(), batch.column("marks")
+            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
             for lo, hi in in_portions(texts):
                 words, h, _, least, ok = _anchored(texts[lo:hi], window)
                 n = len(ok)
@@ -110,7 +110,7 @@ def _span_rows(window: int):
                     continue
                 known, solid = [], []
                 for d in range(hi - lo):
-                    m = np.sort(np.asarray(marks[lo + d], np.int64))
+                    m = np.sort(marks[lo + d].values.to_numpy())
                     known.append((m >> 1) + words.doc_from[d])
                     solid.append(m & 1)
                 at, edge = np.concatenate(known), np.flatnonzero(np.concatenate(solid))
@@ -128,7 +128,7 @@ def _span_rows(window: int):
                 doc = words.doc[np.concatenate((spans[:, 0], todo))]
                 start = np.concatenate((spans[:, 0], todo)) - words.doc_from[doc]
                 length = np.concatenate((spans[:, 1] - spans[:, 0], np.full(len(todo), window)))
-                yield pd.DataFrame(
+                yield pa.RecordBatch.from_pydict(
                     {
                         "one": np.concatenate((np.zeros(len(spans), np.int64), _signed(one))),
                         "two": np.concatenate((np.zeros(len(spans), np.int64), _signed(two))),
@@ -145,23 +145,26 @@ def _window_has(repeated: np.ndarray, h: np.ndarray, least: np.ndarray, width: i
     return np.isin(least, np.unique(h[repeated])) & (least != MOST)
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         n_words, n_removed, digests, kept_texts = [], [], [], []
-        for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans"), strict=True):
             words = text.encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
-            if spans is not None:
-                s = np.asarray(spans, np.int64)
+            if spans.is_valid:
+                s = spans.values.to_numpy()
                 np.add.at(gone, s >> 32, 1)
                 np.add.at(gone, (s >> 32) + (s & 0xFFFFFFFF), -1)
             cut = np.cumsum(gone)[:-1] > 0
-            kept = b" ".join([w for w, c in zip(words, cut, strict=True) if not c] if cut.any() else words)
+            kept = b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if cut.any() else words)
             n_words.append(len(words))
             n_removed.append(int(cut.sum()))
             digests.append(hashlib.sha256(kept).hexdigest())
             kept_texts.append(kept.decode())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n_words, "n_removed": n_removed, "kept_sha256": digests, "kept": kept_texts})
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+        )
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -175,14 +178,14 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     spark = docs.sparkSession
     small_arrow_batches(spark)
     rows = _keyed(docs).drop("doc_id")
-    anchors = store(rows.mapInPandas(_anchor_rows(window), "anchor long, did long, tag int, pos int, gap int, next long"), "substring-anchors")
+    anchors = store(rows.mapInArrow(_anchor_rows(window), "anchor long, did long, tag int, pos int, gap int, next long"), "substring-anchors")
     graph = store(_graph(anchors), "substring-graph")
     release_shuffles(spark)
     marks = anchors.join(graph, "anchor").groupBy("did", "tag").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("solid")).alias("marks"))
     marks = store(marks, "substring-marks")
     drop_stored(anchors)
     release_shuffles(spark)
-    found = store(rows.join(marks, ["did", "tag"]).mapInPandas(_span_rows(window), "one long, two long, verify boolean, did long, tag int, start int, length int"), "substring-windows")
+    found = store(rows.join(marks, ["did", "tag"]).mapInArrow(_span_rows(window), "one long, two long, verify boolean, did long, tag int, start int, length int"), "substring-windows")
     release_shuffles(spark)
     repeated = store(found.filter("verify").groupBy("one", "two").count().filter("count >= 2").drop("count"), "substring-repeated")
     verified = found.filter("verify").join(repeated, ["one", "two"])
@@ -205,4 +208,4 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     per_doc = store(per_doc, "substring-spans")
     release_shuffles(spark)
     joined = _keyed(docs).join(per_doc, ["did", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
