@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,27 @@ def read_version(spark: SparkSession, root: str, name: str) -> tuple[DataFrame,
     return spark.read.parquet(f"{root}/{name}/v={version}"), version
 
 
+RUNS = "run_id string, profile string, from_date string, to_date string, started_at string, finished_at string, counts map<string, long>, errors string"
+
+
+def start_run(spark: SparkSession, path: str, profile: str, from_date: str, to_date: str, now: str) -> str:
+    """Appends an open run to the ledger and returns its id; a crash leaves it without an end."""
+    run_id = uuid.uuid4().hex
+    spark.createDataFrame([(run_id, profile, from_date, to_date, now, None, None, None)], RUNS).coalesce(1).write.mode("append").parquet(path)
+    return run_id
+
+
+def finish_run(spark: SparkSession, path: str, run_id: str, counts: dict[str, int], errors: str, now: str) -> None:
+    spark.createDataFrame([(run_id, None, None, None, None, now, counts, errors)], RUNS).coalesce(1).write.mode("append").parquet(path)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger with one row for each run: the rows of its start and its end folded."""
+    rows = spark.read.schema(RUNS).parquet(path)
+    cols = [c for c in rows.columns if c != "run_id"]
+    return rows.groupBy("run_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
 def check_feedback(records: DataFrame) -> DataFrame:
     """Adds status, rating_value and reason (null if the record is sound), before papers are looked up."""
     rating = F.nullif(text_or_empty("rating"), F.lit(""))

@@ -6,15 +6,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scratch import shared_dir
 from ..operators import dedupe, judging, ranking, screening, state, stats
 from ..operators.enrich import enrich
 from ..sources.records import crossref_records, openalex_works, semantic_records
+from ..streaming.state_stream import lookback_counts, stream_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -580,3 +583,26 @@ def q_triage_flagship(spark, sf_dir):
     candidates = tiered(spark, sf_dir).filter(screening.is_candidate()).select("ord", "title", j.alias("j"), F.lit(None).cast("double").alias("semantic_score"))
     judged = candidates.select("ord", "title", "semantic_score", "j.priority", "j.relevance_score")
     return ranking.select_capacity(judged, CAPS, WEEKLY).select("ord", "title", "priority", "relevance_score")
+
+
+# Streaming
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY user_id""")
+def q_stream_upserts(spark, sf_dir):
+    """The state that a stream of events leaves when its micro-batches upsert it."""
+    source = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = stream.select("user_id", "event_type", F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"))
+    root = f"{shared_dir(spark)}/quarryflow/stream-{uuid.uuid4().hex}"
+    schema = "user_id long, event_type string, first_seen timestamp, last_seen timestamp, reading_status string"
+    stream_upserts(rows, root, "users", schema, ["user_id"], ["event_type"], {"reading_status": F.lit("new")}, f"{root}/checkpoint").awaitTermination()
+    found, _ = state.read_version(spark, root, "users")
+    return found.select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")])
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def q_daily_counts(spark, sf_dir):
+    """Tumbling one-day windows; the same function counts a stream."""
+    counted = lookback_counts(read(spark, sf_dir, "events"), "ts", "1 hour", "1 day", "event_type")
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -6,12 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quarryflow import cli
 from quarryflow.functions import text as X
 from quarryflow.operators import dedupe, judging, ranking, screening, state
 from quarryflow.operators.enrich import enrich
 from quarryflow.plans import outputs
 from quarryflow.plans.triage import Settings, translate, triage
-from quarryflow.sources import files, providers, records
+from quarryflow.sources import files, models, providers, records
 from quarryflow.streaming.state_stream import stream_upserts
 
 PAPERS = [
@@ -296,3 +297,40 @@ def test_versions_and_stream(spark, tmp_path):
     rows, version = state.read_version(spark, str(tmp_path / "state"), "papers")
     assert version >= 1
     assert sorted(r.key for r in rows.collect()) == ["a", "b"]
+
+
+def test_models_retry_and_keep_order(spark):
+    answers = iter(["no", json.dumps(GOOD), "x", "y"])
+
+    def post(url, payload):
+        if url.endswith("embeddings"):
+            return {"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}
+        return {"choices": [{"message": {"content": next(answers)}}]}
+
+    judge = models.chat_judge("b", "m", post)
+    assert judge(pd.Series(["p"])).tolist() == [json.dumps(GOOD)]
+    assert json.loads(judge(pd.Series(["p"]))[0]) == ["x", "y"]
+    assert models.encoder("b", "m", post)(pd.Series(["s", "t", "u"])).tolist() == [[1.0], [2.0], None]
+    assert models.chat_translator("b", "m", lambda u, p: 1 / 0)(pd.Series(["a", None])).tolist() == ["", ""]
+    assert not models.sound("{}", [])
+    assert models.sound(json.dumps(GOOD | {"related_project": "mine"}), ["mine"])
+
+
+def test_command_line(spark, found, tmp_path, capsys):
+    (tmp_path / "profile-kg.md").write_text("# P\n\n## Core keywords\n\n- scientific knowledge graph\n")
+    found.write.parquet(str(tmp_path / "found"))
+    base = ["--profile", str(tmp_path / "profile-kg.md"), "--out", str(tmp_path / "out"), "--records", str(tmp_path / "found")]
+    assert cli.main(["triage", *base, "--to-date", "2026-09-03"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["stats"]["count_a"] == 1
+    ledger = state.runs(spark, str(tmp_path / "out/runs")).collect()
+    assert [(r.run_id, r.to_date, r.finished_at is not None) for r in ledger] == [(out["run_id"], "2026-09-03", True)]
+    assert cli.main(["triage", *base, "--from-date", "2026-09-04", "--to-date", "2026-09-03"]) == 2
+    assert cli.main(["screen", *base[:2], "--records", str(tmp_path / "found"), "--out", str(tmp_path / "tiers")]) == 0
+    papers = spark.createDataFrame([(1, "s1", "new")], "id long, stable_id string, reading_status string")
+    state.write_version(papers, str(tmp_path / "st"), "papers", 1)
+    (tmp_path / "f.json").write_text(json.dumps([{"stable_id": "s1", "action": "read"}, {"stable_id": "s9"}]))
+    capsys.readouterr()
+    assert cli.main(["feedback", "--feedback", str(tmp_path / "f.json"), "--state", str(tmp_path / "st")]) == 1
+    assert json.loads(capsys.readouterr().out) == {"imported": 1, "errors": ["record 1: paper not found"]}
+    assert state.read_version(spark, str(tmp_path / "st"), "papers")[0].first().reading_status == "read"
