@@ -30,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/quarryflow/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application, once its results are written."""
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -37,18 +52,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     and later plans see a plain scan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarryflow/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that `store` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def with_positions(df: DataFrame, order: Sequence[str], size: str | None = None, name: str = "ordered") -> DataFrame:

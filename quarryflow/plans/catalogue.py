@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.scratch import shared_dir
+from ..functions.scratch import scratch_dir
 from ..operators import dedupe, judging, ranking, screening, state, stats
 from ..operators.enrich import enrich
 from ..sources.records import crossref_records, openalex_works, semantic_records
@@ -594,7 +594,7 @@ def q_stream_upserts(spark, sf_dir):
     source = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select("user_id", "event_type", F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"))
-    root = f"{shared_dir(spark)}/quarryflow/stream-{uuid.uuid4().hex}"
+    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = "user_id long, event_type string, first_seen timestamp, last_seen timestamp, reading_status string"
     stream_upserts(rows, root, "users", schema, ["user_id"], ["event_type"], {"reading_status": F.lit("new")}, f"{root}/checkpoint").awaitTermination()
     found, _ = state.read_version(spark, root, "users")
