@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import drop_stored, shared_dir, store, with_positions
 
-__all__ = ["WORD", "drop_stored", "lookup", "release_shuffles", "shared_dir", "small_arrow_batches", "store", "table", "with_positions", "words"]
+__all__ = ["WORD", "drop_stored", "lookup", "map_texts", "release_shuffles", "shared_dir", "small_arrow_batches", "store", "table", "with_positions", "words"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +39,25 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def map_texts(df: DataFrame, keep: list[str], inputs: list[str], run: Callable[..., dict[str, Any]], added: dict[str, str]) -> DataFrame:
+    """keep and the columns that `run` makes of the input columns' lists, one value for each row.
+
+    Kept columns stay in Arrow, so a null beside a large id does not turn it
+    into a float. added: the new columns' Spark types.
+    """
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = run(*[batch.column(c).to_pylist() for c in inputs])
+            arrays = [batch.column(c) for c in keep] + [pa.array(got[c], kinds[t]) for c, t in added.items()]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, *added])
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keep), *(f"{c} {t}" for c, t in added.items())])
+    return df.mapInArrow(each, schema)
+
+
 def words(text: str | Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(WORD), F.lit(0))

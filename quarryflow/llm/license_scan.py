@@ -15,7 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,14 +190,16 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
     small_arrow_batches(docs.sparkSession)
     scanner = Scanner(Index(templates or TEMPLATES), coverage, band)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column("text").to_pylist(), []
             for lo, hi in in_portions(texts):
-                rows = [(lo + d, *scanner.index.names[t], round(c, 6), n, s, e) for d, t, c, n, s, e in scanner.scan(texts[lo:hi])]
-                out = pd.DataFrame(rows, columns=["i", "license", "form", "coverage", "matched_words", "start", "end"])
-                out.insert(0, "doc_id", ids.iloc[out.pop("i").astype(int)].to_numpy())
-                yield out.astype({"license": str, "form": str, "coverage": float, "matched_words": "int64", "start": "int64", "end": "int64"})
+                found += [(lo + d, *scanner.index.names[t], round(c, 6), n, s, e) for d, t, c, n, s, e in scanner.scan(texts[lo:hi])]
+            columns = list(zip(*found, strict=True)) if found else [()] * 7
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            ids = batch.column("doc_id").take(pa.array(columns[0], pa.int64()))
+            arrays = [ids, *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "license", "form", "coverage", "matched_words", "start", "end"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, license string, form string, coverage double, matched_words long, start long, end long")
+    return rows.mapInArrow(run, "doc_id long, license string, form string, coverage double, matched_words long, start long, end long")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import map_texts, small_arrow_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -230,19 +230,18 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     small_arrow_batches(docs.sparkSession)
     model = learn(count_votes(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                base, every = all_spans(text, model, least)
-                n = Counter(k for k, _, _ in base)
-                out.append((n[0], n[1], n[2], n[3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            got = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            got.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield got
-
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    def run(texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in columns}
+        for text in texts:
+            base, every = all_spans(text, model, least)
+            n = Counter(k for k, _, _ in base)
+            row = (n[0], n[1], n[2], n[3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every))
+            for c, v in zip(columns, row, strict=True):
+                out[c].append(v)
+        return out
+
+    columns = {**{f"n_{k}": "long" for k in KINDS}, "base_sha256": "string", "spans": "string"}
+    return map_texts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"], ["text"], run, columns)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, store
+from .common import map_texts, small_arrow_batches, store
 from .components import connected_components
 from .rolling import WORD_BASE, Words, in_portions, mix, stretch_hashes
 
@@ -61,11 +61,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (signed 64 bits) of every row."""
     small_arrow_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(t, shingle) for t in pdf["text"]]})
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return map_texts(texts, ["doc_id"], ["text"], lambda t: {"fp": [fingerprint(x, shingle) for x in t]}, {"fp": "long"})
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -76,9 +73,20 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def bit_sliced_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of fingerprints that differ in at most `radius` bits."""
+def bit_sliced_pairs(fps: np.ndarray, radius: int, first: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of fingerprints that differ in at most `radius` bits.
+
+    With first = (planes, limit) a pair is also abandoned if more than `limit` of
+    the first planes differ, and the distances of the few pairs left are counted
+    from whole fingerprints.
+    """
+    if first:
+        a, b = bit_sliced_pairs(np.ascontiguousarray(fps[:, : -(-first[0] // 64)]) & _low_bits(first[0]), first[1])
+        near = [np.bitwise_count(fps[a[i : i + 65536]] ^ fps[b[i : i + 65536]]).sum(1) <= radius for i in range(0, len(a), 65536)]
+        kept = np.concatenate(near) if near else np.empty(0, bool)
+        return a[kept], b[kept]
     vertical = planes(fps)
+    vertical = vertical[: np.flatnonzero(vertical.any(1)).max(initial=-1) + 1]  # planes of zeros tell nothing
     n, lanes = len(fps), vertical.shape[1]
     width = (radius + 1).bit_length()
     every = max(8, len(vertical) // 16)
@@ -115,6 +123,11 @@ def bit_sliced_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _low_bits(n: int) -> np.ndarray:
+    """A mask of the n lowest bits, in 64-bit words."""
+    return np.array([min(2**64 - 1, 2 ** max(0, n - 64 * i) - 1) for i in range(-(-n // 64))], np.uint64)
+
+
 def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter is over the radius, by comparison from the highest bit down."""
     more, same = np.zeros_like(counters[0]), np.full_like(counters[0], 2**64 - 1)
@@ -141,10 +154,10 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(radius: int):
+def _links(radius: int, first: tuple[int, int] | None):
     def linked(nodes: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         nodes, at = np.unique(nodes, return_index=True)
-        root = forest(len(nodes), *bit_sliced_pairs(fps[at], radius))
+        root = forest(len(nodes), *bit_sliced_pairs(fps[at], radius, first))
         at = np.flatnonzero(root != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[at], "b": nodes[root[at]]})
 
@@ -171,7 +184,7 @@ def _links(radius: int):
     return run
 
 
-def meet(keyed: DataFrame, radius: int, name: str) -> DataFrame:
+def meet(keyed: DataFrame, radius: int, name: str, first: tuple[int, int] | None = None) -> DataFrame:
     """Links a, b among the nodes that share a key. keyed: node, bits (the fingerprint's bytes), key.
 
     Keys of one node alone go. A key with more than MEET nodes is split into
@@ -184,7 +197,7 @@ def meet(keyed: DataFrame, radius: int, name: str) -> DataFrame:
     pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0)))))
     sets = pairs.select("node", "bits", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     dealt = sets.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInPandas(_links(radius), "a long, b long")
+    return dealt.mapInPandas(_links(radius, first), "a long, b long")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -266,15 +279,17 @@ def similar_links(rows: DataFrame, similarity: float = 0.8, miss: float = 0.005)
 
     Texts of weighted Jaccard s share 2 s / (1 + s) of their shingles, the cosine
     of their counts, and a bit differs with probability acos(cosine) / pi. The
-    radius is that share of the bits and two standard deviations. Keys are
-    random choices of bits, as many as let a pair at the threshold miss all of
-    them with probability `miss`; their length follows the number of rows, so
-    that about 64 rows meet by chance.
+    radius is that share of the bits and two standard deviations; of the first
+    80 bits, five deviations. Keys are random choices of bits, as many as let a
+    pair at the threshold miss all of them with probability `miss`; their length
+    follows the number of rows, so that about 512 rows, a block of the
+    comparison, meet by chance.
     """
     bits = 64 * WIDE
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.floor(bits * differs + 2 * math.sqrt(bits * differs * (1 - differs)))
-    length = max(8, math.ceil(math.log2(max(2, rows.count()) / 64)))
+    limit = math.floor(80 * differs + 5 * math.sqrt(80 * differs * (1 - differs)))
+    length = max(6, math.ceil(math.log2(max(2, rows.count()) / 512)))
     n_keys = math.ceil(math.log(miss) / math.log(1 - (1 - differs) ** length))
     rng = np.random.default_rng(17)
     places = np.array([rng.choice(bits, length, replace=False) for _ in range(n_keys)])
@@ -286,7 +301,7 @@ def similar_links(rows: DataFrame, similarity: float = 0.8, miss: float = 0.005)
             values = got[:, places].astype(np.int64) @ weights * n_keys + np.arange(n_keys)
             yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), n_keys), "bits": np.repeat(pdf["bits"].to_numpy(), n_keys), "key": values.ravel()})
 
-    return meet(rows.mapInPandas(keys, "node long, bits binary, key long"), radius, "similar")
+    return meet(rows.mapInPandas(keys, "node long, bits binary, key long"), radius, "similar", (80, limit))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
@@ -297,13 +312,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     """
     small_arrow_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": pdf["node"], "fp": [fingerprint(t) for t in texts], "bits": wide_fingerprints(texts, shingle)})
+    def run(texts: list[str]) -> dict[str, list]:
+        return {"fp": [fingerprint(t) for t in texts], "bits": wide_fingerprints(texts, shingle)}
 
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = store(texts.mapInPandas(run, "doc_id long, node long, fp long, bits binary"), "similar-rows")
+    rows = store(map_texts(texts, ["doc_id", "node"], ["text"], run, {"fp": "long", "bits": "binary"}), "similar-rows")
     narrow = store(rows.groupBy("fp").agg(F.min("node").alias("node")), "similar-narrow")
     wide = store(rows.groupBy("bits").agg(F.min("node").alias("node")), "similar-wide")
     links = near_links(narrow, radius).join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

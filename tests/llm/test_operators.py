@@ -318,6 +318,8 @@ def test_bit_slices_find_all_pairs(radius):
     fps = np.concatenate((fps, fps[:80] ^ (np.uint64(1) << r.integers(0, 64, 80).astype(np.uint64)) ^ (np.uint64(3) << r.integers(0, 62, 80).astype(np.uint64))))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= radius}
     assert set(zip(*simhash.bit_sliced_pairs(fps[:, None], radius), strict=True)) == want
+    wide = np.concatenate((fps[:, None], np.roll(fps, 0)[:, None]), axis=1)
+    assert set(zip(*simhash.bit_sliced_pairs(wide, 2 * radius, (70, 64)), strict=True)) == want
 
 
 @pytest.mark.parametrize("blocks", [5, 6, 8])
@@ -546,8 +548,9 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_large_ints_survive_null_ids(spark):
     big = 2**60 + 1
-    got = substring_dedup.remove_repeats(documents(spark, [(big, "a"), (None, "b")])).collect()
-    assert {r.doc_id for r in got} == {big, None}
-    assert {r.doc_id for r in pii.find_pii(documents(spark, [(big, "a"), (None, "b")])).collect()} == {big, None}
-    assert {r.doc_id for r in simhash.near_duplicates(documents(spark, [(big, "a"), (None, "b")])).collect()} == {big, None}
-    assert {r.doc_id for r in quality.classify(documents(spark, [(big, "a"), (None, "b")]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).select(F.col("doc_id")).collect()} == {big, None}
+    docs = documents(spark, [(big, "a"), (None, "b")]).coalesce(1)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(big, "http://a/", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    for got in (substring_dedup.remove_repeats(docs), pii.find_pii(docs), simhash.near_duplicates(docs), simhash.similar_groups(docs), quality.classify(docs, none), packing.pack(docs), license_scan.scan_licenses(documents(spark, [(big, "Released under the MIT License"), (None, "Released under the MIT License")]).coalesce(1))):
+        assert {r.doc_id for r in got.select(F.col("doc_id")).collect()} == {big, None}
+    assert {r.page_id for r in html_extract.extract_pages(pages).collect()} == {big, None}
