@@ -18,6 +18,13 @@ from pyspark.sql.types import StringType
 #: Anything but letters, digits and underscore, in Unicode's sense.
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
+#: The patterns that identifiers, slugs and abstracts are cleaned by, and how access tokens begin.
+DOI_RESOLVER = r"^https?://(dx\.)?doi\.org/"
+SLUG_BREAK = r"[^a-zA-Z0-9一-鿿]+"
+ABSTRACT_LABEL = r"(?i)^abstract\.?\s*"
+API_ENDPOINT = r"/(chat/completions|embeddings)$"
+SECRET = r"\b(?:sk-|s2k-|ghp_|github_pat_)[A-Za-z0-9_-]{20,}"
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -37,7 +44,7 @@ def first_filled(*xs: Column | str) -> Column:
 
 def normalize_doi(x: Column | str) -> Column:
     """Trimmed, lower case, without a resolver address in front; a `doi:` prefix stays."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(text_or_empty(x))), r"^https?://(dx\.)?doi\.org/", ""))
+    return F.trim(F.regexp_replace(F.lower(F.trim(text_or_empty(x))), DOI_RESOLVER, ""))
 
 
 def doi_url(doi: Column | str) -> Column:
@@ -56,7 +63,7 @@ def stable_id(doi: Column | str, title: Column | str) -> Column:
 
 
 def slugify(x: Column | str, most: int = 80) -> Column:
-    slug = F.regexp_replace(text_or_empty(x), r"[^a-zA-Z0-9一-鿿]+", "-")
+    slug = F.regexp_replace(text_or_empty(x), SLUG_BREAK, "-")
     slug = F.substring(F.lower(F.regexp_replace(slug, r"^-+|-+$", "")), 1, most)
     return F.when(slug == "", F.lit("item")).otherwise(slug)
 
@@ -71,7 +78,7 @@ def api_base(x: Column | str) -> Column:
     linked = F.regexp_extract(url, r"^\[[^\]]*\]\(([^)]+)\)$", 1)
     url = F.when(linked != "", linked).otherwise(url)
     url = F.regexp_replace(url, r"/+$", "")
-    return F.regexp_replace(F.regexp_replace(url, r"/(chat/completions|embeddings)$", ""), r"/+$", "")
+    return F.regexp_replace(F.regexp_replace(url, API_ENDPOINT, ""), r"/+$", "")
 
 
 def api_endpoint(base: Column | str, path: str) -> Column:
@@ -101,7 +108,7 @@ def strip_markup(x: Column | str, unescape=html_unescape) -> Column:
 
 
 def strip_abstract_label(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?i)^abstract\.?\s*", "")
+    return F.regexp_replace(x, ABSTRACT_LABEL, "")
 
 
 @F.pandas_udf(StringType())
@@ -201,10 +208,6 @@ def search_text(*xs: Column | str) -> Column:
     return F.lower(F.concat_ws(" ", *[text_or_empty(x) for x in xs]))
 
 
-#: Fixed value: how access tokens begin.
-SECRET = r"\b(?:sk-|s2k-|ghp_|github_pat_)[A-Za-z0-9_-]{20,}"
-
-
 def holds_secret(x: Column | str, known: list[str] | None = None) -> Column:
     text = text_or_empty(x)
     found = text.rlike(SECRET)

@@ -20,8 +20,13 @@ from ..functions.text import escape_table, escape_yaml, first_filled, joined_lis
 from ..operators.ranking import PRIORITIES, report_order
 
 #: The columns of the sheets and of the index.
-SHEET_FIELDS = ("title", "title_cn", "abstract", "abstract_cn", "publication_date", "venue", "authors", "doi", "doi_url", "source", "pool", "keyword_tier", "matched_keywords", "semantic_score", "relevance_score", "priority", "research_track", "why_relevant", "potential_use", "related_project", "recommended_action", "reading_status")
-INDEX_FIELDS = ("priority", "relevance_score", "title", "venue", "publication_date", "doi_url")
+SHEET_FIELDS = (
+    "priority", "relevance_score", "research_track", "related_project", "potential_use",
+    "recommended_action", "keyword_tier", "semantic_score", "publication_date", "venue",
+    "title_cn", "title", "authors", "research_question", "method_summary", "main_contributions",
+    "why_relevant", "abstract_cn", "abstract", "doi_url", "reading_status", "paper_id",
+)
+INDEX_FIELDS = ("paper_id", "priority", "relevance_score", "related_project", "title", "doi_url")
 
 
 def snapshot(df: DataFrame, root: str, profile: str, to_date: str, stage: str) -> str:
