@@ -18,14 +18,16 @@ def enrich(papers: DataFrame, works: DataFrame, ord: str = "ord", name: str = "o
     topics = ("primary_topic", "topic_subfield", "topic_field", "all_topics")
     found = works.withColumn("__doi", normalize_doi("doi")).filter("__doi <> ''").groupBy("__doi").agg(F.max(F.struct(F.col("abstract").alias("found"), *topics)).alias("w"))
     keyed = papers.drop(*topics).withColumn("__doi", F.nullif(normalize_doi("doi_raw"), F.lit("")))
+    # records without a DOI take no part in the shuffles: they would all have one key
+    named, bare = keyed.filter("__doi IS NOT NULL"), keyed.filter("__doi IS NULL").drop("__doi")
     last = F.row_number().over(Window.partitionBy("__doi").orderBy(F.desc(ord))) == 1
-    keyed = keyed.withColumn("__last", F.when(F.col("__doi").isNotNull(), last).otherwise(False))
-    joined = keyed.join(found, "__doi", "left").withColumn("w", F.when(F.col("__last"), F.col("w")))
+    joined = named.withColumn("__last", last).join(found, "__doi", "left").withColumn("w", F.when(F.col("__last"), F.col("w")))
     fill = (text_or_empty("abstract") == "") & (text_or_empty("w.found") != "")
-    return joined.withColumns(
+    filled = joined.withColumns(
         {
             "abstract_source": F.when(fill, F.lit(name)).otherwise(F.col("abstract_source")),
             "abstract": F.when(fill, F.col("w.found")).otherwise(F.col("abstract")),
             **{t: F.col(f"w.{t}") for t in topics},
         }
     ).drop("__doi", "__last", "w")
+    return filled.unionByName(bare, allowMissingColumns=True)
