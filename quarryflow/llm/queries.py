@@ -73,6 +73,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        win AS (SELECT u, s, md5(array_to_string(w[s + 1:s + 35], ' ')) AS k FROM (SELECT u, w, unnest(range(len(w) - 34)) AS s FROM d WHERE len(w) >= 35)),
+        rep AS (SELECT u, s FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT u, p FROM (SELECT u, unnest(range(s, s + 35)) AS p FROM rep)),
+        word AS (SELECT u, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+        kept AS (SELECT word.u, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (u, p) GROUP BY word.u),
+        n AS (SELECT u, count(*) AS removed FROM gone GROUP BY u)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (u) LEFT JOIN n USING (u)
+    """,
+    "op9_packing": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM documents),
+        pieces AS (SELECT doc_id, CAST(p AS INTEGER) AS piece, CAST(p * 2048 AS BIGINT) AS start_token, CAST(least(n - p * 2048, 2048) AS BIGINT) AS n_tokens
+                   FROM (SELECT doc_id, n, unnest(range(greatest((n + 2047) // 2048, 1))) AS p FROM d)),
+        h AS (SELECT n_tokens AS l, count(*) AS c FROM pieces WHERE n_tokens > 0 GROUP BY n_tokens),
+        nodes AS (SELECT 0 AS j, 0 AS l, 0 AS r, 0 AS t UNION ALL
+                  SELECT row_number() OVER (ORDER BY l), l, CAST(sum(c) OVER (ORDER BY l) AS BIGINT), CAST(sum(c * l) OVER (ORDER BY l) AS BIGINT) FROM h),
+        rounds AS (SELECT least(8, max(j)) AS most, max(j) AS m FROM nodes),
+        dp(b, j, best) AS (
+          SELECT 0, j, {'cost': CASE WHEN j = 0 THEN 0 ELSE 1000000000000 END, 'back': 0} FROM nodes
+          UNION ALL
+          SELECT dp.b + 1, y.j, min({'cost': CASE WHEN y.j = 0 THEN 0 ELSE dp.best.cost + (y.r - x.r) * y.l - (y.t - x.t) END, 'back': x.j})
+          FROM dp JOIN nodes x ON x.j = dp.j JOIN nodes y ON y.j > x.j OR (y.j = 0 AND x.j = 0), rounds WHERE dp.b < most GROUP BY dp.b + 1, y.j),
+        chain(b, j) AS (
+          SELECT most, m FROM rounds
+          UNION ALL SELECT CAST(dp.b - 1 AS BIGINT), dp.best.back FROM chain JOIN dp ON dp.b = chain.b AND dp.j = chain.j WHERE dp.best.back > 0 AND dp.b > 1),
+        bounds AS (SELECT DISTINCT nodes.l FROM chain JOIN nodes USING (j) WHERE j > 0),
+        placed AS (SELECT *, CASE WHEN n_tokens > 0 THEN (SELECT min(l) FROM bounds WHERE l >= n_tokens) END AS bucket FROM pieces),
+        caps AS (SELECT bucket, greatest(32768 // bucket, 1) AS room, count(*) AS k FROM placed WHERE bucket IS NOT NULL GROUP BY bucket),
+        bases AS (SELECT *, coalesce(sum((k + room - 1) // room) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM caps),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, piece, n_tokens) - 1 AS rank FROM placed)
+        SELECT doc_id, piece, start_token, n_tokens, CAST(ranked.bucket AS INTEGER) AS bucket_len, CAST(base + rank // room AS BIGINT) AS batch,
+               CAST(rank % room AS INTEGER) AS slot, CAST(ranked.bucket - n_tokens AS BIGINT) AS padding
+        FROM ranked LEFT JOIN bases USING (bucket)
+    """,
+    "op10_sharding": r"""
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                 lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+        t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        c AS (SELECT doc_id, md5(x) AS k, CAST(octet_length(encode(x)) + 1 AS BIGINT) AS size,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(x)), '..'),
+                    lambda b: CAST((instr('0123456789ABCDEF', b[1]) - 1) * 16 + instr('0123456789ABCDEF', b[2]) - 1 AS BIGINT))),
+                  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM t, tab),
+        o AS (SELECT *, row_number() OVER (ORDER BY k, doc_id, size, text_crc32) - 1 AS pos,
+                CAST(sum(size) OVER (ORDER BY k, doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM c),
+        total AS (SELECT CAST(sum(size) AS BIGINT) AS total FROM o),
+        target AS (SELECT n, n * total // 8 AS cut FROM total, (SELECT unnest(range(1, 8)) AS n)),
+        grp AS (SELECT k, min(before) AS lo, max(before + size) AS hi FROM o GROUP BY k),
+        near AS (SELECT n, cut, CASE WHEN abs(lo - cut) <= abs(hi - cut) THEN lo ELSE hi END AS edge FROM target JOIN grp ON lo <= cut AND cut < hi),
+        cuts AS (SELECT CASE WHEN abs(edge - cut) <= 0.01 * total / 8 THEN edge ELSE cut END AS cut FROM near, total),
+        s AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cuts.cut <= o.before) AS INTEGER) AS shard FROM o)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(pos - min(pos) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+    """,
+    # the pages' markup alone: one article each, h1 and p as blocks, four character references
+    "op4_html_extraction": r"""
+        WITH b AS (
+          SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(?:p|h1)>'),
+            lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+              '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM pages),
+        t AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+    """,
     "op8_decontamination": r"""
         WITH d0 AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
         d AS (SELECT *, row_number() OVER () AS u, len(w) AS nw FROM d0 WHERE len(w) >= 5),

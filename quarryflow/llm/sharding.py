@@ -28,7 +28,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -> Da
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_key"),
+        F.md5(text.cast("binary")).alias("text_key"),
     )
     placed = store(with_positions(rows, ["text_key", "doc_id", "size", "text_crc32"], "size", "shard-order"), "shard-offsets")
     total = placed.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 0
