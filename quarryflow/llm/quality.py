@@ -29,7 +29,7 @@ from .rolling import U, Words, in_portions, mix
 class Settings:
     """Parameters. sample_per_class bounds the labelled rows that a fit uses."""
 
-    sample_per_class: int = 1000
+    sample_per_class: int = 600
     buckets: int = 1 << 17
     width: int = 12
     epochs: int = 6
@@ -146,13 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "q": pdf["q"], "ids": ids, "counts": counts})
 
     allowed = F.lit(True) if learn is None else learn
-    rows = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary").toPandas()
-    rows = rows.sort_values(["doc_id", "ids"])
+    rows = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("q", "ascending"), ("ids", "ascending")])
     documents = []
     for ids, counts in zip(rows["ids"], rows["counts"], strict=True):
-        c = np.frombuffer(counts, np.int32)
-        documents.append((np.frombuffer(ids, np.int32), (c / max(1, c.sum())).astype(np.float32)))
-    return train(documents, rows["q"].tolist(), s)
+        c = np.frombuffer(counts.as_buffer(), np.int32)
+        documents.append((np.frombuffer(ids.as_buffer(), np.int32), (c / max(1, c.sum())).astype(np.float32)))
+    return train(documents, rows["q"].to_pylist(), s)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

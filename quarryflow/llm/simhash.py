@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_arrow_batches, store
+from .common import map_texts, release_shuffles, small_arrow_batches, store
 from .components import connected_components
 from .rolling import WORD_BASE, Words, in_portions, mix, stretch_hashes
 
@@ -188,9 +188,9 @@ def meet(keyed: DataFrame, radius: int, name: str, first: tuple[int, int] | None
     """Links a, b among the nodes that share a key. keyed: node, bits (the fingerprint's bytes), key.
 
     Keys of one node alone go. A key with more than MEET nodes is split into
-    chunks, and each pair of chunks is a set of its own.
+    chunks, and each pair of chunks is a set of its own. The keys are made twice,
+    for the counts and for the sets, which is cheaper than to store them.
     """
-    keyed = store(keyed, f"{name}-keys")
     met = store(keyed.groupBy("key").count().filter("count > 1"), f"{name}-sets")
     chunks = F.when(F.col("count") <= MEET, 1).otherwise(F.ceil(F.col("count") / (MEET // 2)).cast("int"))
     pairs = keyed.join(met, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -323,6 +323,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     alike = [rows.select("node", k).join(firsts.select(k, F.col("node").alias("b")), k).filter("node <> b").select(F.col("node").alias("a"), "b") for k, firsts in (("fp", narrow), ("bits", wide))]
     edges = store(links.unionByName(similar_links(wide, similarity)).unionByName(alike[0]).unionByName(alike[1]), "similar-links")
     roots = store(connected_components(edges), "similar-roots")
+    release_shuffles(docs.sparkSession)
     placed = store(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-placed")
     least = store(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
     return placed.join(least, "root").select("doc_id", "component_id")
