@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        large = store(_large_star(now), "components-large")
-        after = store(_small_star(large), "components-small")
-        drop_stored(large)
+        large = _large_star(now)
         drop_stored(now)
+        after = _small_star(large)
+        drop_stored(large)
         now, before, seen = after, seen, _digest(after)
         if seen == before:
             break
@@ -42,11 +42,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = store(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-both")
     least = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    out = store(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
+    drop_stored(both)
+    drop_stored(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
     least = store(edges.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    out = store(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components-small")
+    drop_stored(least)
+    return out
