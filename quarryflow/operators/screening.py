@@ -64,7 +64,7 @@ def keyword_hits(hay: Column, keywords: list[str]) -> Column:
     """The keywords that occur anywhere in the text, as substrings, in the profile's order."""
     if not keywords:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(hay, F.lower(k)))
+    return F.array_compact(F.array(*[F.when(F.contains(hay, F.lower(F.lit(k))), F.lit(k)) for k in keywords]))
 
 
 def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str | None = None) -> DataFrame:
