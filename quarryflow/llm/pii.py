@@ -39,7 +39,7 @@ _LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{2,64}\s?(?:\[at\]|\(at\)|\{at\}|\s@\s|@)\s?[A-Za-z0-9-]{2,63}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]{2,63}){0,4}", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{0,2}[0-9]{4}){2}[ ./_-]{0,2}[0-9]{1,7}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ ./-]{0,2})?(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),
 }
 _CONTEXT = {
     "email": re.compile(r"e-?mail|mailto|correo|courriel|contact|kontakt", re.I),
