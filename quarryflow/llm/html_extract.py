@@ -2,28 +2,36 @@
 
 A wrapper is a union-free regular expression over token streams: fixed tags and
 texts, text slots where pages differ, optional groups (?) and repeated groups
-(+). It is inferred by aligning a few pages of a host one after another: equal
-tokens stay, differing texts become slots, neighbours of one shape fold into a
-repeated group, and what one page lacks becomes optional. The wrapper tells
-which element holds the slots of the article and which texts are the same on
-every page; both decide what is kept of each page of the host.
+(+). It is inferred by aligning all pages of one kind (host and outer structure)
+in batches, then the batches' wrappers: equal tokens stay, differing texts
+become slots, neighbours of one shape fold into a repeated group, and what one
+page lacks becomes optional. The wrapper tells which element holds the slots of
+the article; the texts that every page of the kind has at one path go. Both
+decide what is kept of each page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, small_arrow_batches, store
 
-#: Pages of a host that its wrapper is inferred from, at most.
-SAMPLE = 8
+#: Distinct pages of one kind that make a text on all of them fixed.
+PAGES = 3
+#: Children of a wrapper's element before those of one tag become one.
+WIDE = 200
+#: First-round groups of one host and kind.
+PARTS = 64
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[^>]*+>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -199,116 +207,220 @@ def expression(node: Node) -> str:
     return f"({body}){node.mark}" if node.mark else body
 
 
-def rules(wrapper: Node, pages: int) -> dict:
-    """What extraction needs of a wrapper: the main element's path, and the texts that never change.
+def rules(wrapper: Node, common: Iterable[str] = ()) -> dict:
+    """What extraction needs of a wrapper: the paths of its main elements, and the texts that never change.
 
-    The main element is the first article or main; on hosts without these it is
-    the element with the most text slots, repeated ones counting double, outside
-    menus and the like. A text is fixed if it is not optional, not in a repeated
-    group and equal on three pages or more.
+    The main element has the most text slots, repeated ones counting double,
+    outside menus and the like. That an element is an article or main is a hint
+    that doubles its slots; all articles go with one that wins.
     """
     score: dict[str, int] = {}
-    fixed: list[str] = []
-    named = False
+    named: dict[str, int] = {}
+    fixed = set(common)
 
-    def visit(n: Node, path: tuple[str, ...], repeated: bool, main: bool) -> None:
-        nonlocal named
+    def visit(n: Node, path: tuple[str, ...], repeated: bool, main: str) -> None:
         for c in n.children:
             again = repeated or c.mark in ("+", "*")
             if c.label == "#":
-                if c.text is None or again:
-                    score["/".join(path[:-1])] = score.get("/".join(path[:-1]), 0) + 1 + again
-                elif not c.mark and pages >= 3:
-                    fixed.append("/".join(path) + "\t" + " ".join(c.text.split()))
-            elif not apart(c.label, main):
-                in_main = main or c.label.split(".")[0] in _MAIN
-                named = named or in_main
-                visit(c, (*path, c.label), again, in_main)
+                if c.text is None or (again and _mark(path, c.text) not in fixed):
+                    where = main or "/".join(path[:-1])
+                    kind = named if main else score
+                    kind[where] = kind.get(where, 0) + (1 + again) * (2 if main else 1)
+            elif not apart(c.label, bool(main)):
+                here = (*path, c.label)
+                visit(c, here, again, main or ("/".join(here) if c.label.split(".")[0] in _MAIN else ""))
 
-    visit(wrapper, (), False, False)
+    visit(wrapper, (), False, "")
     best = max(score, key=lambda p: (score[p], -len(p)), default="")
-    return {"main": None if named else best, "fixed": fixed}
+    articles = max(named.values(), default=0) >= max(1, score.get(best, 0))
+    return {"main": sorted(named) if articles else [best], "fixed": sorted(fixed)}
 
 
-def blocks(tree: Node, rule: dict) -> list[str]:
-    """The article's blocks of a page in page order."""
-    found: list[tuple[bool, str, bool]] = []
-    fixed = set(rule.get("fixed", ()))
-    inside = rule.get("main")
+def _mark(path: tuple[str, ...], digest: str) -> str:
+    return _digest("/".join(path) + "\t" + digest)
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def digested(node: Node) -> Node:
+    """The tree with each text replaced by a hash of its words, so that wrappers stay small; blank texts go."""
+    children = [digested(c) for c in node.children if c.label != "#" or c.text.split()]
+    return Node(node.label, children, node.text and _digest(" ".join(node.text.split())), node.mark)
+
+
+def kind(tree: Node) -> str:
+    """A page's kind: the paths of its outer three levels without menus and the like."""
+    found: set[str] = set()
+
+    def visit(n: Node, path: str, depth: int) -> None:
+        for c in n.children:
+            if c.label != "#" and not apart(c.label, False):
+                found.add(f"{path}/{c.label}")
+                if depth < 3 and c.label.split(".")[0] not in _MAIN:
+                    visit(c, f"{path}/{c.label}", depth + 1)
+
+    visit(tree, "", 1)
+    return _digest(" ".join(sorted(found)))
+
+
+def places(tree: Node) -> set[str]:
+    """Each text of a digested page with its path, outside menus and the like."""
+    found: set[str] = set()
 
     def visit(n: Node, path: tuple[str, ...], main: bool) -> None:
         for c in n.children:
             if c.label == "#":
-                text = " ".join(c.text.split())
-                if text:
-                    found.append((main, text, "/".join(path) + "\t" + text in fixed))
+                found.add(_mark(path, c.text))
             elif not apart(c.label, main):
-                here = (*path, c.label)
-                visit(c, here, main or c.label.split(".")[0] in _MAIN)
+                visit(c, (*path, c.label), main or c.label.split(".")[0] in _MAIN)
 
     visit(tree, (), False)
-    if any(main for main, _, _ in found):
-        return [t for main, t, _ in found if main]
-    if inside:
-        within: list[str] = []
-
-        def pick(n: Node, path: tuple[str, ...]) -> None:
-            for c in n.children:
-                if c.label == "#":
-                    text = " ".join(c.text.split())
-                    joined = "/".join(path)
-                    if text and (joined == inside or joined.startswith(inside + "/")) and joined + "\t" + text not in fixed:
+    return found
+
+
+@dataclass
+class Learned:
+    """What some pages of one kind have in common.
+
+    seen: the least hashes of distinct pages, as many as make texts fixed;
+    common: the texts that every page has at one path.
+    """
+
+    wrapper: Node
+    common: set[str]
+    seen: list[str]
+
+    def joined(self, other: Learned) -> Learned:
+        seen = sorted({*self.seen, *other.seen})[:PAGES]
+        return Learned(narrowed(align(self.wrapper, other.wrapper)), self.common & other.common, seen)
+
+    def dump(self) -> str:
+        return json.dumps([_plain(self.wrapper), sorted(self.common), self.seen])
+
+    @staticmethod
+    def load(text: str) -> Learned:
+        tree, common, seen = json.loads(text)
+        return Learned(_node(tree), set(common), seen)
+
+    def rule(self) -> dict:
+        return rules(self.wrapper, self.common if len(self.seen) >= PAGES else ())
+
+
+def learned(tree: Node, page: str) -> Learned:
+    """A page as a wrapper of itself alone."""
+    own = digested(tree)
+    return Learned(narrowed(fold(own)), places(own), [_digest(page)])
+
+
+def _plain(n: Node) -> list:
+    return [n.label, n.text, n.mark, [_plain(c) for c in n.children]]
+
+
+def _node(x: list) -> Node:
+    return Node(x[0], [_node(c) for c in x[3]], x[1], x[2])
+
+
+def narrowed(n: Node) -> Node:
+    """A wrapper where elements with more than WIDE children, as generated classes make, keep one of each tag."""
+    children = [narrowed(c) for c in n.children]
+    if len(children) > WIDE:
+        by: dict[str, Node] = {}
+        for c in children:
+            name = c.label.split(".")[0]
+            c = Node(name, c.children, c.text, "*")
+            by[name] = align(by[name], c) if name in by else c
+        children = list(by.values())
+    return Node(n.label, children, n.text, n.mark)
+
+
+def blocks(tree: Node, rule: dict) -> list[str]:
+    """The article's blocks of a page in page order."""
+    fixed = set(rule["fixed"])
+    inside = tuple(rule["main"])
+    within: list[str] = []
+    kept: list[str] = []
+
+    def visit(n: Node, path: tuple[str, ...], main: bool, chosen: bool) -> None:
+        for c in n.children:
+            if c.label == "#":
+                text = " ".join(c.text.split())
+                if text and not (fixed and _mark(path, _digest(text)) in fixed):
+                    kept.append(text)
+                    if chosen:
                         within.append(text)
-                elif not apart(c.label, False):
-                    pick(c, (*path, c.label))
+            elif not apart(c.label, main):
+                here = (*path, c.label)
+                visit(c, here, main or c.label.split(".")[0] in _MAIN, chosen or "/".join(here) in inside)
 
-        pick(tree, ())
-        if within:
-            return within
-    return [t for _, t, same in found if not same]
+    visit(tree, (), False, "" in inside)
+    return within or kept
 
 
-def extract(page: str, rule: dict) -> str:
-    return "\n".join(blocks(parse(page), rule))
+def extract(page: str, known: dict) -> str:
+    """The text of a page by its host's rules; a page that is alone of its kind is its own wrapper."""
+    tree = parse(page)
+    rule = known.get(kind(tree)) or learned(tree, page).rule()
+    return "\n".join(blocks(tree, rule))
 
 
 def host(url: str = "url"):
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, pages, rule (JSON), wrapper (the expression), from at most `sample` distinct pages of each host."""
-    keyed = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).filter("html <> ''")
-    keyed = keyed.withColumn("page_key", F.xxhash64("html"))
-    first = Window.partitionBy("host").orderBy("page_key")
-    chosen = keyed.select("host", "page_key").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample)
-    # equal pages share a key, so one html for each (host, key) is enough
-    picked = keyed.join(store(chosen.drop("n"), "html-sample"), ["host", "page_key"]).groupBy("host", "page_key").agg(F.first("html").alias("html"))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, rules: a JSON map from page kinds to their rules, of every page of the host.
+
+    Each batch of pages gives one small wrapper for each host and kind; these
+    are joined in two rounds, so no task holds the pages of a host.
+    """
+    keyed = pages.select(host().alias("host"), F.col("html")).filter("html <> ''")
+    schema = "host string, kind string, part int, learned string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[tuple[str, str], Learned] = {}
+            for h, page in zip(pdf["host"], pdf["html"], strict=True):
+                tree = parse(page)
+                key, one = (h, kind(tree)), learned(tree, page)
+                found[key] = found[key].joined(one) if key in found else one
+            part = int(_digest("".join(sorted(s for x in found.values() for s in x.seen))), 16) % PARTS
+            yield pd.DataFrame([(*k, part, x.dump()) for k, x in found.items()], columns=["host", "kind", "part", "learned"])
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        every = map(Learned.load, sorted(group["learned"]))
+        return group.iloc[:1].assign(learned=reduce(Learned.joined, every).dump())
+
+    some = store(keyed.mapInPandas(run, schema), "html-parts")
+    some = some.groupBy("host", "kind", "part").applyInPandas(merged, schema)
+    whole = some.groupBy("host", "kind").applyInPandas(merged, schema)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_key")
-        wrapper = infer(group["html"].tolist())
-        return pd.DataFrame({"host": group["host"].iloc[:1], "pages": [len(group)], "rule": [json.dumps(rules(wrapper, len(group)))], "wrapper": [expression(wrapper)]})
+    @F.pandas_udf("string")
+    def rule(found: pd.Series) -> pd.Series:
+        every = map(Learned.load, found)
+        return pd.Series([json.dumps(x.rule()) if len(x.seen) > 1 else None for x in every], dtype=object)
 
-    return picked.groupBy("host").applyInPandas(run, "host string, pages int, rule string, wrapper string")
+    ruled = store(whole.select("host", "kind", rule("learned").alias("rule")), "html-rules").filter("rule IS NOT NULL")
+    return ruled.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "rule")))).alias("rules"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null html is empty and gives an empty text, as does a page without an
-    article; pages with a null url share the wrapper of the host ''. Repeated
+    article; pages with a null url share the wrappers of the host ''. Repeated
     rows give repeated results. An empty table gives an empty result; further
     columns are ignored.
     """
     small_arrow_batches(pages.sparkSession, 500)
-    found = store(wrappers(pages).select("host", "rule"), "html-wrappers")
+    found = store(wrappers(pages), "html-wrappers")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host().alias("host"))
 
     def run(htmls: list[str], found_rules: list[str | None]) -> dict[str, list]:
-        known = {r: json.loads(r) for r in set(found_rules) if r is not None}
+        known = {r: {k: json.loads(v) for k, v in json.loads(r).items()} for r in set(found_rules) if r is not None}
         texts = [extract(page, known.get(rule, {})) for page, rule in zip(htmls, found_rules, strict=True)]
         return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "rule")
-    return map_texts(joined, ["page_id", "url"], ["html", "rule"], run, {"text": "string", "n_chars": "long"})
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "rules")
+    return map_texts(joined, ["page_id", "url"], ["html", "rules"], run, {"text": "string", "n_chars": "long"})

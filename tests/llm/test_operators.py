@@ -200,6 +200,24 @@ def test_wrappers_generalise():
     assert html_extract.expression(html_extract.infer([a, b])) == "<ul>(<li>#PCDATA</li>)+</ul>(<h2>n</h2>)?<p>#PCDATA</p>"
 
 
+def test_every_page_of_a_host_takes_part_by_its_kind(spark):
+    rules = "<p>Read our house rules first</p>"
+    rows = [(i, "http://h.example/", page(f"<article><h1>t{i}</h1><p>{prose(i, 9)}</p><p>{prose(i + 100, 9)}</p>{rules}</article>")) for i in range(40)]
+    # another kind without article; a line that only some of its pages have is no boilerplate
+    rows += [(i, "http://h.example/", page(f"<div id=text><p>{prose(i, 9)}</p><p>{prose(i + 100, 9)}</p>{'<p>Now and then</p>' if i % 20 else ''}</div><div id=tail><p>Printed by us</p></div>")) for i in range(40, 80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract_pages(df).collect()}
+    for i in range(40):
+        assert got[i] == [f"t{i}", prose(i, 9), prose(i + 100, 9)]
+    for i in range(40, 80):
+        assert got[i] == [prose(i, 9), prose(i + 100, 9), *(["Now and then"] if i % 20 else [])]
+
+
+def test_copies_of_one_page_fix_nothing(spark):
+    df = spark.createDataFrame([(i, "http://h.example/", page("<article><p>alone</p></article>")) for i in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract_pages(df).collect()} == {"alone"}
+
+
 def test_html_on_the_given_pages(spark, sf_dir):
     got = {r.page_id: r.text for r in queries.op4_html_extraction(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
