@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays.
 
-    Fingerprints of four-word shingles link at four or fewer differing bits.
+    Links are pairs whose five-word shingles are 0.8 similar by exact count.
     """
     return keep_one(docs)
 

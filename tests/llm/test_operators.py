@@ -317,6 +317,31 @@ def test_similar_texts_meet_and_others_do_not(spark):
     assert all(c in (i, i - 1) for i, c in component.items())
 
 
+def test_only_pairs_at_the_threshold_are_linked_and_all_of_them(spark):
+    r = random.Random(5)
+    rows = [(1, "one line that repeats itself here\n" * 200 + prose(1, 20)), (2, "one line that repeats itself here\n" * 1000 + prose(1, 20))]
+    for g in range(10, 130):  # copies around the threshold
+        w = prose(7000 + g, 200).split()
+        copy = list(w)
+        for at in r.sample(range(len(w)), r.randint(2, 9)):
+            copy[at] = "changed"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(copy))]
+    # a group around a hub, whose members reach it only through each other
+    hub = prose(9000, 200).split()
+    rows += [(1000 + i, " ".join([*hub[10 * i :], *prose(9100, 100).split()[: 10 * i]])) for i in range(6)]
+    parts = {i: Counter(tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)) for i, t in rows}
+    found = {x.doc_id: x.component_id for x in simhash.similar_groups(documents(spark, rows)).collect()}
+    linked = {i: i for i, _ in rows}
+    for _ in range(8):
+        for a in parts:
+            for b in parts:
+                if linked[a] != linked[b] and (a // 2 == b // 2 or min(a, b) >= 1000) and shingle_similarity(parts[a], parts[b]) >= 0.8:
+                    linked[a] = linked[b] = min(linked[a], linked[b])
+    alike = [shingle_similarity(parts[2 * g], parts[2 * g + 1]) for g in range(10, 130)]
+    assert sum(0.8 <= x < 0.9 for x in alike) > 10 < sum(0.65 < x < 0.8 for x in alike)
+    assert found == linked
+
+
 def test_wide_fingerprints_are_majorities():
     t = "Some Words in a ROW that make several shingles é"
     w = rolling.Words([t], simhash.ascii_lower)
