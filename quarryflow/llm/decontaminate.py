@@ -57,20 +57,22 @@ def doc_keys() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("did"), F.hash("text").alias("tag")]
 
 
-def simhash(rows: DataFrame, by: list[str], shingle: str, weight: str) -> DataFrame:
+def simhash(rows: DataFrame, by: list[str], shingle: str, weight: str, lanes: int = 4) -> DataFrame:
     """by, fp: bit b is 1 if shingles with that bit weigh more than half.
 
-    Sixteen sums hold four bits each, in lanes of 16 bits: bit 16 * lane + k
-    lies in sum k. Weights add up to less than 2^15 for windows of items.
+    With four lanes sixteen sums hold four bits each, in lanes of 16 bits: bit
+    16 * lane + k lies in sum k, and weights must add up to less than 2^15. Two
+    lanes of 32 bits take 32 sums, for weights of less than 2^31.
     """
-    lanes = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned(shingle, k).bitwiseAND(lanes) * F.col(weight)).alias(f"s{k}") for k in range(16)]
+    width = 64 // lanes
+    ones = F.lit(sum(1 << width * lane for lane in range(lanes)))
+    sums = [F.sum(F.shiftrightunsigned(shingle, k).bitwiseAND(ones) * F.col(weight)).alias(f"s{k}") for k in range(width)]
     added = rows.groupBy(*by).agg(F.sum(weight).alias("all"), *sums)
     fp = F.lit(0).cast("long")
-    for k in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(f"s{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (16 * lane + k)
+    for k in range(width):
+        for lane in range(lanes):
+            count = F.shiftrightunsigned(f"s{k}", width * lane).bitwiseAND(F.lit((1 << width) - 1))
+            bit = 1 << (width * lane + k)
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("all"), F.lit(bit - 2**64 if bit >= 2**63 else bit)).otherwise(F.lit(0).cast("long")))
     return added.select(*by, fp.alias("fp"))
 
@@ -93,9 +95,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     radius is wide for the threshold: windows at 0.8 differ from their item in
     about 10 of 64 bits.
     """
-    items = store(shingled(benchmark, [F.monotonically_increasing_id().alias("item"), F.col("item_id")]), "leaks-items").filter(F.size("shingles").between(1, 2**15 - 1))
+    items = store(shingled(benchmark, [F.monotonically_increasing_id().alias("item"), F.col("item_id")]), "leaks-items").filter(F.size("shingles") > 0)
     index = store(items.select("item", "item_id", "n_words", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).groupBy("item", "item_id", "n_words", "n", "h").agg(F.count("*").alias("weight")), "leaks-index")
-    n_index = index.count()
+    n_index, longest = index.agg(F.count("*"), F.max("n")).first()
+    lanes = 4 if (longest or 0) < 2**15 else 2
     shared = small(index.select("item", "n", "h"), n_index)
 
     every = shingled(docs, doc_keys())
@@ -119,8 +122,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     window = ["did", "tag", "start", "n"]
     counted = store(placed.groupBy(*window, "h").agg(F.count("*").alias("weight")), "leaks-shingles")
 
-    fps = simhash(counted, window, "h", "weight")
-    item_fps = simhash(index, ["item", "n"], "h", "weight").withColumnRenamed("fp", "item_fp")
+    fps = simhash(counted, window, "h", "weight", lanes)
+    item_fps = simhash(index, ["item", "n"], "h", "weight", lanes).withColumnRenamed("fp", "item_fp")
     item_blocks = item_fps.select("item", "n", "item_fp", F.col("item_fp").alias("fp")).select("item", "n", "item_fp", block_keys(radius).alias("block"))
     near = fps.select(*window, "fp", block_keys(radius).alias("block")).join(small(item_blocks, n_index * (radius + 1)), ["n", "block"])
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))

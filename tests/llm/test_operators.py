@@ -473,6 +473,14 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.contaminated(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_long_items_are_found(spark):
+    long = prose(77, 33_000)
+    bench = spark.createDataFrame([(1, long), (2, prose(78, 30))], "item_id long, text string")
+    rows = [(1, "before it " + long + " after it"), (2, prose(78, 30)), (3, prose(79, 33_000))]
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1): (2, 1.0), (2, 2): (0, 1.0)}
+
+
 def test_native_fingerprints_are_majorities(spark):
     r = random.Random(2)
     rows = [(g, r.getrandbits(64) - 2**63, r.randint(1, 3)) for g in range(5) for _ in range(40)]
