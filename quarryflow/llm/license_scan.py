@@ -153,10 +153,22 @@ class Scanner:
             need = max(1, index.prints[t] // 4)
             candidates = []
             # the hits of one copy lie on diagonals within the band of each other
-            for diagonal in self._diagonals(sorted(found), need):
+            todo = [(lo, hi, group) for group in self._groups(sorted(found))]
+            while todo:
+                lo, hi, group = todo.pop()
+                if len(group) < need:
+                    continue
+                diagonal = group[len(group) // 2][0]
                 n, first, last = aligned(index.words[t], w.hash[lo:hi], diagonal - lo, self.band)
+                first, last = first + lo, last + lo
                 if n >= self.least * len(index.words[t]) and n:
-                    candidates.append((-n, first + lo, last + lo))
+                    # short copies side by side share a group: what lies beside this one is aligned by itself
+                    candidates.append((-n, first, last))
+                    todo.append((lo, first, [h for h in group if h[1] + GRAM <= first]))
+                    todo.append((last, hi, [h for h in group if h[1] >= last]))
+                else:
+                    todo.append((lo, hi, [h for h in group if h[0] < diagonal]))
+                    todo.append((lo, hi, [h for h in group if h[0] > diagonal]))
             taken: list[tuple[int, int]] = []
             for n, first, last in sorted(set(candidates)):
                 if all(last <= a or first >= b for a, b in taken):
@@ -170,12 +182,11 @@ class Scanner:
                 if not any(m >= n and m / len(index.words[o]) > share and last > a and first < b for o, m, a, b in found):
                     yield doc, t, share, n, int(w.starts[first] - begin), int(w.ends[last - 1] - begin)
 
-    def _diagonals(self, found: list[tuple[int, int]], need: int) -> Iterator[int]:
+    def _groups(self, found: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = 0
         for j in range(1, len(found) + 1):
             if j == len(found) or found[j][0] - found[j - 1][0] > self.band or found[j][0] - found[i][0] > 2 * self.band:
-                if j - i >= need:
-                    yield found[(i + j) // 2][0]
+                yield found[i:j]
                 i = j
 
 

@@ -152,6 +152,15 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(documents(spark, [])).count() == 0
 
 
+def test_adjacent_license_copies_are_each_found(spark):
+    line = "Released under the MIT License"
+    rows = [(1, " ".join([line] * 4)), (2, f"{line} (c) 2020 {line}"), (3, "\n".join([line] * 30)), (4, line + " Licensed under CC BY-NC 4.0" * 3)]
+    got = license_scan.scan_licenses(documents(spark, rows)).collect()
+    spans = {i: sorted((r.start, r.end) for r in got if r.doc_id == i and r.license == "MIT") for i, _ in rows}
+    assert spans == {i: [m.span() for m in re.finditer(line, t)] for i, t in rows}
+    assert sum(r.doc_id == 4 and r.license == "CC-BY-NC-4.0" for r in got) == 3
+
+
 def test_license_alignment_is_the_longest_common_subsequence_in_its_band():
     r = random.Random(1)
     for _ in range(200):
