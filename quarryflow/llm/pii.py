@@ -32,6 +32,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_AT = re.compile(r"@|at[\])}]", re.I)
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
 # Looser candidates, per kind.
@@ -94,9 +95,8 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out = []
     digits = bool(_DIGIT.search(text))
     for kind, name in enumerate(KINDS):
-        if not (digits if kind else "@" in text or "at]" in text or "at)" in text or "at}" in text):
-            continue
-        if name == "ip" and ":" not in text:
+        # what the pattern cannot match without
+        if not (_AT.search(text) if name == "email" else ":" in text if name == "ip" else digits):
             continue
         for m in _LOOSE[name].finditer(text):
             if all(m.end() <= s or m.start() >= e for s, e in taken):

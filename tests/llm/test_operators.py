@@ -425,6 +425,15 @@ def test_pii(spark):
     assert pii.find_pii(documents(spark, [])).count() == 0
 
 
+def test_loose_candidates_do_not_depend_on_case_or_other_text(spark):
+    for t in ("john.doe [at] example [dot] com", "john.doe(at)example.com", "john.doe {at} example {dot} com", "host fe:ab:cd:ef:aa:bb:cc:dd"):
+        want = pii.loose_spans(t, [])
+        assert want and want == pii.loose_spans(t.upper(), []) == pii.loose_spans(t + " @ 1", [])
+    t = "mail john.doe [at] example [dot] com"
+    got = {r.doc_id: r.spans for r in pii.find_pii(documents(spark, [*((i, t) for i in range(20)), *((i, t.upper()) for i in range(20, 40))])).collect()}
+    assert set(got.values()) == {got[0]} and got[0]
+
+
 def test_masking_joins_overlaps():
     assert pii.masked("abcdefgh", [(0, 1, 4), (3, 3, 6)]) == "a[EMAIL]gh"
 
