@@ -1,4 +1,4 @@
-"""What several operators share: word patterns, table access, Arrow batch sizes."""
+"""What several operators share: word patterns, table access, row keys, Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import drop_stored, shared_dir, store, with_positions
 
-__all__ = ["WORD", "drop_stored", "lookup", "map_texts", "release_shuffles", "shared_dir", "small_arrow_batches", "store", "table", "with_positions", "words"]
+__all__ = ["WORD", "drop_stored", "fresh", "lookup", "map_texts", "release_shuffles", "row_key", "shared_dir", "slices", "small", "store", "table", "text_key", "with_positions", "words"]
 
+#: Narrow rows (an id or a key and a few numbers) of a table that may be broadcast.
+MOST_BROADCAST = 1_000_000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,11 +34,34 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps the Arrow batches of long texts small, for Python workers' memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
+    """16 bytes that identify a row by its id and whole text, null ids included; equal rows share theirs."""
+    return F.unhex(F.md5(F.concat(F.coalesce(_col(doc_id).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(_col(text), F.lit(""))).cast("binary")))
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """16 bytes that identify a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(_col(text), F.lit("")).cast("binary")))
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of narrow rows for a join: broadcast if its count (taken if not given) is MOST_BROADCAST at most, else shuffled."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= MOST_BROADCAST else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Spark bounds Arrow batches by bytes; workers take them in smaller portions of rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_texts(df: DataFrame, keep: list[str], inputs: list[str], run: Callable[..., dict[str, Any]], added: dict[str, str]) -> DataFrame:
@@ -48,7 +73,7 @@ def map_texts(df: DataFrame, keep: list[str], inputs: list[str], run: Callable[.
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = run(*[batch.column(c).to_pylist() for c in inputs])
             arrays = [batch.column(c) for c in keep] + [pa.array(got[c], kinds[t]) for c, t in added.items()]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *added])

@@ -39,11 +39,10 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least of its neighbours and itself."""
-    both = store(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "components-both")
+    """Each node's larger neighbours are linked to the least of its neighbours and itself; an edge may come twice."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "components-least")
-    out = store(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components-large")
-    drop_stored(both)
+    out = store(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "components-large")
     drop_stored(least)
     return out
 

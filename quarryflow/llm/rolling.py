@@ -1,7 +1,8 @@
 """Vectorised hashes of words and word windows over many texts at once (numpy only).
 
-A polynomial prefix sum modulo 2^64 gives the hash of any stretch in two
-look-ups; a finaliser then spreads the bits.
+A word's hash sums its letters times a fixed random factor for each place, which
+no regular word defeats. Over word hashes a polynomial prefix sum modulo 2^64
+gives the hash of any stretch in two look-ups; a finaliser then spreads the bits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 U = np.uint64
-CHAR_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+WORD_BASE = 0xD6E8FEB86659FD93
 MOST = U(2**64 - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -46,6 +47,23 @@ def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, bas
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def place_factors(n: int) -> np.ndarray:
+    """Odd 64-bit factors of the first n places of a word."""
+    at = np.arange(1, n + 1, dtype=U)
+    return mix(at * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of code points, the stretches side by side in order."""
+    n = ends - starts
+    factors = place_factors(int(n.max(initial=0)))
+    upto = np.cumsum(n)
+    at = np.arange(upto[-1] if len(n) else 0) - np.repeat(upto - n, n)
+    values = points[at + np.repeat(starts, n)].astype(U) + U(1)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(values * factors[at], dtype=U)))
+    return mix(sums[upto] - sums[upto - n] + n.astype(U))
+
+
 def in_portions(texts: Sequence[str], most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters, a longer text alone."""
     at, size = 0, 0
@@ -71,7 +89,7 @@ class Words:
         first = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = first
         self.doc = np.searchsorted(first, self.starts, "right") - 1
-        self.hash = stretch_hashes(points.astype(U), self.starts, self.ends, CHAR_BASE)
+        self.hash = word_hashes(points, self.starts, self.ends)
         self.doc_from = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
     def windows(self, k: int, base: int = WORD_BASE) -> tuple[np.ndarray, np.ndarray]:
