@@ -12,19 +12,17 @@ join them. Keys with many fingerprints are split into chunks that meet pairwise.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, map_texts, release_shuffles, small_arrow_batches, store
+from .common import map_texts, store
 from .components import connected_components
-from .rolling import WORD_BASE, Words, in_portions, mix, stretch_hashes
 
 #: Fingerprints of one key that meet in one task; larger sets are split into chunks of half.
 MEET = 4096
@@ -59,8 +57,6 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp (signed 64 bits) of every row."""
-    small_arrow_batches(docs.sparkSession)
-
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return map_texts(texts, ["doc_id"], ["text"], lambda t: {"fp": [fingerprint(x, shingle) for x in t]}, {"fp": "long"})
 
@@ -154,66 +150,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def closest(label: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Of pairs in order of their distance the first `most` between each two labels; for 0 a spanning forest of the labels."""
-    at = np.flatnonzero(label[a] != label[b])
-    x, y = (f(label[a[at]], label[b[at]]) for f in (np.minimum, np.maximum))
-    if most:
-        order = np.lexsort((at, y, x))
-        x, y = x[order], y[order]
-        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))[: len(x)]
-        places = np.arange(len(x))
-        return at[order[places - np.maximum.accumulate(np.where(new, places, 0)) < most]]
-    names, ends = np.unique(np.concatenate((x, y)), return_inverse=True)
-    x, y = ends[: len(x)], ends[len(x) :]
-    out = [np.empty(0, np.int64)]
-    while len(at):
-        best = np.full(len(names), len(a))
-        np.minimum.at(best, x, at)
-        np.minimum.at(best, y, at)
-        chosen = np.unique(best[best < len(a)])
-        out.append(chosen)
-        taken = np.isin(at, chosen)
-        root = forest(len(names), x[taken], y[taken])
-        x, y = root[x], root[y]
-        apart = x != y
-        at, x, y = at[apart], x[apart], y[apart]
-    return np.concatenate(out)
-
-
-def _links(radius: int, first: tuple[int, int] | None, most: int | None = None):
-    def linked(nodes: np.ndarray, fps: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+def _links(radius: int, first: tuple[int, int] | None):
+    def linked(nodes: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
         nodes, at = np.unique(nodes, return_index=True)
-        if most is not None:
-            fps = fps[at]
-            a, b = bit_sliced_pairs(fps, radius, first)
-            apart = labels[at][a] != labels[at][b]
-            a, b = a[apart], b[apart]
-            far = [np.bitwise_count(fps[a[i : i + 65536]] ^ fps[b[i : i + 65536]]).sum(1) for i in range(0, len(a), 65536)]
-            order = np.argsort(np.concatenate([np.empty(0, np.int64), *far]), kind="stable")
-            a, b = a[order], b[order]
-            kept = closest(labels[at], a, b, most)
-            return pd.DataFrame({"a": nodes[a[kept]], "b": nodes[b[kept]]})
         root = forest(len(nodes), *bit_sliced_pairs(fps[at], radius, first))
         at = np.flatnonzero(root != np.arange(len(nodes)))
         return pd.DataFrame({"a": nodes[at], "b": nodes[root[at]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order of their set; sets are gathered into blocks, and none is parted."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         rows, last = 0, None
         for pdf in batches:
-            nodes, labels = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+            nodes, names = pdf["node"].to_numpy(), pdf["part"].to_numpy()
             fps = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
-            names = pdf[["key", "lo", "hi"]].to_numpy()
-            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
             for s, e in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-                name = tuple(names[s])
-                if name != last and rows >= 512:
+                if names[s] != last and rows >= 512:
                     yield linked(*map(np.concatenate, zip(*held, strict=True)))
                     held, rows = [], 0
-                last = name
-                held.append((nodes[s:e], fps[s:e], labels[s:e]))
+                last = names[s]
+                held.append((nodes[s:e], fps[s:e]))
                 rows += e - s
         if held:
             yield linked(*map(np.concatenate, zip(*held, strict=True)))
@@ -221,23 +178,20 @@ def _links(radius: int, first: tuple[int, int] | None, most: int | None = None):
     return run
 
 
-def meet(keyed: DataFrame, radius: int, name: str, first: tuple[int, int] | None = None, most: int | None = None) -> DataFrame:
-    """Links a, b among the nodes that share a key. keyed: node, bits (the fingerprint's bytes), key, label.
-
-    With `most` the links are near pairs of different labels: the closest ones
-    between each two labels of a set, or for 0 a forest of near pairs.
+def meet(keyed: DataFrame, radius: int, name: str, first: tuple[int, int] | None = None) -> DataFrame:
+    """Links a, b among the nodes that share a key: a spanning forest of each set. keyed: node, bits (the fingerprint's bytes), key.
 
-    Keys of one node alone go. A key with more than MEET nodes is split into
-    chunks, and each pair of chunks is a set of its own. The keys are made twice,
-    for the counts and for the sets, which is cheaper than to store them.
+    A key with more than MEET nodes is split into chunks, and each pair of chunks
+    is a set of its own. The keys are made twice, to find those that are that
+    frequent and for the sets, which is cheaper than to store them.
     """
-    met = store(keyed.groupBy("key").count().filter("count > 1"), f"{name}-sets")
-    chunks = F.when(F.col("count") <= MEET, 1).otherwise(F.ceil(F.col("count") / (MEET // 2)).cast("int"))
-    pairs = keyed.join(met, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks") - 1, F.lit(0)))))
-    sets = pairs.select("node", "label", "bits", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    dealt = sets.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInPandas(_links(radius, first, most), "a long, b long")
+    often = store(keyed.groupBy("key").count().filter(F.col("count") > MEET), f"{name}-often")
+    chunks = F.coalesce(F.ceil(F.col("count") / (MEET // 2)).cast("int"), F.lit(1))
+    pairs = keyed.join(often, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = pairs.select("node", "bits", part.alias("part")).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInPandas(_links(radius, first), "a long, b long")
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -254,7 +208,7 @@ def near_links(unique: DataFrame, radius: int = 4) -> DataFrame:
     # more blocks make more keys and smaller sets: about 32 chance meetings at most
     blocks = next((b for b in range(radius + 1, radius + 5) if n / 2 ** (64 * (b - radius) // b) <= 32), radius + 4)
     keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(block_masks(radius, blocks))])
-    keyed = unique.select(F.col("fp").alias("node"), F.col("fp").alias("label"), _little_endian("fp").alias("bits"), F.explode(keys).alias("key"))
+    keyed = unique.select(F.col("fp").alias("node"), _little_endian("fp").alias("bits"), F.explode(keys).alias("key"))
     return meet(keyed, radius, "simhash")
 
 
@@ -284,144 +238,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-WIDE = 8
-_SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % 2**64 for i in range(WIDE)], np.uint64)
-
-
-def ascii_lower(points: np.ndarray) -> np.ndarray:
-    return np.where((points >= 65) & (points <= 90), points + 32, points)
-
-
-def numbered(hashes: np.ndarray) -> np.ndarray:
-    """A multiset of hashes as a sorted set: the first of equal ones stays, the next get a hash of their number too."""
-    h = np.sort(hashes)
-    places = np.arange(len(h))
-    new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
-    n = (places - np.maximum.accumulate(np.where(new, places, 0))).astype(np.uint64)
-    return np.sort(np.where(n > 0, mix(h ^ mix(n)), h))
-
-
-def shingle_sets(texts: list[str], shingle: int = 5) -> Iterator[np.ndarray]:
-    """The numbered word shingles of each text; a shorter text is one, a text without words has none."""
-    for lo, hi in in_portions(texts):
-        words = Words(texts[lo:hi], ascii_lower)
-        hashes, _ = words.windows(shingle)
-        for d in range(hi - lo):
-            first, end = words.doc_from[d], words.doc_from[d + 1]
-            n = end - first
-            if 0 < n < shingle:
-                yield stretch_hashes(words.hash[first:end], np.array([0]), np.array([n]), WORD_BASE)
-            else:
-                yield numbered(hashes[first : end - shingle + 1] if n else hashes[:0])
-
-
-def wide_fingerprints(texts: list[str], shingle: int = 5) -> list[bytes]:
-    """512 bits of each text by majority over its numbered shingles; eight hashes of a shingle give 64 bits each."""
-    out = []
-    for h in shingle_sets(texts, shingle):
-        counts = np.zeros(64 * WIDE, np.int64)
-        for at in range(0, len(h), 4080):
-            counts += bit_counts(mix(h[at : at + 4080, None] + _SALTS[None, :]))
-        out.append(np.packbits(2 * counts > len(h), bitorder="little").tobytes())
-    return out
-
-
-def proposals(rows: DataFrame, most: int, similarity: float = 0.8, miss: float = 0.001) -> DataFrame:
-    """Pairs a, b of 512-bit fingerprints (columns node, bits, label) that may be similar, as `meet` has them.
-
-    Texts of Jaccard s have a cosine of 2 s / (1 + s) at least, and a bit
-    differs with probability acos(cosine) / pi. The radius is that share of the
-    bits and four standard deviations; of the first 80 bits, five. Keys are
-    random choices of bits, as many as let a pair at the threshold miss all of
-    them with probability `miss`; their length follows the number of rows, so
-    that about 512 rows, a block of the comparison, meet by chance.
-    """
-    bits = 64 * WIDE
-    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.floor(bits * differs + 4 * math.sqrt(bits * differs * (1 - differs)))
-    limit = math.floor(80 * differs + 5 * math.sqrt(80 * differs * (1 - differs)))
-    length = max(6, math.ceil(math.log2(max(2, rows.count()) / 512)))
-    n_keys = math.ceil(math.log(miss) / math.log(1 - (1 - differs) ** length))
-    rng = np.random.default_rng(17)
-    places = np.array([rng.choice(bits, length, replace=False) for _ in range(n_keys)])
-    weights = (1 << np.arange(length)).astype(np.int64)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = np.unpackbits(np.frombuffer(b"".join(pdf["bits"]), np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little")
-            values = got[:, places].astype(np.int64) @ weights * n_keys + np.arange(n_keys)
-            yield pd.DataFrame({**{c: np.repeat(pdf[c].to_numpy(), n_keys) for c in ("node", "label", "bits")}, "key": values.ravel()})
-
-    keyed = rows.select("node", "label", "bits").mapInPandas(keys, "node long, label long, bits binary, key long")
-    return meet(keyed, radius, "similar", (80, limit), most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """a, b and ok: whether the texts (columns node, text) of a pair have that Jaccard similarity of shingle multisets."""
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
-    named = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = store(map_texts(named, ["node"], ["text"], lambda t: {"s": [x.tobytes() for x in shingle_sets(t, shingle)]}, {"s": "binary"}), "similar-sets")
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    out = store(joined.select("a", "b", alike("x", "y").alias("ok")), "similar-verified")
-    drop_stored(sets)
-    return out
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """doc_id, component_id of every row: components of the pairs that are similar by exact count.
-
-    Similarity is the Jaccard of multisets of five-word shingles. Equal texts
-    collapse first. Fingerprints propose pairs in rounds: a forest of near pairs
-    for each set that meets, then, of components that a refused pair touches,
-    the closest pairs between each two components, at last all of them; so every
-    near pair is checked unless its texts are linked already. Null ids never
-    name a component.
-    """
-    small_arrow_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    rows = store(map_texts(texts, ["doc_id", "node"], ["text"], lambda t: {"bits": wide_fingerprints(t, shingle)}, {"bits": "binary"}), "similar-rows")
-    now = wide = store(rows.groupBy("node").agg(F.first("bits").alias("bits")).withColumn("label", F.col("node")), "similar-wide")
-    tried = roots = None
-    for most in (0, 16, 512, MEET * MEET):
-        pairs = proposals(now, most, similarity)
-        pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "similar-pairs")
-        checked = verified(pairs, texts.select("node", "text"), similarity, shingle)
-        tried = checked if tried is None else store(tried.unionByName(checked), "similar-tried")
-        roots = store(connected_components(tried.filter("ok").select("a", "b")), "similar-roots")
-        release_shuffles(docs.sparkSession)
-        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        refused = tried.filter("NOT ok").join(name("a"), "a", "left").join(name("b"), "b", "left")
-        refused = refused.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
-        open_labels = store(refused.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "similar-open")
-        if open_labels.isEmpty():
-            break
-        labelled = wide.select("node", "bits").join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("label"))
-        now = store(labelled.join(open_labels, "label", "left_semi"), "similar-now")
-    placed = store(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "similar-placed")
-    least = store(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
-    return placed.join(least, "root").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The documents left when each group of near copies keeps the one with the least doc_id.
-
-    Of repeated rows of that id one stays. Rows with a null id cannot be told
-    apart by id; they stay.
-    """
-    found = similar_groups(docs, similarity, shingle)
-    kept = store(found.filter("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
