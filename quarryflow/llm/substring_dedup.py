@@ -10,12 +10,14 @@ repeated anchor. The steps:
    between. An aggregation by anchor counts occurrences and tells whether all of
    them have the same successor.
 2. Compaction. A self-join of the repeated anchors finds the nonbranching edges:
-   a's only successor is b and b's only predecessor is a. Occurrences of such a
-   path spell the same words everywhere.
-3. Source coordinates. A join takes the paths back to the places where they
-   occur. A path that spans `window` words settles all its windows. Other windows
-   with a repeated anchor, at branches and path ends, are verified by a 128-bit
-   hash of all their words, counted over the corpus.
+   a's only successor is b and b's only predecessor is a. Rounds of joins, each
+   doubling the reach, lead every anchor to the head of its path. All
+   occurrences of a path spell the same words.
+3. Source coordinates. A join takes the paths of `window` words and more back to
+   the places where they occur. Other windows with a repeated anchor, at
+   branches and path ends, are taken one by one. A digest of the words
+   themselves at each of these places verifies them: what repeats has equal
+   words twice at least.
 4. Each document's spans are joined to its text and cut out.
 """
 
@@ -29,10 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release_shuffles, small_arrow_batches, store
-from .rolling import MOST, SECOND_BASE, WORD_BASE, Words, in_portions, winnowed
-
-_NO_ID = -(2**63)
+from .common import drop_stored, release_shuffles, slices, store
+from .rolling import MOST, Words, in_portions, winnowed
 
 
 def _anchored(texts: list[str], window: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,17 +50,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A row is known by its id and a hash of its text; equal rows share all results."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).cast("long").alias("did"), F.hash(text).alias("tag"), text.alias("text"))
-
-
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+        for batch in slices(batches):
+            texts, row = batch.column("text").to_pylist(), batch.column("row").to_numpy()
             for lo, hi in in_portions(texts):
                 words, h, chosen, _, _ = _anchored(texts[lo:hi], window)
                 at = np.flatnonzero(chosen)
@@ -68,74 +61,90 @@ def _anchor_rows(window: int):
                 same = doc[1:] == doc[:-1]
                 gap = np.zeros(len(at), np.int32)
                 gap[:-1] = np.where(same, at[1:] - at[:-1], 0)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "anchor": _signed(a), "did": did[lo:hi][doc], "tag": tag[lo:hi][doc], "pos": (at - words.doc_from[doc]).astype(np.int32),
-                        "gap": gap, "next": _signed(np.concatenate((a[1:], a[:1]))),
-                    }
-                )
+                pos = (at - words.doc_from[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"anchor": _signed(a), "row": row[lo:hi][doc], "pos": pos, "gap": gap, "next": _signed(np.concatenate((a[1:], a[:1])))})
 
     return run
 
 
-def _graph(anchors: DataFrame) -> DataFrame:
-    """Repeated anchors, and whether the edge to the right is nonbranching on both ends.
+def _paths(anchors: DataFrame, window: int) -> DataFrame:
+    """anchor of every repeated anchor; length, in words, for those that head a nonbranching path of a window or more.
 
-    If all n occurrences of a lead to b at one gap, and b occurs n times, then
-    each occurrence of b comes from a.
+    An edge is nonbranching if all n occurrences of a lead to b at one gap, and b
+    occurs n times: then each occurrence of b comes from a. Texts end, so there
+    are no nonbranching cycles, and the rounds do too.
     """
     nodes = anchors.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("gap").alias("gap"), F.max("gap").alias("gap_most"), F.min("next").alias("next"), F.max("next").alias("next_most")
     )
     nodes = store(nodes.filter("n >= 2"), "substring-nodes")
     one_next = nodes.filter("gap = gap_most AND gap > 0 AND next = next_most")
-    left = one_next.select("anchor", "n", F.col("next").alias("to"))
-    right = nodes.select(F.col("anchor").alias("to"), F.col("n").alias("n_to"))
-    solid = left.join(right, "to").filter("n = n_to").select("anchor", F.lit(1).alias("solid"))
-    return nodes.select("anchor").join(solid, "anchor", "left").select("anchor", F.coalesce("solid", F.lit(0)).alias("solid"))
+    left = one_next.select(F.col("anchor").alias("up"), "n", "gap", F.col("next").alias("anchor"))
+    edges = left.join(nodes.select("anchor", F.col("n").alias("n_to")), "anchor").filter("n = n_to")
+    # each node's ancestor, 1, 2, 4, ... edges up; done once that is the head of the path
+    now = store(edges.select("anchor", "up", F.col("gap").cast("long").alias("far"), F.lit(False).alias("done")), "substring-up")
+    ended = now.filter("done")
+    while not now.filter("NOT done").isEmpty():
+        todo = now.filter("NOT done")
+        above = ended.unionByName(todo).select(F.col("anchor").alias("up"), F.col("up").alias("higher"), F.col("far").alias("farther"), F.col("done").alias("known"))
+        met = todo.join(above, "up", "left")
+        far = F.col("far") + F.coalesce("farther", F.lit(0))
+        now = store(met.select("anchor", F.coalesce("higher", "up").alias("up"), far.alias("far"), (F.col("higher").isNull() | F.col("known")).alias("done")), "substring-up")
+        ended = ended.unionByName(now.filter("done"))
+    k = window // 2 + 1
+    heads = ended.groupBy(F.col("up").alias("anchor")).agg((F.max("far") + k).alias("length")).filter(F.col("length") >= window)
+    return nodes.select("anchor").join(heads, "anchor", "left")
+
+
+def _digests(words: list[bytes], starts: list[int], ends: list[int]) -> list[bytes]:
+    """16 bytes for each stretch of words, of the words themselves."""
+    joined = memoryview(b" ".join(words))
+    at = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    lo, hi = at[starts].tolist(), (at[ends] - 1).tolist()
+    return [hashlib.blake2b(joined[s:e], digest_size=16).digest() for s, e in zip(lo, hi, strict=True)]
 
 
-def _span_rows(window: int):
-    """Settled spans and windows to verify, of documents with repeated anchors."""
+def _span_rows(window: int, by_paths: bool):
+    """Paths and single windows, each with the digest of its words, of documents with repeated anchors.
+
+    marks hold the place of a repeated anchor in the upper, the length of the
+    path that begins there (or zero) in the lower half of a long.
+    """
     k = window // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, marks = batch.column("text").to_pylist(), batch.column("marks")
-            did, tag = batch.column("did").to_numpy(), batch.column("tag").to_numpy()
+            row = batch.column("row").to_numpy()
             for lo, hi in in_portions(texts):
                 words, h, _, least, ok = _anchored(texts[lo:hi], window)
                 n = len(ok)
                 if not n:
                     continue
-                known, solid = [], []
-                for d in range(hi - lo):
-                    m = np.sort(marks[lo + d].values.to_numpy())
-                    known.append((m >> 1) + words.doc_from[d])
-                    solid.append(m & 1)
-                at, edge = np.concatenate(known), np.flatnonzero(np.concatenate(solid))
-                chain = np.split(edge, np.flatnonzero(np.diff(edge) != 1) + 1) if len(edge) else []
-                spans = np.array([(at[c[0]], at[c[-1] + 1] + k) for c in chain], np.int64).reshape(-1, 2)
-                spans = spans[spans[:, 1] - spans[:, 0] >= window]
+                m = [np.sort(marks[lo + d].values.to_numpy()) for d in range(hi - lo)]
+                at = np.concatenate([(x >> 32) + words.doc_from[d] for d, x in enumerate(m)])
+                length = np.concatenate([x & 0xFFFFFFFF for x in m]) * by_paths
+                begin, size = at[length > 0], length[length > 0]
                 depth = np.zeros(n + 1, np.int64)
-                np.add.at(depth, spans[:, 0], 1)
-                np.add.at(depth, spans[:, 1] - window + 1, -1)
+                np.add.at(depth, begin, 1)
+                np.add.at(depth, begin + size - window + 1, -1)
                 repeated = np.zeros(len(h), bool)
                 repeated[at] = True
                 near = _window_has(repeated, h, least, window - k + 1)
                 todo = np.flatnonzero(ok & near & (np.cumsum(depth)[:n] == 0))
-                one, two = (words.windows(window, b)[0][todo] for b in (WORD_BASE, SECOND_BASE))
-                doc = words.doc[np.concatenate((spans[:, 0], todo))]
-                start = np.concatenate((spans[:, 0], todo)) - words.doc_from[doc]
-                length = np.concatenate((spans[:, 1] - spans[:, 0], np.full(len(todo), window)))
+                begin, size = np.concatenate((begin, todo)), np.concatenate((size, np.full(len(todo), window)))
+                doc = words.doc[begin]
+                order = np.argsort(doc, kind="stable")
+                begin, size, doc = begin[order], size[order], doc[order]
+                start = begin - words.doc_from[doc]
+                digest: list[bytes] = []
+                cuts = np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()
+                for d, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if s < e:
+                        digest += _digests(texts[lo + d].encode().split(), start[s:e], start[s:e] + size[s:e])
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "one": np.concatenate((np.zeros(len(spans), np.int64), _signed(one))),
-                        "two": np.concatenate((np.zeros(len(spans), np.int64), _signed(two))),
-                        "verify": np.repeat((False, True), (len(spans), len(todo))),
-                        "did": did[lo:hi][doc], "tag": tag[lo:hi][doc], "start": start.astype(np.int32), "length": length.astype(np.int32),
-                    }
-                )
+                    {"digest": pa.array(digest, pa.binary()), "path": size > window, "row": row[lo:hi][doc], "start": start.astype(np.int32), "length": size.astype(np.int32)}
+                )
 
     return run
 
@@ -146,7 +155,7 @@ def _window_has(repeated: np.ndarray, h: np.ndarray, least: np.ndarray, width: i
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n_words, n_removed, digests, kept_texts = [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans"), strict=True):
             words = text.encode().split()
@@ -167,30 +176,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """did, tag, start, length of word spans whose every window of `window` words is repeated.
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text: the rows stored under numbers of their own, null texts as empty."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return store(texts.withColumn("row", F.monotonically_increasing_id()), "substring-texts")
+
+
+def repeated_spans(rows: DataFrame, window: int = 35) -> DataFrame:
+    """row, start, length of word spans whose every window of `window` words is repeated.
 
-    did is the doc_id (the least long for null), tag the hash of the text; spans
-    of a document overlap. Together they cover all repeated windows and nothing else.
+    rows: row, text. Spans of a row overlap. Together they cover all repeated
+    windows and nothing else.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
-    rows = _keyed(docs).drop("doc_id")
-    anchors = store(rows.mapInArrow(_anchor_rows(window), "anchor long, did long, tag int, pos int, gap int, next long"), "substring-anchors")
-    graph = store(_graph(anchors), "substring-graph")
+    spark = rows.sparkSession
+    rows = rows.select("row", "text")
+    anchors = store(rows.mapInArrow(_anchor_rows(window), "anchor long, row long, pos int, gap int, next long"), "substring-anchors")
+    graph = store(_paths(anchors, window), "substring-paths")
     release_shuffles(spark)
-    marks = anchors.join(graph, "anchor").groupBy("did", "tag").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.col("solid")).alias("marks"))
-    marks = store(marks, "substring-marks")
+    mark = F.shiftleft(F.col("pos").cast("long"), 32) + F.coalesce("length", F.lit(0))
+    marks = store(anchors.join(graph, "anchor").groupBy("row").agg(F.collect_set(mark).alias("marks")), "substring-marks")
     drop_stored(anchors)
     release_shuffles(spark)
-    found = store(rows.join(marks, ["did", "tag"]).mapInArrow(_span_rows(window), "one long, two long, verify boolean, did long, tag int, start int, length int"), "substring-windows")
+
+    def found(by_paths: bool) -> DataFrame:
+        kinds = "digest binary, path boolean, row long, start int, length int"
+        return store(rows.join(marks, "row").mapInArrow(_span_rows(window, by_paths), kinds), "substring-windows")
+
+    spans = found(True)
     release_shuffles(spark)
-    repeated = store(found.filter("verify").groupBy("one", "two").count().filter("count >= 2").drop("count"), "substring-repeated")
-    verified = found.filter("verify").join(repeated, ["one", "two"])
-    cols = ["did", "tag", "start", "length"]
-    return found.filter("NOT verify").select(cols).unionByName(verified.select(cols))
+    counted = store(spans.groupBy("digest").agg(F.count("*").alias("n"), F.max("path").alias("path")), "substring-counted")
+    if not counted.filter("path AND n = 1").isEmpty():
+        # anchors of unlike words had one hash: take every window for itself
+        spans = found(False)
+        counted = store(spans.groupBy("digest").agg(F.count("*").alias("n")), "substring-counted")
+    return spans.join(counted.filter("n >= 2"), "digest", "left_semi").select("row", "start", "length")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -199,13 +220,15 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     Every word covered by a window that also starts elsewhere, in any document
     or the same one, goes; windows are judged on the input. A null text has no
     words; a text shorter than the window loses nothing; a repeated row is
-    another place, so both lose all windows. Null ids are rows like any other.
+    another place, so both lose all windows, however often it comes. Very long
+    texts are taken whole, one at a time. Null ids are rows like any other.
     An empty table gives an empty result; further columns are ignored.
     """
-    spark = docs.sparkSession
-    spans = repeated_spans(docs, window)
-    per_doc = spans.groupBy("did", "tag").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")).alias("spans"))
-    per_doc = store(per_doc, "substring-spans")
-    release_shuffles(spark)
-    joined = _keyed(docs).join(per_doc, ["did", "tag"], "left").select("doc_id", "text", "spans")
+    rows = numbered_rows(docs)
+    spans = repeated_spans(rows, window)
+    # a row's spans are at most its words
+    per_row = spans.groupBy("row").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")).alias("spans"))
+    per_row = store(per_row, "substring-spans")
+    release_shuffles(docs.sparkSession)
+    joined = rows.join(per_row, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
