@@ -6,8 +6,11 @@ a row x the triangle inequality gives |q - x| >= max over pivots of
 evaluated in falling order of that upper bound until it drops below the k-th
 best score, so nothing that could enter the result is skipped.
 
-The stated queries meet all rows block by block: a task holds one block of
-queries and one block of rows, both of bounded size.
+Rows lie in the cell of their nearest pivot, large cells in several blocks, and
+stay there. Every query first searches one block of its own cell, which gives it
+a floor, the score that a k-th best row has at least. Then it goes to the blocks
+of those cells alone whose ranges of distances allow the floor. A task holds one
+block and lets the queries pass by.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -42,44 +45,99 @@ def farthest_first(sample: np.ndarray, m: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def matrix(rows: pd.Series, width: int) -> np.ndarray:
-    """Vectors as float64 rows, short ones filled with zeros. Whole numbers up to 2^53 are exact."""
+def matrix(rows: list, width: int) -> np.ndarray:
+    """Vectors (the bytes of their int64 components) as float64 rows, short ones filled with zeros. Whole numbers up to 2^53 are exact."""
+    whole = [np.frombuffer(r, np.int64) for r in rows]
+    if all(len(r) == width for r in whole):
+        return np.array(whole, np.float64).reshape(len(rows), width)
     out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
+    for i, r in enumerate(whole):
         out[i, : len(r)] = r
     return out
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether products of whole-numbered a and b are exact as floats."""
+    return not (a.size and b.size) or np.abs(a).max() * np.abs(b).max() * a.shape[-1] < 2**53
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact products of whole-numbered a and b, by floats where they are exact."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2**53:
-        return a.astype(np.int64) @ b.astype(np.int64)
-    return (a @ b).astype(np.int64)
-
-
-def block_top_k(q: np.ndarray, q_uid: np.ndarray, q_piv: np.ndarray, floor: np.ndarray, x: np.ndarray, x_uid: np.ndarray, x_id: np.ndarray, x_piv: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its top k rows of the block: position of the query, positions of rows, scores."""
-    q_norm, x_norm = (q * q).sum(1), (x * x).sum(1)
-    step = 64
-    for i in range(len(q)):
-        low = np.abs(x_piv - q_piv[i]).max(1) if x_piv.shape[1] else np.zeros(len(x))
-        low = np.maximum(low * (1 - 1e-9) - 1e-6, 0)  # float errors never raise the lower bound
-        upper = (q_norm[i] + x_norm - low * low) / 2 + 1e-6 * (1 + q_norm[i])
-        live = np.flatnonzero((upper >= floor[i]) & (x_uid != q_uid[i]))
+    return (a @ b).astype(np.int64) if exact(a, b) else a.astype(np.int64) @ b.astype(np.int64)
+
+
+def distances(v: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (seeds * seeds).sum(1) - 2 * (v @ seeds.T), 0)).astype(np.float32)
+
+
+class Block:
+    """Rows of one cell, and the search among them."""
+
+    def __init__(self, x: np.ndarray, uid: np.ndarray, vec_id: np.ndarray, piv: np.ndarray, k: int):
+        self.x, self.uid, self.vec_id, self.piv, self.k = x, uid, vec_id, piv, k
+        self.norm = (x * x).sum(1)
+        # float errors never raise a lower bound
+        self.slack = 1e-6 * piv.max(1, initial=0) + 1e-7 * np.sqrt(self.norm)
+
+    def top(self, q: np.ndarray, uid: int, piv: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best rows for a query that score `floor` or more."""
+        norm = float(q @ q)
+        low = np.abs(self.piv - piv).max(1, initial=0) - self.slack - 1e-6 * piv.max(initial=0) - 1e-7 * norm**0.5
+        low = np.maximum(low, 0)
+        upper = (norm + self.norm - low * low) / 2 + 1e-9 * (norm + self.norm) + 1
+        live = np.flatnonzero((upper >= floor) & (self.uid != uid))
         order = live[np.argsort(-upper[live], kind="stable")]
-        got, scores, worst, at = np.empty(0, np.int64), np.empty(0, np.int64), floor[i], 0
-        while at < len(order) and upper[order[at]] >= worst:
+        got, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 64
+        while at < len(order) and upper[order[at]] >= floor:
             part = order[at : at + step]
-            at, step_scores = at + step, inner(x[part], q[i])
-            got, scores = np.concatenate((got, part)), np.concatenate((scores, step_scores))
-            best = np.lexsort((x_id[got], -scores))[:k]
+            at, step = at + step, 4 * step
+            got, scores = np.concatenate((got, part)), np.concatenate((scores, inner(self.x[part], q)))
+            best = np.lexsort((self.vec_id[got], -scores))[: self.k]
             got, scores = got[best], scores[best]
-            if len(got) == k:
-                worst = max(worst, scores[-1])
-        yield i, got, scores
+            if len(got) == self.k:
+                floor = max(floor, scores[-1])
+        return got, scores
+
 
+def _search(width: int, k: int):
+    """Rows come in order of their block, the block's own rows before the queries that visit it."""
 
-def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, query_block: int = 1024, row_block: int = 4096) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        at, block = None, None
+        for pdf in batches:
+            names, visits = pdf["block"].to_numpy(), pdf["visit"].to_numpy()
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (visits[1:] != visits[:-1])) + 1
+            out: dict[str, list] = {"query_uid": [], "query_id": [], "vec_id": [], "score": []}
+            for s, e in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                part = pdf.iloc[s:e]
+                if names[s] != at:
+                    at, held, block = names[s], [], None
+                if not visits[s]:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    rows = pd.concat(held)
+                    held, piv = [], np.frombuffer(b"".join(rows["piv"]), np.float32).reshape(len(rows), -1)
+                    block = Block(matrix(rows["q"].tolist(), width), rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), piv, k)
+                if block is None:
+                    continue
+                q, piv = matrix(part["q"].tolist(), width), np.frombuffer(b"".join(part["piv"]), np.float32).reshape(len(part), -1)
+                for i, (uid, vec_id, floor) in enumerate(zip(part["uid"], part["vec_id"], part["floor"], strict=True)):
+                    got, scores = block.top(q[i], uid, piv[i], floor)
+                    out["query_uid"] += [uid] * len(got)
+                    out["query_id"] += [vec_id] * len(got)
+                    out["vec_id"] += block.vec_id[got].tolist()
+                    out["score"] += scores.tolist()
+            yield pd.DataFrame(out)
+
+    return run
+
+
+FOUND = "query_uid long, query_id long, vec_id long, score long"
+
+
+def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, row_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are
@@ -87,53 +145,83 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 3
     find each other. Vectors null, or holding null or non-finite components, and
     rows with a null id take no part; an empty vector scores zero; vectors of
     unlike length are compared as if the shorter one ended in zeros. Fewer than
-    k candidates give fewer rows. Scores are 64-bit integers and must fit in them.
-    Further columns are ignored.
+    k candidates give fewer rows, an empty table none. Scores are 64-bit
+    integers and must fit in them. Further columns are ignored.
     """
     rows = store(quantised(vectors), "topk-vectors")
-    n, n_queries, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("q"))).first()
-    width = max(width or 1, 1)
+    width = max(rows.agg(F.max(F.size("q"))).first()[0] or 1, 1)
     sample = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(PIVOT_SAMPLE).toPandas()
-    points = matrix(sample["q"], width)
+    points = matrix([np.array(v, np.int64).tobytes() for v in sample["q"]], width)
     chosen = farthest_first(points, pivots) if len(points) else np.empty(0, int)
     seeds, seed_uid = points[chosen], sample["uid"].to_numpy()[chosen] if len(points) else np.empty(0, int)
-    n_query_blocks, n_row_blocks = max(1, -(-(n_queries or 0) // query_block)), max(1, -(-n // row_block))
 
-    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            whole = [np.asarray(v, np.int64).tobytes() for v in pdf["q"]]
+            v = matrix(whole, width)
+            d = distances(v, seeds)
+            # the k-th best score among the pivots, which are rows too
+            scores = inner(v, seeds.T).astype(np.float64)
+            scores[pdf["uid"].to_numpy()[:, None] == seed_uid] = -np.inf
+            floor = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(v), -np.inf)
+            cell = d.argmin(1) if d.shape[1] else np.zeros(len(v))
+            yield pd.DataFrame({"uid": pdf["uid"], "vec_id": pdf["vec_id"], "q": whole, "piv": [x.tobytes() for x in d], "cell": cell.astype(np.int32), "norm": (v * v).sum(1), "floor": floor})
+
+    # the pivot table, stored
+    known = store(rows.mapInPandas(measure, "uid long, vec_id long, q binary, piv binary, cell int, norm double, floor double"), "topk-pivots")
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each batch and cell the rows, the largest norm and the least and greatest distance to each pivot."""
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                piv = np.frombuffer(b"".join(part["piv"]), np.float32).reshape(len(part), -1)
+                low, high = (f(piv, 0).astype(np.float64).tolist() if piv.size else [] for f in (np.min, np.max))
+                yield pd.DataFrame({"cell": [cell], "n": [len(part)], "norm": [part["norm"].max()], "low": [low], "high": [high]})
+
+    m = len(seeds)
+    spans = known.select("cell", "piv", "norm").mapInPandas(ranges, "cell int, n long, norm double, low array<double>, high array<double>")
+    ends = [f(F.get(c, i)).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(m)]
+    cells = spans.groupBy("cell").agg(F.sum("n").alias("n"), F.max("norm").alias("norm"), *ends).orderBy("cell").collect()  # a row for each pivot at most
+    cell_ids, cell_norm = np.array([c.cell for c in cells], np.int32), np.array([c.norm for c in cells])
+    low, high = (np.array([[c[f"{end}{i}"] for i in range(m)] for c in cells]).reshape(len(cells), m) for end in ("low", "high"))
+    parts = {c.cell: -(-c.n // row_block) for c in cells}
+    n_parts = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else F.create_map().cast("map<int,int>")
+
+    def block(cell: Column, part: Column) -> Column:
+        return cell.cast("long") * (1 << 32) + part
+
+    own = F.pmod(F.xxhash64("uid"), n_parts[F.col("cell")]).cast("int")
+    placed = known.select(block(F.col("cell"), own).alias("block"), F.lit(False).alias("visit"), "uid", "vec_id", "q", "piv", F.lit(0.0).alias("floor"))
+    queries = known.filter(F.col("vec_id") % every == 0)
+
+    def searched(visits: DataFrame) -> DataFrame:
+        both = placed.unionByName(visits.select("block", F.lit(True).alias("visit"), "uid", "vec_id", "q", "piv", "floor"))
+        return both.repartition("block").sortWithinPartitions("block", "visit").mapInPandas(_search(width, k), FOUND)
+
+    some = searched(queries.withColumn("block", block(F.col("cell"), own)))
+    kth = Window.partitionBy("query_uid").orderBy(F.desc("score"))
+    some = some.withColumn("n", F.row_number().over(kth)).filter(F.col("n") == k).select(F.col("query_uid").alias("uid"), F.col("score").cast("double").alias("reached"))
+    aimed = queries.join(store(some, "topk-floors"), "uid", "left").withColumn("floor", F.greatest("floor", F.coalesce("reached", F.lit(float("-inf"))))).select("uid", "vec_id", "q", "piv", "norm", "floor")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cells that may hold a row of each query's floor."""
         for pdf in batches:
-            v = matrix(pdf["q"], width)
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (seeds * seeds).sum(1) - 2 * (v @ seeds.T), 0))
-            yield pdf.assign(piv=list(d))
-
-    # the pivot table, stored: distances of every row, each row in one block
-    dealt = rows.withColumn("row_block", F.pmod(F.xxhash64("uid"), F.lit(n_row_blocks)).cast("int"))
-    known = store(dealt.mapInPandas(distances, "uid long, vec_id long, q array<long>, row_block int, piv array<double>"), "topk-pivots")
-    queries = known.filter(F.col("vec_id") % every == 0).select(
-        F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n_query_blocks)).cast("int").alias("query_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_row_blocks - 1))).alias("row_block"),
-        F.col("uid"), F.col("vec_id"), F.col("q"), F.col("piv"),
-    )
-    candidates = known.select(F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("query_block"), "row_block", "uid", "vec_id", "q", "piv")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_uid": [], "query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            q, x = matrix(left["q"], width), matrix(right["q"], width)
-            q_uid, q_id = left["uid"].to_numpy(), left["vec_id"].to_numpy()
-            first = inner(q, seeds.T)
-            first[q_uid[:, None] == seed_uid] = np.iinfo(np.int64).min
-            enough = (first > np.iinfo(np.int64).min).sum(1) >= k
-            floor = np.where(enough, np.sort(first, 1)[:, -k] if first.shape[1] >= k else 0, -np.inf)
-            x_id = right["vec_id"].to_numpy()
-            for i, got, scores in block_top_k(q, q_uid, np.vstack(left["piv"].to_numpy()), floor, x, right["uid"].to_numpy(), x_id, np.vstack(right["piv"].to_numpy()), k):
-                out["query_uid"] += [q_uid[i]] * len(got)
-                out["query_id"] += [q_id[i]] * len(got)
-                out["vec_id"] += x_id[got].tolist()
-                out["score"] += scores.tolist()
-        return pd.DataFrame(out)
-
-    keys = ["query_block", "row_block"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(search, "query_uid long, query_id long, vec_id long, score long")
+            piv = np.frombuffer(b"".join(pdf["piv"]), np.float32).reshape(len(pdf), -1).astype(np.float64)
+            norm, floor = pdf["norm"].to_numpy(), pdf["floor"].to_numpy()
+            targets = []
+            for i in range(len(pdf)):
+                far = np.maximum(np.maximum(piv[i] - high, low - piv[i]).max(1, initial=0), 0)
+                slack = 1e-6 * (high.max(1, initial=0) + piv[i].max(initial=0)) + 1e-7 * (np.sqrt(cell_norm) + norm[i] ** 0.5)
+                far = np.maximum(far - slack, 0)
+                upper = (norm[i] + cell_norm - far * far) / 2 + 1e-9 * (norm[i] + cell_norm) + 1
+                targets.append(cell_ids[upper >= floor[i]])
+            n = [len(t) for t in targets]
+            cols = {c: pdf[c].repeat(n).to_numpy() for c in ("uid", "vec_id", "q", "piv", "floor")}
+            yield pd.DataFrame({"cell": np.concatenate(targets) if targets else [], **cols}).astype({"cell": "int32"})
+
+    gone = aimed.mapInPandas(visits, "cell int, uid long, vec_id long, q binary, piv binary, floor double")
+    every_part = F.explode(F.sequence(F.lit(0), n_parts[F.col("cell")] - 1))
+    found = searched(gone.select("*", every_part.alias("part")).withColumn("block", block(F.col("cell"), F.col("part"))))
     w = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
