@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's features are its words, its pairs of neighbouring words, the
-character n-grams of its text and a mark for each word that equals one of the
+character n-grams of its text and, as text that repeats itself is a common sort of
+junk which no single n-gram shows, a mark for each word that equals one of the
 two before it, all hashed into buckets. Every bucket has a learned vector; a document is
 the average of its vectors, a linear layer and a softmax give the probability of
 each class, and numpy stochastic gradient descent trains both.
@@ -21,15 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import fresh
 from .rolling import U, Words, in_portions, mix
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters. sample_per_class bounds the labelled rows that a fit uses."""
+    """Parameters. What a fit holds on the driver is bounded by 2 * sample_per_class * features_per_document * 8 bytes."""
 
-    sample_per_class: int = 600
+    sample_per_class: int = 1000
+    features_per_document: int = 4096
     buckets: int = 1 << 17
     width: int = 12
     epochs: int = 6
@@ -68,11 +70,12 @@ def feature_ids(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.
 
 
 def _balanced(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings) -> DataFrame:
-    """Up to sample_per_class labelled documents of each class, by the hash of their ids."""
+    """Up to sample_per_class labelled documents of each class, by the hash of their ids; of rows with one id the least text."""
     known = labels.filter(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q = 0 OR q = 1")
     part = [known.filter(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_per_class) for q in (0, 1)]
     chosen = part[0].unionByName(part[1])  # 2 * sample_per_class rows at most, so it can be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("q").cast("int").alias("q"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", F.col("q").cast("int").alias("q")).agg(F.min("text").alias("text"))
 
 
 @dataclass
@@ -125,12 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
     """Learns from a bounded sample of labelled rows that `learn` allows.
 
     Features are hashed on the executors; the driver gets each sampled
-    document's distinct buckets, at most `buckets` of them however long its text.
-    Rows with null labels, or labels other than 0 and 1, and ids with both labels
-    teach nothing. Without rows of both classes every score is 0.5.
+    document's distinct buckets with their counts, of a document with more than
+    features_per_document of them the most frequent. Rows with null labels, or
+    labels other than 0 and 1, and ids with both labels teach nothing. Without
+    rows of both classes every score is 0.5.
     """
     s = settings
-    small_arrow_batches(docs.sparkSession)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,6 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
                 for _, f in feature_ids([t], s):
                     total += np.bincount(f.astype(np.int64), minlength=s.buckets).astype(np.int32)
                 at = np.flatnonzero(total)
+                if len(at) > s.features_per_document:
+                    at = np.sort(at[np.argsort(-total[at], kind="stable")[: s.features_per_document]])
                 ids.append(at.astype(np.int32).tobytes())
                 counts.append(total[at].tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "q": pdf["q"], "ids": ids, "counts": counts})
@@ -149,10 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
     rows = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("q", "ascending"), ("ids", "ascending")])
     documents = []
+    ids = counts = None
     for ids, counts in zip(rows["ids"], rows["counts"], strict=True):
         c = np.frombuffer(counts.as_buffer(), np.int32)
-        documents.append((np.frombuffer(ids.as_buffer(), np.int32), (c / max(1, c.sum())).astype(np.float32)))
-    return train(documents, rows["q"].to_pylist(), s)
+        documents.append((np.frombuffer(ids.as_buffer(), np.int32).copy(), (c / max(1, c.sum())).astype(np.float32)))
+    classes = rows["q"].to_pylist()
+    del rows, ids, counts
+    return train(documents, classes, s)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -160,9 +168,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of `docs` and __score, __predicted; null texts count as empty."""
-    small_arrow_batches(docs.sparkSession)
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of `docs` and the score and prediction under `names`; null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a number for each bucket, whatever the input
 
     @F.pandas_udf("double")
@@ -170,8 +177,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for t in texts:
             yield pd.Series(shared.value.scores(t.tolist()))
 
-    scored = docs.withColumn("__score", probability(F.coalesce("text", F.lit(""))))
-    return scored.withColumn("__predicted", F.when(F.col("__score") >= threshold, 1).otherwise(0))
+    scored = docs.withColumn(names[0], probability(F.coalesce("text", F.lit(""))))
+    return scored.withColumn(names[1], F.when(F.col(names[0]) >= threshold, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
+    """The documents that score `threshold` or more, all columns kept; labels are learnt from rows not held out.
+
+    Without both classes among the labels nothing tells good from bad and every
+    document scores 0.5, so none stays.
+    """
+    names = (fresh(docs, "score"), fresh(docs, "predicted"))
+    return score(docs, fit(docs, labels, ~held_out(), settings), threshold, names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -179,9 +196,9 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     Labels are learnt from rows that are not held out; a score depends on the
     text alone, so ties and repeated rows score alike. Null and empty texts get
-    the score of no features. An empty table gives an empty result; further
+    the score of no features; a very long text is scored whole. An empty table gives an empty result; further
     columns are ignored.
     """
     model = fit(docs, labels, ~held_out(), settings)
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
