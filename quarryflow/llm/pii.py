@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_arrow_batches
+from .common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -49,7 +50,11 @@ _CONTEXT = {
     "phone": re.compile(r"\btel|phone|fono|telefon|mobil|\bcell|\bcall|\bfax|whatsapp", re.I),
 }
 _AGAINST = re.compile(r"token|secret|key|hash|isbn|issn|doi|version|\bv\s*$|order|serial|build|=\s*\"?$|#\s*$", re.I)
-_DOMAIN_ENDINGS = frozenset("com org net edu gov info io de fr es uk eu".split())
+#: Frequent endings of domains.
+_DOMAIN_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro aero coop museum mobi asia jobs tel travel cat app dev io ai co me tv cc "
+    "at au be br ca ch cl cn cz de dk es eu fi fr gr hk hu ie il in it jp kr lu mx nl no nz pl pt ro ru se sg sk tr tw ua uk us za".split()
+)
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +94,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the looser patterns that overlap no base span, and none found before."""
     taken = [(s, e) for _, s, e in base]
@@ -98,8 +116,10 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         # what the pattern cannot match without
         if not (_AT.search(text) if name == "email" else ":" in text if name == "ip" else digits):
             continue
+        starts, ends = merged(taken)  # matches of one pattern never overlap each other
         for m in _LOOSE[name].finditer(text):
-            if all(m.end() <= s or m.start() >= e for s, e in taken):
+            before = bisect_left(starts, m.end()) - 1
+            if before < 0 or ends[before] <= m.start():
                 out.append((kind, m.start(), m.end()))
                 taken.append(m.span())
     return out
@@ -225,9 +245,9 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
 
     Null texts count as empty; without spans base_sha256 is that of the empty
     string and spans is empty. Repeated rows and null ids are rows like any
-    other. An empty table gives an empty result; further columns are ignored.
+    other; a very long text is searched whole, in time linear to its length. An
+    empty table gives an empty result; further columns are ignored.
     """
-    small_arrow_batches(docs.sparkSession)
     model = learn(count_votes(docs))
 
     def run(texts: list[str]) -> dict[str, list]:
@@ -255,8 +275,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
-    """`docs` with personal data masked in text; a null text stays null."""
-    small_arrow_batches(docs.sparkSession)
+    """`docs` with personal data masked in text, all columns kept; a null text stays null, an empty table empty."""
     model = learn(count_votes(docs))
 
     @F.pandas_udf("string")
