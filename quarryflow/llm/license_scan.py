@@ -1,9 +1,10 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment decides.
 
 Templates and texts are words of letters and digits, case ignored. Word 3-grams
-of the templates are winnowed (the least hash of every three neighbours), and an
-inverted index leads from a fingerprint to its templates and places. A text's
-3-grams probe the index; hits on near diagonals form a candidate, and a banded
+of the templates are winnowed (the least hash of every three neighbours; of
+templates up to SHORT words all 2-grams count, as one edit may spoil every
+longer one), and an inverted index leads from a fingerprint to its templates and
+places. A text's n-grams probe the index; hits on near diagonals form a candidate, and a banded
 alignment of the whole template against the text around it reports which share
 of the template's words match, in order, and the span they cover.
 """
@@ -11,6 +12,7 @@ of the template's words match, in order, and the span they cover.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import slices
 from .rolling import U, Words, in_portions, winnowed
 
-GRAM, WINNOW = 3, 3
+GRAM, WINNOW, SHORT = 3, 3, 12
 
 #: (license, form, text): one-line statements and the notices that the licenses ask for.
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -66,6 +68,96 @@ TEMPLATES: list[tuple[str, str, str]] = [
         "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
         "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    (
+        "BSD-3-Clause",
+        "disclaimer",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "notice",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "MIT",
+        "disclaimer",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "LGPL-3.0",
+        "notice",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "Unlicense",
+        "license",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+        "any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of "
+        "our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        "to this software under copyright law.",
+    ),
+    (
+        "Zlib",
+        "license",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, "
+        "an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly "
+        "marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any "
+        "source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "notice",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)",
+    ),
+    (
+        "CC0-1.0",
+        "notice",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to "
+        "the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public "
+        "Domain Dedication along with this software.",
+    ),
+    (
+        "EPL-2.0",
+        "notice",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+        "at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "GPL-2.0",
+        "notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     (
         "MPL-2.0",
         "notice",
@@ -95,18 +187,22 @@ class Index:
     def __init__(self, templates: list[tuple[str, str, str]]):
         self.names = [(a, b) for a, b, _ in templates]
         self.words: list[np.ndarray] = []
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        #: by n-gram length, from a fingerprint to (template, place)
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM - 1: defaultdict(list), GRAM: defaultdict(list)}
         self.prints: list[int] = []
+        self.gram: list[int] = []
         for i, (_, _, text) in enumerate(templates):
             w = Words([text], folded)
-            grams, valid = w.windows(GRAM)
-            ok = np.ones(max(0, len(grams) - WINNOW + 1), bool)
-            chosen, _ = winnowed(grams, valid, ok, WINNOW) if len(grams) >= WINNOW else (valid, None)
+            gram, width = (GRAM - 1, 1) if len(w.hash) <= SHORT else (GRAM, WINNOW)
+            grams, valid = w.windows(gram)
+            ok = np.ones(max(0, len(grams) - width + 1), bool)
+            chosen, _ = winnowed(grams, valid, ok, width) if len(grams) >= width else (valid, None)
             for p in np.flatnonzero(chosen):
-                self.places[int(grams[p])].append((i, int(p)))
+                self.places[gram][int(grams[p])].append((i, int(p)))
             self.words.append(w.hash)
             self.prints.append(int(chosen.sum()))
-        self.keys = np.array(sorted(self.places), U)
+            self.gram.append(gram)
+        self.keys = {g: np.array(sorted(p), U) for g, p in self.places.items()}
 
 
 def aligned(template: np.ndarray, text: np.ndarray, offset: int, band: int) -> tuple[int, int, int]:
@@ -133,6 +229,14 @@ def aligned(template: np.ndarray, text: np.ndarray, offset: int, band: int) -> t
     return n, first - 1, -last
 
 
+def _on(spans: list[tuple[int, int, int]], first: int, last: int) -> Iterator[int]:
+    """The matched words of those ordered, separate spans that overlap first:last."""
+    at = bisect_left(spans, (last,)) - 1
+    while at >= 0 and spans[at][1] > first:
+        yield spans[at][2]
+        at -= 1
+
+
 class Scanner:
     def __init__(self, index: Index, least: float, band: int):
         self.index, self.least, self.band = index, least, band
@@ -141,13 +245,14 @@ class Scanner:
         """(text number, template, coverage, matched words, start, end in characters), non-overlapping for each template."""
         index = self.index
         w = Words(texts, folded)
-        grams, valid = w.windows(GRAM)
-        at = np.flatnonzero(valid & np.isin(grams, index.keys))
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for p, h in zip(at.tolist(), grams[at].tolist(), strict=True):
-            for t, place in index.places[h]:
-                hits[int(w.doc[p]), t].append((p - place, p))
-        copies: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for gram, places in index.places.items():
+            grams, valid = w.windows(gram)
+            at = np.flatnonzero(valid & np.isin(grams, index.keys[gram]))
+            for p, h in zip(at.tolist(), grams[at].tolist(), strict=True):
+                for t, place in places[h]:
+                    hits[int(w.doc[p]), t].append((p - place, p))
+        copies: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = defaultdict(list)
         for (doc, t), found in sorted(hits.items()):
             lo, hi = w.doc_from[doc], w.doc_from[doc + 1]
             need = max(1, index.prints[t] // 4)
@@ -164,23 +269,25 @@ class Scanner:
                 if n >= self.least * len(index.words[t]) and n:
                     # short copies side by side share a group: what lies beside this one is aligned by itself
                     candidates.append((-n, first, last))
-                    todo.append((lo, first, [h for h in group if h[1] + GRAM <= first]))
+                    todo.append((lo, first, [h for h in group if h[1] + index.gram[t] <= first]))
                     todo.append((last, hi, [h for h in group if h[1] >= last]))
                 else:
                     todo.append((lo, hi, [h for h in group if h[0] < diagonal]))
                     todo.append((lo, hi, [h for h in group if h[0] > diagonal]))
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int, int]] = []  # spans apart from each other, in order
             for n, first, last in sorted(set(candidates)):
-                if all(last <= a or first >= b for a, b in taken):
-                    taken.append((first, last))
-                    copies[doc].append((t, -n, first, last))
+                at = bisect_left(taken, (last,)) - 1
+                if at < 0 or taken[at][1] <= first:
+                    insort(taken, (first, last, -n))
+            copies[doc].append((t, taken))
         for doc, found in copies.items():
             begin = w.first[doc]
-            for t, n, first, last in found:
-                share = n / len(index.words[t])
-                # of sister templates on one passage the one that it matches better stands
-                if not any(m >= n and m / len(index.words[o]) > share and last > a and first < b for o, m, a, b in found):
-                    yield doc, t, share, n, int(w.starts[first] - begin), int(w.ends[last - 1] - begin)
+            for t, taken in found:
+                for first, last, n in taken:
+                    share = n / len(index.words[t])
+                    # of sister templates on one passage the one that it matches better stands
+                    if not any(m >= n and m / len(index.words[o]) > share for o, others in found if o != t for m in _on(others, first, last)):
+                        yield doc, t, share, n, int(w.starts[first] - begin), int(w.ends[last - 1] - begin)
 
     def _groups(self, found: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = 0
@@ -196,13 +303,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None
     start and end count code points of the text. A document may match several
     templates (of overlapping ones the better matched stands), and one template at several places; without a match it has no
     row. Null and empty texts match nothing; repeated rows repeat their matches;
-    null ids are kept. The templates are a short list that every task holds.
+    null ids are kept. Very long texts are scanned whole, in portions of one
+    text. An empty table gives an empty result; further columns are ignored. The
+    templates are a short list that every task holds.
     """
-    small_arrow_batches(docs.sparkSession)
     scanner = Scanner(Index(templates or TEMPLATES), coverage, band)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, found = batch.column("text").to_pylist(), []
             for lo, hi in in_portions(texts):
                 found += [(lo + d, *scanner.index.names[t], round(c, 6), n, s, e) for d, t, c, n, s, e in scanner.scan(texts[lo:hi])]
