@@ -138,21 +138,21 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op8_decontamination": r"""
         WITH d0 AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        d AS (SELECT *, row_number() OVER () AS u, len(w) AS nw FROM d0 WHERE len(w) >= 5),
-        i AS (SELECT row_number() OVER () AS v, item_id, w, len(w) - 4 AS n FROM (
-                SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) >= 5),
-        ds AS (SELECT u, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS h FROM (SELECT u, w, unnest(range(nw - 4)) AS p FROM d)),
+        d AS (SELECT *, row_number() OVER () AS u, len(w) AS nw, greatest(len(w) - 4, 1) AS nd FROM d0 WHERE len(w) >= 1),
+        i AS (SELECT row_number() OVER () AS v, item_id, w, greatest(len(w) - 4, 1) AS n FROM (
+                SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) >= 1),
+        ds AS (SELECT u, p, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS h FROM (SELECT u, w, unnest(range(nd)) AS p FROM d)),
         ish AS (SELECT v, h, count(*) AS c FROM (
                 SELECT v, array_to_string(list_slice(w, p + 1, p + 5), ' ') AS h FROM (SELECT v, w, unnest(range(n)) AS p FROM i)) GROUP BY v, h),
         hit AS (SELECT DISTINCT u, v, p, ds.h, c FROM ds JOIN ish USING (h)),
         win AS (SELECT DISTINCT u, v, s FROM (
-                SELECT hit.u, hit.v, least(hit.p, greatest(nw - n - 4, 0)) AS s FROM hit JOIN d USING (u) JOIN i USING (v)
+                SELECT hit.u, hit.v, least(hit.p, greatest(nd - n, 0)) AS s FROM hit JOIN d USING (u) JOIN i USING (v)
                 UNION ALL
-                SELECT hit.u, hit.v, greatest(nw - n - 4, 0) FROM hit JOIN d USING (u) JOIN i USING (v))),
+                SELECT hit.u, hit.v, greatest(nd - n, 0) FROM hit JOIN d USING (u) JOIN i USING (v))),
         both_ AS (SELECT u, v, s, sum(least(k, c)) AS b FROM (
                 SELECT win.u, win.v, s, h, c, count(*) AS k FROM win JOIN i USING (v) JOIN hit ON hit.u = win.u AND hit.v = win.v AND p >= s AND p < s + n
                 GROUP BY win.u, win.v, s, h, c) GROUP BY u, v, s),
-        sim AS (SELECT doc_id, d.u, item_id, s, least(n, nw - 4) + 4 AS n_words, b / (least(n, nw - 4) + n - b) AS x
+        sim AS (SELECT doc_id, d.u, item_id, s, least(least(n, nd) + 4, nw) AS n_words, b / (least(n, nd) + n - b) AS x
                 FROM both_ JOIN d USING (u) JOIN i USING (v))
         SELECT doc_id, item_id, CAST(s AS INTEGER) AS start, CAST(n_words AS INTEGER) AS n_words, round(x, 6) AS similarity FROM (
           SELECT *, row_number() OVER (PARTITION BY u, item_id ORDER BY x DESC, s, n_words) AS r FROM sim WHERE x >= 0.8) WHERE r = 1

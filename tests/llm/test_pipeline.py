@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from quarryflow.llm import decontaminate, pii, quality, simhash
+from quarryflow.llm import decontaminate, near_dedup, pii, quality
 from quarryflow.llm.common import store, table
 
 SF = "/root/testdata/sf0.01"
@@ -28,7 +28,7 @@ def test_stages_take_effect(spark):
     clean = [i for i, q in truth.items() if q == 1]
     assert sum(i in ids["quality"] for i in clean) > 0.97 * len(clean)
 
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(after["quality"]).collect()}
+    found = {r.doc_id: r.component_id for r in near_dedup.similar_groups(after["quality"]).collect()}
     assert ids["near_dedup"] == set(found.values())
     shingles = {}
     for r in after["quality"].collect():
