@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from quarryflow.llm.common import store, table
 from quarryflow.llm.decontaminate import decontaminate
+from quarryflow.llm.near_dedup import keep_one
 from quarryflow.llm.packing import pack
 from quarryflow.llm.pii import mask_pii
-from quarryflow.llm.quality import fit, held_out, score
-from quarryflow.llm.simhash import keep_one
+from quarryflow.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It learns from the labelled rows of docs whose crc32(doc_id) mod 4 is not 2.
     """
-    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return score(docs, model).filter("__predicted = 1").select(*docs.columns)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays.
+    """Of each group of near copies one row stays, the one with the least doc_id.
 
-    Links are pairs whose five-word shingles are 0.8 similar by exact count.
+    Wide SimHash fingerprints of five-word shingles propose groups; links are
+    pairs that are 0.8 similar by exact count of their shingles.
     """
     return keep_one(docs)
 
