@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+#: Rows of a range that `with_positions` sorts, on average at most.
+RANGE_ROWS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quarryflow-")
+        folder = tempfile.mkdtemp(prefix="quarryflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_dirs[app] = "file://" + folder
     return _local_dirs[app]
 
 
@@ -37,12 +43,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def clean_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application, once its results are written."""
-    _delete(spark, scratch_dir(spark))
+    delete(spark, scratch_dir(spark))
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _path(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _path(spark, folder)
+    return files.exists(path)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +76,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that `store` wrote, once nothing reads it any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 def with_positions(df: DataFrame, order: Sequence[str], size: str | None = None, name: str = "ordered") -> DataFrame:
@@ -68,11 +84,14 @@ def with_positions(df: DataFrame, order: Sequence[str], size: str | None = None,
 
     Rows are dealt by ranges of the order, each partition's totals (a row for
     each partition) become prefix sums, and a running window inside each
-    partition does the rest. No partition sees more than its range.
+    partition does the rest. No partition sees more than its range: a random
+    number after the order parts even rows that are all alike, and large tables
+    get a partition for every `RANGE_ROWS` rows.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = store(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    order = [*order, "__tie"]
+    dealt = store(df.withColumn("__tie", F.rand(11)).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), name)
     total = F.sum(size) if size else F.lit(0)
     base_rows = base_size = 0
     bases = []
@@ -85,4 +104,4 @@ def with_positions(df: DataFrame, order: Sequence[str], size: str | None = None,
     if size:
         upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = out.withColumn("offset", F.col("__size") + upto - F.col(size))
-    return out.drop("__part", "__rows", "__size")
+    return out.drop("__part", "__rows", "__size", "__tie")

@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -162,11 +162,16 @@ def from_inverted_index(index: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(F.array_sort(placed), lambda t: t["w"]), " "), F.lit(""))
 
 
-def to_inverted_index(words: Column) -> Column:
-    """word -> positions, in one pass over the distinct words."""
-    return F.map_from_entries(
-        F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w)))
-    )
+def with_inverted_index(df: DataFrame, by: list[str], words: Column, name: str = "index") -> DataFrame:
+    """by (which identify a row) and the map word -> positions; rows without words have an empty map.
+
+    Two aggregations do this in time linear to the text, and a word's positions are
+    gathered by as many tasks as there are words.
+    """
+    placed = df.select(*by, F.posexplode_outer(words).alias("pos", "word"))
+    listed = placed.groupBy(*by, "word").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    entries = F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "places")))
+    return listed.groupBy(*by).agg(F.map_from_entries(entries).alias(name))
 
 
 def dot(a: Column, b: Column) -> Column:

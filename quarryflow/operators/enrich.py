@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_doi, text_or_empty
@@ -20,8 +20,10 @@ def enrich(papers: DataFrame, works: DataFrame, ord: str = "ord", name: str = "o
     keyed = papers.drop(*topics).withColumn("__doi", F.nullif(normalize_doi("doi_raw"), F.lit("")))
     # records without a DOI take no part in the shuffles: they would all have one key
     named, bare = keyed.filter("__doi IS NOT NULL"), keyed.filter("__doi IS NULL").drop("__doi")
-    last = F.row_number().over(Window.partitionBy("__doi").orderBy(F.desc(ord))) == 1
-    joined = named.withColumn("__last", last).join(found, "__doi", "left").withColumn("w", F.when(F.col("__last"), F.col("w")))
+    # an aggregate tells each DOI's last record: a frequent DOI costs one row from each task
+    last = named.groupBy("__doi").agg(F.max(ord).alias("__at"))
+    work = last.join(found, "__doi").select("__doi", "__at", "w")
+    joined = named.join(work, "__doi", "left").withColumn("w", F.when(F.col(ord) == F.col("__at"), F.col("w")))
     fill = (text_or_empty("abstract") == "") & (text_or_empty("w.found") != "")
     filled = joined.withColumns(
         {
@@ -29,5 +31,5 @@ def enrich(papers: DataFrame, works: DataFrame, ord: str = "ord", name: str = "o
             "abstract": F.when(fill, F.col("w.found")).otherwise(F.col("abstract")),
             **{t: F.col(f"w.{t}") for t in topics},
         }
-    ).drop("__doi", "__last", "w")
+    ).drop("__doi", "__at", "w")
     return filled.unionByName(bare, allowMissingColumns=True)

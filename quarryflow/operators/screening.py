@@ -67,10 +67,10 @@ def keyword_hits(hay: Column, keywords: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(hay, F.lower(F.lit(k))), F.lit(k)) for k in keywords]))
 
 
-def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str | None = None) -> DataFrame:
+def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str | None = None, title: str = "title") -> DataFrame:
     """Adds core_hits, proxy_hits, eco_hits, matched_keywords, keyword_tier and tier."""
     # the text is lowered once for each row, not once for each tier
-    out = df.withColumn("__hay", haystack(topics=topics))
+    out = df.withColumn("__hay", haystack(title, topics=topics))
     for t in TIERS:
         out = out.withColumn(f"{t}_hits", keyword_hits(F.col("__hay"), keywords.get(t, [])))
     tier = F.lit("other")
@@ -80,10 +80,10 @@ def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str
     return out.withColumn("matched_keywords", matched).withColumn("keyword_tier", tier).withColumn("tier", F.col("keyword_tier")).drop("__hay")
 
 
-def keyword_pairs(df: DataFrame, keywords: dict[str, list[str]], id: str) -> DataFrame:
+def keyword_pairs(df: DataFrame, keywords: dict[str, list[str]], id: str, title: str = "title") -> DataFrame:
     """id, tier, keyword for each hit: a theta join whose keyword side is a short literal list."""
     rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(i).alias("rank"), F.lit(k).alias("keyword")) for t in TIERS for i, k in enumerate(keywords.get(t, []))])
-    hay = df.select(id, haystack().alias("hay"), rows.alias("k"))
+    hay = df.select(id, haystack(title).alias("hay"), rows.alias("k"))
     return hay.select(id, F.explode(F.filter("k", lambda k: F.contains(F.col("hay"), F.lower(k["keyword"])))).alias("k")).select(id, "k.tier", "k.rank", "k.keyword")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import delete, exists, with_positions
 from ..functions.text import text_or_empty
 
 #: The states of reading.
@@ -46,16 +47,60 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str], replace: list[st
     return joined.select(*out, (~known).alias("is_new"), came.alias("in_batch"))
 
 
-def write_version(df: DataFrame, root: str, name: str, version: int) -> None:
-    """A new version beside the old ones, then the pointer; a reader never sees half a table."""
-    df.write.mode("errorifexists").parquet(f"{root}/{name}/v={version}")
-    pointer = df.sparkSession.createDataFrame([(version,)], "version int").coalesce(1)
+def with_ids(after: DataFrame, keys: list[str], id: str = "id") -> DataFrame:
+    """The state of an upsert with numbers for its new rows, after the greatest so far, in order of their keys."""
+    top = after.agg(F.max(id)).first()[0] or 0
+    fresh = with_positions(after.filter(F.col(id).isNull()), keys, name="state-ids")
+    return after.filter(F.col(id).isNotNull()).unionByName(fresh.withColumn(id, F.col("row_pos") + top + 1).drop("row_pos"))
+
+
+def update_analysis(state: DataFrame, analysed: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The state with the analysed columns of the records that were analysed; rows of other keys keep theirs.
+
+    analysed: keys and columns, one row for each key.
+    """
+    new = analysed.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__came"))
+    joined = state.join(new, keys, "left")
+    return joined.select(*[F.when(F.col("__came"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in state.columns])
+
+
+def write_version(df: DataFrame, root: str, name: str, version: int, keep: int = 3) -> None:
+    """A new version beside the old ones, then the pointer; a reader never sees half a table.
+
+    Data without a pointer are what a failed attempt left: they are written
+    anew. Of versions that have one the last `keep` stay, for readers that are
+    still at work.
+    """
+    spark = df.sparkSession
+    written = versions(spark, root, name)
+    if version in written:
+        raise ValueError(f"version {version} of {name} exists")
+    df.write.mode("overwrite").parquet(f"{root}/{name}/v={version}")
+    pointer = spark.createDataFrame([(version,)], "version int").coalesce(1)
     pointer.write.mode("append").parquet(f"{root}/{name}_versions")
+    for old in sorted(written)[: -keep + 1 or None] if keep > 1 else sorted(written):
+        delete(spark, f"{root}/{name}/v={old}")
+
+
+def versions(spark: SparkSession, root: str, name: str) -> set[int]:
+    """The versions that have a pointer."""
+    path = f"{root}/{name}_versions"
+    if not exists(spark, path):
+        return set()
+    return {r[0] for r in spark.read.schema("version int").parquet(path).distinct().collect()}
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, int]:
-    version = spark.read.schema("version int").parquet(f"{root}/{name}_versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/v={version}"), version
+    """The newest version and its number."""
+    known = versions(spark, root, name)
+    if not known:
+        raise FileNotFoundError(f"{root} has no table {name}")
+    return spark.read.parquet(f"{root}/{name}/v={max(known)}"), max(known)
+
+
+def read_or_empty(spark: SparkSession, root: str, name: str, schema: str) -> tuple[DataFrame, int]:
+    """The newest version, or an empty table as version 0."""
+    return read_version(spark, root, name) if versions(spark, root, name) else (spark.createDataFrame([], schema), 0)
 
 
 RUNS = "run_id string, profile string, from_date string, to_date string, started_at string, finished_at string, counts map<string, long>, errors string"
@@ -95,11 +140,23 @@ def resolve_feedback(records: DataFrame, papers: DataFrame) -> tuple[DataFrame,
     by_stable = papers.groupBy(F.col("stable_id").alias("__stable")).agg(F.min("id").alias("__found"))
     found = checked.join(by_id, F.col("paper_id") == F.col("__id"), "left").join(by_stable, F.col("paper_id").isNull() & (F.col("stable_id") == F.col("__stable")), "left")
     found = found.withColumn("resolved_id", F.coalesce("__id", "__found")).withColumn("reason", F.coalesce("reason", F.when(F.col("resolved_id").isNull(), "paper not found")))
+    # an id that no paper has is refused, so feedback never refers to nothing
     accepted = found.filter("reason IS NULL").drop("__id", "__stable", "__found", "reason")
     errors = found.filter("reason IS NOT NULL").select("ord", F.concat(F.lit("record "), F.col("ord"), F.lit(": "), F.col("reason")).alias("error"))
     return accepted, errors
 
 
+FEEDBACK = "paper_id long, rating int, action string, note string, project string, timestamp string"
+
+
+def feedback_rows(accepted: DataFrame, now: str) -> DataFrame:
+    """The accepted records as rows of the feedback table."""
+    have = lambda c: text_or_empty(c) if c in accepted.columns else F.lit("")
+    project = F.when(have("related_project") != "", have("related_project")).otherwise(have("project"))
+    at = F.when(have("timestamp") != "", have("timestamp")).otherwise(F.lit(now))
+    return accepted.select(F.col("resolved_id").alias("paper_id"), F.col("rating_value").alias("rating"), F.col("status").alias("action"), have("note").alias("note"), project.alias("project"), at.alias("timestamp"))
+
+
 def apply_feedback(papers: DataFrame, accepted: DataFrame) -> DataFrame:
     """The papers with the status of their latest accepted feedback."""
     last = accepted.groupBy(F.col("resolved_id").alias("id")).agg(F.max_by("status", "ord").alias("__status"))

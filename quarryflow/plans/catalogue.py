@@ -1,7 +1,7 @@
 """The library's operators bound to the driver's tables, as named queries with their SQL.
 
-`papers` is a view of documents as records: the text is the abstract, its first
-80 characters the title, `source` the venue; DOIs and providers follow from ids.
+`papers` is a view of documents as records: the whole text is title and abstract,
+`source` the venue; DOIs and providers follow from ids.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ REFERENCE_DAY = "1998-08-02"
 
 PAPERS = r"""
     papers AS (
-      SELECT doc_id AS ord, substring(text, 1, 80) AS title, text AS abstract, source AS venue, source AS journal, source AS journal_source, lang AS pool,
+      SELECT doc_id AS ord, text AS title, text AS abstract, source AS venue, source AS journal, source AS journal_source, lang AS pool,
              CASE WHEN doc_id % 3 = 0 THEN '' ELSE '10.1000/' || doc_id END AS doi,
              CASE WHEN doc_id % 2 = 0 THEN 'crossref' ELSE 'semantic_scholar' END AS source,
              CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'crossref' ELSE 'semantic_scholar' END AS abstract_source
       FROM documents)"""
-HAY = "lower(coalesce(title, '') || ' ' || coalesce(abstract, '') || ' ')"
+HAY = "lower(coalesce(venue, '') || ' ' || coalesce(abstract, '') || ' ')"
 TIERED = f"""
     hay AS (SELECT *, {HAY} AS hay FROM papers),
     hits AS (SELECT *, {", ".join(f"list_filter({kws!r}, lambda k: contains(hay, k)) AS {t}_hits" for t, kws in KEYWORDS.items())} FROM hay),
@@ -58,7 +58,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.when(even, "crossref").otherwise("semantic_scholar")
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"),
-        F.substring("text", 1, 80).alias("title"),
+        F.col("text").alias("title"),
         F.col("text").alias("abstract"),
         F.col("source").alias("venue"),
         F.col("source").alias("journal"),
@@ -71,7 +71,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.with_keyword_tier(papers(spark, sf_dir), KEYWORDS)
+    return screening.with_keyword_tier(papers(spark, sf_dir), KEYWORDS, title="venue")
 
 
 def judged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,8 @@ def q_issue_label(spark, sf_dir):
 @query(r"""SELECT item_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS rebuilt FROM benchmark""")
 def q_inverted_index(spark, sf_dir):
     words = F.array_remove(F.split("text", r"[ \t\n\r]+"), "")
-    return read(spark, sf_dir, "benchmark").select("item_id", X.from_inverted_index(X.to_inverted_index(words)).alias("rebuilt"))
+    indexed = X.with_inverted_index(read(spark, sf_dir, "benchmark"), ["item_id"], words)
+    return indexed.select("item_id", X.from_inverted_index(F.col("index")).alias("rebuilt"))
 
 
 _TERMS = {"the entire": "T1", "tion": "T2", "que": "T3"}
@@ -229,7 +230,7 @@ def q_json_props(spark, sf_dir):
 # Sources
 
 
-@query(rf"""WITH {PAPERS} SELECT ord, trim(regexp_replace(title, '[\n\r]+', ' ', 'g')) AS title, 'doc abstract ' || ord AS abstract,
+@query(rf"""WITH {PAPERS} SELECT ord, trim(regexp_replace(title, '[\n\r]+', ' ', 'g')) AS title, trim(regexp_replace(abstract, '[\s\x{00A0}]+', ' ', 'g')) AS abstract,
     CASE ord % 3 WHEN 0 THEN '2024-02-03' WHEN 1 THEN '2024-02' ELSE '2024' END AS publication_date, CAST(2024 AS INTEGER) AS year, venue AS journal, pool,
     CASE WHEN ord % 2 = 0 THEN 'G F' ELSE 'G F; A; B; C; D; E; F; H et al.' END AS authors, lower(doi) AS doi
     FROM papers WHERE trim(title) <> '' AND ord % 7 <> 0""")
@@ -242,7 +243,7 @@ def q_crossref_normalize(spark, sf_dir):
     item = F.to_json(
         F.struct(
             F.array(F.replace(title, F.lit("&"), F.lit("&amp;"))).alias("title"),
-            F.concat(F.lit("<p>Abstract. doc <b>abstract</b> "), F.col("ord"), F.lit("</p>")).alias("abstract"),
+            F.concat(F.lit("<p>Abstract. <b>"), X.escape_html("abstract"), F.lit("</b> </p>")).alias("abstract"),
             F.struct(F.array(F.slice(whole, 1, (3 - F.col("ord") % 3).cast("int"))).alias("date-parts")).alias("published-online"),
             F.upper("doi").alias("DOI"),
             F.when(F.col("ord") % 2 == 0, F.array(*few)).otherwise(F.array(*many)).alias("author"),
@@ -277,11 +278,12 @@ def q_semantic_normalize(spark, sf_dir):
 def q_openalex_enrich(spark, sf_dir):
     words = F.array_remove(F.split("text", r"[ \t\n\r]+"), "")
     items = read(spark, sf_dir, "benchmark")
+    indexed = X.with_inverted_index(items, ["item_id"], words)
     doi = F.concat(F.lit("10.1000/b."), F.col("item_id"))
-    work = F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), doi).alias("doi"), X.to_inverted_index(words).alias("abstract_inverted_index"), F.struct(F.lit("topic").alias("display_name")).alias("primary_topic")))
+    work = F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), doi).alias("doi"), F.col("index").alias("abstract_inverted_index"), F.struct(F.lit("topic").alias("display_name")).alias("primary_topic")))
     own = F.col("item_id") % 2 == 0
     left = items.select("item_id", F.col("item_id").alias("ord"), doi.alias("doi_raw"), F.when(own, "own").otherwise("").alias("abstract"), F.when(own, "crossref").otherwise("").alias("abstract_source"))
-    return enrich(left, openalex_works(items.select(work.alias("work")))).select("item_id", "abstract", "abstract_source", "primary_topic")
+    return enrich(left, openalex_works(indexed.select(work.alias("work")))).select("item_id", "abstract", "abstract_source", "primary_topic")
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 5""")
@@ -323,16 +325,16 @@ def q_dedupe_doi_only(spark, sf_dir):
 
 @query(rf"""WITH {PAPERS}, k AS (SELECT *, 'title:' || sha256(trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS stable_id FROM papers),
     w AS (SELECT stable_id, min(ord) AS ord, first(ord ORDER BY length(abstract) DESC, ord) AS at, first(abstract ORDER BY length(abstract) DESC, ord) AS abstract,
-            first(abstract_source ORDER BY length(abstract) DESC, ord) AS won_source, first(title ORDER BY ord) FILTER (title <> '') AS title,
+            first(abstract_source ORDER BY length(abstract) DESC, ord) AS won_source, first(pool ORDER BY ord) FILTER (pool <> '') AS pool,
             coalesce(first(doi ORDER BY ord) FILTER (doi <> ''), '') AS doi, first(venue ORDER BY ord) FILTER (venue <> '') AS venue FROM k GROUP BY stable_id),
     l AS (SELECT k.stable_id, first(k.abstract_source ORDER BY k.ord) AS later FROM k JOIN w USING (stable_id) WHERE k.ord > w.at AND k.abstract_source <> '' GROUP BY k.stable_id),
     s AS (SELECT stable_id, string_agg(source, ';' ORDER BY f) AS source FROM (SELECT stable_id, source, min(ord) AS f FROM k GROUP BY stable_id, source) GROUP BY stable_id)
-    SELECT stable_id, ord, sha256(abstract) AS abstract, CASE WHEN won_source <> '' THEN won_source ELSE coalesce(later, '') END AS abstract_source, title, doi, venue, source
+    SELECT stable_id, ord, sha256(abstract) AS abstract, CASE WHEN won_source <> '' THEN won_source ELSE coalesce(later, '') END AS abstract_source, pool, doi, venue, source
     FROM w JOIN s USING (stable_id) LEFT JOIN l USING (stable_id)""")
 def q_merge_sources(spark, sf_dir):
     p = papers(spark, sf_dir).withColumn("stable_id", X.stable_id(F.lit(""), "title"))
-    merged = dedupe.merge_records(p.select("stable_id", "ord", "title", "abstract", "abstract_source", "doi", "venue", "source"))
-    return merged.select("stable_id", "ord", F.sha2("abstract", 256).alias("abstract"), "abstract_source", "title", "doi", "venue", "source")
+    merged = dedupe.merge_records(p.select("stable_id", "ord", "pool", "abstract", "abstract_source", "doi", "venue", "source"))
+    return merged.select("stable_id", "ord", F.sha2("abstract", 256).alias("abstract"), "abstract_source", "pool", "doi", "venue", "source")
 
 
 @query("""SELECT user_id, string_agg(event_type, '; ' ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id""")
@@ -359,10 +361,10 @@ def q_excluded_count(spark, sf_dir):
     return papers(spark, sf_dir).agg(F.count_if(screening.is_excluded(EXCLUDED, doi=("doi",))).alias("excluded"), F.count("*").alias("scanned"))
 
 
-@query("""SELECT doc_id FROM documents WHERE trim(substring(text, 1, 80)) <> '' AND doc_id % 4 <> 0""")
+@query("""SELECT doc_id FROM documents WHERE trim(text) <> '' AND doc_id % 4 <> 0""")
 def q_nonresearch_drop(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    title = F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("Author Correction "), "text")).when(F.col("doc_id") % 4 == 0, F.concat(F.lit("News & Views: "), "text")).otherwise(F.trim(F.substring("text", 1, 80)))
+    title = F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("Author Correction "), "text")).when(F.col("doc_id") % 4 == 0, F.concat(F.lit("News & Views: "), "text")).otherwise(F.trim("text"))
     return d.filter(screening.is_research_title(title)).select("doc_id")
 
 
@@ -390,7 +392,7 @@ def q_tier_histogram(spark, sf_dir):
 @query(f"""WITH {PAPERS}, k(tier, keyword) AS (VALUES {", ".join(f"('{t}', '{k}')" for t, ks in KEYWORDS.items() for k in ks)}), hay AS (SELECT ord, {HAY} AS hay FROM papers)
     SELECT ord, tier, keyword FROM hay JOIN k ON contains(hay, keyword)""")
 def q_keyword_long(spark, sf_dir):
-    return screening.keyword_pairs(papers(spark, sf_dir), KEYWORDS, "ord").select("ord", "tier", "keyword")
+    return screening.keyword_pairs(papers(spark, sf_dir), KEYWORDS, "ord", title="venue").select("ord", "tier", "keyword")
 
 
 _SCORES = """
@@ -432,19 +434,16 @@ def q_fallback_judgment(spark, sf_dir):
     return rows.select("ord", *[f"j.{f}" for f in ("relevance_score", "priority", "research_track", "recommended_action")], F.array_join("j.matched_topics", ";").alias("topics"), "j.why_relevant")
 
 
-_RAW_SQL = """
-    raw AS (SELECT doc_id, CASE WHEN doc_id % 9 = 8 THEN 'no object here' ELSE
+_RAW = """CASE WHEN doc_id % 9 = 8 THEN 'no object here' ELSE
       CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{"relevance_score": ' || CASE doc_id % 9 WHEN 1 THEN 'true' WHEN 2 THEN '90.5' WHEN 3 THEN '101' WHEN 4 THEN '10' ELSE '90' END ||
       ', "research_track": "t", "priority": "' || CASE WHEN doc_id % 9 = 5 THEN 'urgent' ELSE 'A' END || '", "matched_topics": ' || CASE WHEN doc_id % 9 = 6 THEN '[3]' ELSE '["x"]' END ||
       ', "research_question": "", "method_summary": "", "main_contributions": [], "why_relevant": "", "methodological_value": "", "potential_use": "", "related_project": ""' ||
-      CASE WHEN doc_id % 9 = 7 THEN '' ELSE ', "recommended_action": "deep-read"' END || '}' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END END AS raw FROM labels)"""
+      CASE WHEN doc_id % 9 = 7 THEN '' ELSE ', "recommended_action": "deep-read"' END || '}' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '```' ELSE '' END END"""
 
 
 @query("""SELECT doc_id, doc_id % 9 = 0 AS valid FROM labels""")
 def q_judge_validate(spark, sf_dir):
-    labels = read(spark, sf_dir, "labels")
-    labels.createOrReplaceTempView("__judge_labels")
-    raw = spark.sql("WITH " + _RAW_SQL.replace("FROM labels", "FROM __judge_labels") + " SELECT * FROM raw")
+    raw = read(spark, sf_dir, "labels").selectExpr("doc_id", f"{_RAW} AS raw")
     return raw.select("doc_id", judging.valid_judgment(F.col("raw"), []).alias("valid"))
 
 
@@ -552,12 +551,12 @@ def _feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     action = F.when(F.col("event_type") == "purchase", "read").when(F.col("event_type") == "error", "broken").otherwise("")
     none = F.lit(None).cast("string")
     records = events.select(F.col("event_id").alias("ord"), (F.col("event_id") % 7).cast("string").alias("rating"), none.alias("reading_status"), action.alias("action"), F.col("user_id").alias("paper_id"), none.alias("stable_id"))
-    papers = read(spark, sf_dir, "customer").filter("c_custkey <= 100").select(F.col("c_custkey").alias("id"), F.concat(F.lit("s"), "c_custkey").alias("stable_id"))
+    papers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("s"), "c_custkey").alias("stable_id"))
     return state.resolve_feedback(records, papers)
 
 
 _FEEDBACK = """
-    f AS (SELECT event_id, event_id % 7 AS rating, CASE event_type WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'broken' ELSE 'saved' END AS status, user_id IN (SELECT c_custkey FROM customer WHERE c_custkey <= 100) AS found, user_id FROM events),
+    f AS (SELECT event_id, event_id % 7 AS rating, CASE event_type WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'broken' ELSE 'saved' END AS status, user_id IN (SELECT c_custkey FROM customer) AS found, user_id FROM events),
     r AS (SELECT *, CASE WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating must be 1..5' WHEN status = 'broken' THEN 'invalid reading_status: broken' WHEN NOT found THEN 'paper not found' END AS reason FROM f)"""
 
 

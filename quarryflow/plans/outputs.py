@@ -29,9 +29,13 @@ SHEET_FIELDS = (
 INDEX_FIELDS = ("paper_id", "priority", "relevance_score", "related_project", "title", "doi_url")
 
 
+def snapshot_path(root: str, profile: str, to_date: str, stage: str) -> str:
+    return f"{root}/profile={profile}/to_date={to_date}/{stage}"
+
+
 def snapshot(df: DataFrame, root: str, profile: str, to_date: str, stage: str) -> str:
     """A stage's records as JSON lines under profile and date; an existing snapshot is an error."""
-    path = f"{root}/profile={profile}/to_date={to_date}/{stage}"
+    path = snapshot_path(root, profile, to_date, stage)
     df.write.mode("errorifexists").json(path)
     return path
 
@@ -82,30 +86,70 @@ def _workbook_parts(sheets: list[tuple[str, list[list[str]]]]) -> Iterator[tuple
     for i, (_, rows) in enumerate(sheets, 1):
         widths = [min(55, max(12, max(len(r[c]) for r in rows) + 2)) for c in range(len(rows[0]))]
         cols = "".join(f'<col min="{c}" max="{c}" width="{w}" customWidth="1"/>' for c, w in enumerate(widths, 1))
-        data = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for v in r) + "</row>" for r in rows)
+        data = "".join("<row>" + "".join(map(_cell, r)) + "</row>" for r in rows)
         view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
         yield f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}">{view}<cols>{cols}</cols><sheetData>{data}</sheetData><autoFilter ref="A1:{_column(len(rows[0]))}{len(rows)}"/></worksheet>'
 
 
+def _cell(v: str) -> str:
+    """A cell; addresses are links that can be clicked."""
+    if v.startswith("https://") and '"' not in v and len(v) < 250:
+        return f'<c t="str"><f>HYPERLINK("{escape(v)}")</f><v>{escape(v)}</v></c>'
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+
+
 def _column(n: int) -> str:
     return _column((n - 1) // 26) + chr(65 + (n - 1) % 26) if n > 0 else ""
 
 
-def note_text() -> Column:
-    """A Markdown note with front matter."""
-    quoted = [F.concat(F.lit(f'{f}: "'), escape_yaml(f), F.lit('"')) for f in ("title", "publication_date", "venue", "doi_url", "priority")]
-    return F.concat_ws("\n", F.lit("---"), *quoted, F.lit("---"), F.concat(F.lit("# "), text_or_empty("title")), F.lit(""), F.lit("## Abstract"), text_or_empty("abstract"), F.lit(""), F.lit("## Why relevant"), text_or_empty("why_relevant"))
+#: A note's front matter, the headings of its parts and what stands for an empty one.
+NOTE_FRONT = ("paper_id", "title", "title_cn", "priority", "relevance_score", "related_project", "reading_status", "doi_url")
+NOTE_FACTS = (("Priority", "priority"), ("Relevance Score", "relevance_score"), ("Research Track", "research_track"), ("Related Project", "related_project"), ("Recommended Action", "recommended_action"))
+NOTE_PARTS = (
+    ("为什么值得读", "why_relevant", "(需人工判断)"),
+    ("Research Question", "research_question", "(暂无)"),
+    ("Method", "method_summary", "(暂无)"),
+    ("Main Contributions", "main_contributions", "- (暂无)"),
+    ("Potential Use", "potential_use", "(暂无)"),
+    ("Original Title", "title", ""),
+    ("Abstract EN", "abstract", "(No abstract)"),
+    ("Abstract CN", "abstract_cn", "(暂无)"),
+)
+NOTE_END = "## 我的阅读笔记\n\n- Rating (1-5):\n- Reading status: new / saved / reading / read / ignored / cited\n- Note:"
+
+
+def note_text(df: DataFrame) -> Column:
+    """A Markdown note with front matter, of the columns that df has."""
+    kinds = dict(df.dtypes)
+
+    def value(c: str) -> Column:
+        if c not in kinds:
+            return F.lit("")
+        return F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n") if kinds[c].startswith("array") else text_or_empty(c)
+
+    front = [F.concat(F.lit(f'{c}: "'), escape_yaml(value(c)), F.lit('"')) for c in NOTE_FRONT]
+    facts = [F.concat(F.lit(f"- {name}: "), value(c), F.lit("/100" if c == "relevance_score" else "")) for name, c in NOTE_FACTS]
+    parts = [F.concat(F.lit(f"## {name}\n\n"), F.when(value(c) == "", F.lit(empty)).otherwise(value(c)), F.lit("\n")) for name, c, empty in NOTE_PARTS]
+    heading = F.concat(F.lit("# "), first_filled(value("title_cn"), value("title")), F.lit("\n"))
+    return F.concat_ws("\n", F.lit("---"), *front, F.lit("---\n"), heading, F.lit("## 推荐信息\n"), *facts, F.lit(""), *parts, F.lit(NOTE_END))
 
 
 def write_notes(df: DataFrame, path: str) -> None:
-    """One text file for each record under its priority (Ignore left out), and an index.
+    """One text file for each record of a reading queue under its priority (Ignore left out), and an index.
 
-    Of records with one date and slug the last stays, like a file written twice.
+    The queue is limited by its capacity, so a folder for each note is no burden
+    and the index fits one file, which begins with the mark that spreadsheets
+    take for UTF-8. Of records with one date and slug the last stays, like a file
+    written twice.
     """
-    slug = F.concat_ws("-", F.nullif(text_or_empty("publication_date"), F.lit("")), slugify("title"))
-    named = df.filter("priority <> 'Ignore'").withColumn("note", slug).groupBy("priority", "note").agg(F.max_by(note_text(), "ord").alias("value"))
+    slug = F.concat_ws("_", first_filled("publication_date", F.lit("nodate")), slugify("title"))
+    chosen = df.filter("priority <> 'Ignore'")
+    named = chosen.withColumn("note", slug).groupBy("priority", "note").agg(F.max_by(note_text(df), "ord").alias("value"))
     named.write.partitionBy("priority", "note").text(path + "/notes")
-    cells(df.filter("priority <> 'Ignore'"), INDEX_FIELDS).coalesce(1).write.option("header", True).csv(path + "/index")
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in INDEX_FIELDS]
+    lines = cells(chosen, INDEX_FIELDS).select(F.lit(1).alias("at"), F.concat_ws(",", *quoted).alias("value"))
+    head = df.sparkSession.createDataFrame([(0, "\ufeff" + ",".join(INDEX_FIELDS))], "at int, value string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("at", "value").select("value").write.text(path + "/index")
 
 
 def preview(df: DataFrame, stats: dict[str, int], limit: int = 50) -> str:
@@ -116,13 +160,25 @@ def preview(df: DataFrame, stats: dict[str, int], limit: int = 50) -> str:
     return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in rows)]) + "\n"
 
 
+#: A reader's choice of text, priority and order, kept in the page alone.
+CONTROLS = (
+    "<input id=find placeholder=search><select id=only><option value=''>all</option><option>A</option><option>B</option><option>C</option><option>D</option></select>"
+    "<select id=by><option value=''>report order</option><option value=score>relevance</option><option value=date>date</option></select>"
+    "<script>addEventListener('load',()=>{const all=[...document.querySelectorAll('article')],box=all[0]?.parentNode,$=i=>document.getElementById(i);"
+    "const show=()=>{const t=$('find').value.toLowerCase(),p=$('only').value,b=$('by').value;"
+    "for(const a of all)a.hidden=!(a.textContent.toLowerCase().includes(t)&&(!p||a.dataset.priority===p));"
+    "const s=b==='score'?[...all].sort((x,y)=>y.dataset.score-x.dataset.score):b==='date'?[...all].sort((x,y)=>y.dataset.date.localeCompare(x.dataset.date)):all;"
+    "for(const a of s)box.append(a)};for(const i of ['find','only','by'])$(i).oninput=show})</script>"
+)
+
+
 def report(df: DataFrame, title: str, stats: dict[str, int]) -> Iterator[str]:
     """An HTML page of all candidates in report order, piece by piece as the rows stream in."""
     ordered = df.orderBy(*report_order()).select("priority", "relevance_score", "title", "abstract", "venue", "publication_date", paper_link(F.col("doi"), text_or_empty("semantic_scholar_url") if "semantic_scholar_url" in df.columns else F.lit(""), text_or_empty("crossref_url") if "crossref_url" in df.columns else F.lit("")).alias("link"), first_filled("source").alias("source"))
-    yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>" + html.escape(", ".join(f"{k}: {v}" for k, v in stats.items())) + "</p>"
+    yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{CONTROLS}<h1>{html.escape(title)}</h1><p>" + html.escape(", ".join(f"{k}: {v}" for k, v in stats.items())) + "</p>"
     for r in ordered.toLocalIterator():
         e = {k: html.escape("" if v is None else str(v)) for k, v in r.asDict().items()}
-        yield f'<article data-priority="{e["priority"]}" data-source="{e["source"]}" data-date="{e["publication_date"]}"><h2><a href="{e["link"]}">{e["title"]}</a></h2><p>{e["priority"]} · {e["relevance_score"]} · {e["venue"]} · {e["publication_date"]}</p><p>{e["abstract"]}</p></article>'
+        yield f'<article data-priority="{e["priority"]}" data-score="{e["relevance_score"]}" data-source="{e["source"]}" data-date="{e["publication_date"]}"><h2><a href="{e["link"]}">{e["title"]}</a></h2><p>{e["priority"]} · {e["relevance_score"]} · {e["venue"]} · {e["publication_date"]}</p><p>{e["abstract"]}</p></article>'
 
 
 def app(df: DataFrame, profile: str, stats: dict[str, int]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -30,6 +31,12 @@ class Project:
     sections: dict[str, str]
     keywords: list[str]
 
+    @property
+    def prompt(self) -> str:
+        """The project as a judge is told of it: every part that its file has."""
+        parts = [f"Project: {self.name}", *(f"{heading.title()}: {body}" for heading, body in self.sections.items() if body)]
+        return "\n".join([*parts, *(["Keywords: " + ", ".join(self.keywords)] if self.keywords else [])])
+
 
 def sections(text: str) -> dict[str, str]:
     """The text under each `##` heading, by the heading in lower case."""
@@ -109,6 +116,16 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (part.rsplit(" ", 1) for part in ddl.split(", ")))
 
 
+def resolve(path: str, base: str) -> str:
+    """A path as it is, if it is absolute or an address, else below the base."""
+    return path if path.startswith("/") or re.match(r"[a-z][a-z0-9+.-]*:", path) else f"{base.rstrip('/')}/{path}"
+
+
+def read_settings(spark: SparkSession, path: str, overrides: dict) -> dict:
+    """The settings of a JSON file, with overrides on top."""
+    return merged(json.loads(read_whole(spark, path)), overrides)
+
+
 def merged(base: dict, update: dict | None) -> dict:
     """A deep merge of settings; null overrides are dropped, dicts merge, all else replaces."""
     out = dict(base)

@@ -6,32 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import read_version, upsert, write_version
+from ..operators.state import read_or_empty, upsert, write_version
 
 
 def stream_upserts(stream: DataFrame, root: str, name: str, schema: str, keys: list[str], replace: list[str], defaults: dict[str, Column], checkpoint: str) -> StreamingQuery:
     """Starts a query whose every micro-batch becomes the table's next version.
 
-    The version is the batch's number plus one, so a batch that is run again
-    after a failure finds its version written and is skipped.
+    The version is the batch's number plus one. A batch that is run again after
+    a failure finds its version written and is skipped; data whose pointer is
+    missing are written again. Old versions go.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state, version = spark.createDataFrame([], schema), 0
-        if number:
-            state, version = read_version(spark, root, name)
-        if version > number:
-            return
-        write_version(upsert(state, batch, keys, replace, defaults).drop("is_new", "in_batch"), root, name, number + 1)
+        state, version = read_or_empty(batch.sparkSession, root, name, schema)
+        if version <= number:
+            write_version(upsert(state, batch, keys, replace, defaults).drop("is_new", "in_batch"), root, name, number + 1)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def seen_once(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
-    """The first record of each key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-
-
 def lookback_counts(stream: DataFrame, time: str, late: str, width: str, *by: str) -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))

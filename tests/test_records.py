@@ -12,7 +12,7 @@ from quarryflow.operators import dedupe, judging, ranking, screening, state
 from quarryflow.operators.enrich import enrich
 from quarryflow.plans import outputs
 from quarryflow.plans.triage import Settings, translate, triage
-from quarryflow.sources import files, models, providers, records
+from quarryflow.sources import files, http, models, providers, records
 from quarryflow.streaming.state_stream import stream_upserts
 
 PAPERS = [
@@ -209,19 +209,70 @@ def test_crossref_items(spark):
 
 
 def test_pages_stop_at_the_cap_and_errors_stay_apart(spark):
+    asked = []
+
     def fetch(url):
-        offset = int(url.rpartition("offset=")[2])
-        return {"message": {"total-results": 250, "items": [{"n": offset + i} for i in range(100)]}}
+        asked.append(url)
+        at = len(asked)
+        return {"message": {"items": [{"n": i} for i in range(100)] if at < 4 else [], "next-cursor": f"c{at}"}}
 
     options = {"base_url": "x", "from_date": "a", "to_date": "b", "max_per_key": "150"}
-    assert len(list(providers.crossref_pages({"issn": "1"}, options, fetch))) == 200  # the cap bounds the offset, in whole pages
+    assert len(list(providers.crossref_pages({"issn": "1"}, options, fetch))) == 200  # the cap bounds the rows scanned, in whole pages
+    assert "cursor=%2A" in asked[0] and "cursor=c1" in asked[1] and "issn%3A1%2Cfrom-pub-date%3Aa" in asked[0]
+    asked.clear()
+    assert len(list(providers.crossref_pages({"kind": "conference", "venue": "V"}, options | {"max_per_key": "1000"}, fetch))) == 300
+    assert "query.container-title=V" in asked[0] and len(asked) == 4
     with pytest.raises(ZeroDivisionError):
         list(providers.crossref_pages({}, options, lambda url: 1 / 0))
-    items, errors = providers.discover(spark, "crossref", [{"venue": "x"}, {"venue": "y"}], base_url="file:///nowhere", from_date="a", to_date="b")
+    items, errors = providers.discover(spark, "crossref", [{"venue": "x"}, {"venue": "y"}], base_url="file:///nowhere", from_date="a", to_date="b", tries=1)
     assert items.count() == 0
     assert errors.count() == 2
 
 
+def test_batches_of_dois_are_looked_up(spark):
+    rows = spark.createDataFrame([(f"10.1/{i % 60}",) for i in range(130)] + [("",), (None,)], "doi_raw string").coalesce(1)
+    batches = providers.doi_batches(rows.repartition(1))
+    sizes = [len(json.loads(r.key)["dois"]) for r in batches.collect()]
+    assert sum(sizes) == 60 and max(sizes) <= 50
+
+    def fetch(url):
+        if "10.1%2F7" in url:
+            raise OSError("gone")
+        return {"results": [{"doi": "10.1/x"}]}
+
+    got = providers.look_up(batches, {"base_url": "x"}, fetch).collect()
+    assert {r.error for r in got} >= {"OSError: gone"}
+
+
+def test_requests_wait_as_told_and_give_up():
+    import io
+    import urllib.error
+
+    class Answer(io.BytesIO):
+        pass
+
+    def failing(codes):
+        left = list(codes)
+
+        def open_url(request, timeout):
+            if left:
+                code, headers = left.pop(0)
+                raise urllib.error.HTTPError(request.full_url, code, "x", headers, None) if code else OSError("net")
+            return Answer(b'{"ok": 1}')
+
+        return open_url
+
+    waits = []
+    client = http.Client(http.Patience(tries=4), wait=waits.append, open_url=failing([(429, {"Retry-After": "7"}), (503, {}), (0, {})]))
+    assert client("u:x") == {"ok": 1}
+    assert waits == [7.0, 2.0, 4.0]
+    for codes in ([(404, {})], [(500, {})] * 2):
+        with pytest.raises(urllib.error.HTTPError):
+            http.Client(http.Patience(tries=2), wait=waits.append, open_url=failing(codes))("u:x", {"a": 1})
+    with pytest.raises(ValueError, match="one try"):
+        http.Patience(tries=0)
+
+
 def test_profile_and_settings():
     text = "# P\n\n- **Profile name:** My Topic\n- **Weekly reading capacity:** 7 papers\n- **Max A:** 2\n\n## Research Description\n\nAbout it.\n\n## Core keywords\n\n- one\n* two\n\n## Proxy keywords\n\n- three\n"
     p = files.parse_profile(text)
@@ -254,6 +305,14 @@ def test_run_is_incremental_and_reuses_judgments(spark, found):
     again = triage(found, PROFILE, Settings(model="m"), "2026-09-04", first.state.drop("is_new", "in_batch"), first.judgments, judge=judge)
     assert {r.is_new for r in again.state.collect()} == {False}
     assert {r.judge_checkpoint for r in again.candidates.collect()} == {"reused"}
+    analysed = {r.stable_id: r for r in again.state.collect()}
+    assert sorted(r.id for r in analysed.values()) == [1, 2, 3]
+    assert {r.id for r in first.state.collect()} == {1, 2, 3}
+    assert {r.keyword_tier for r in analysed.values()} == {"core", "proxy", "eco"}
+    assert {r.relevance_score for r in analysed.values()} == {GOOD["relevance_score"]}
+    for changed in (Settings(model="m", temperature=0.2), Settings(model="m", api_base="u"), Settings(model="m", projects=[files.Project("P", {"research question": "Why?"}, [])])):
+        more = triage(found, PROFILE, changed, "2026-09-04", judgments=first.judgments, judge=judge)
+        assert {r.judge_checkpoint for r in more.candidates.collect()} == {"completed"}
     other = triage(found, PROFILE, Settings(model="m2"), "2026-09-04", judgments=first.judgments, judge=lambda p: pd.Series(["bad"] * len(p)))
     assert {r.judge_checkpoint for r in other.candidates.collect()} == {"failed-fallback"}
     assert sorted(r.priority for r in other.queue.collect()) == ["A", "B", "C"]
@@ -299,21 +358,67 @@ def test_versions_and_stream(spark, tmp_path):
     assert sorted(r.key for r in rows.collect()) == ["a", "b"]
 
 
-def test_models_retry_and_keep_order(spark):
-    answers = iter(["no", json.dumps(GOOD), "x", "y"])
-
+def test_judges_are_asked_again_and_models_keep_order(spark):
     def post(url, payload):
         if url.endswith("embeddings"):
             return {"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}
-        return {"choices": [{"message": {"content": next(answers)}}]}
-
-    judge = models.chat_judge("b", "m", post)
-    assert judge(pd.Series(["p"])).tolist() == [json.dumps(GOOD)]
-    assert json.loads(judge(pd.Series(["p"]))[0]) == ["x", "y"]
+        turns = payload["messages"]
+        assert turns[0]["role"] == "system"
+        if turns[1]["content"] == "good":
+            return {"choices": [{"message": {"content": json.dumps(GOOD) if len(turns) > 3 else "no"}}]}
+        return {"choices": [{"message": {"content": f"bad {len(turns)}"}}]}
+
+    todo = spark.createDataFrame([("good",), ("worse",)], "p string")
+    got = {r.p: r for r in judging.judge_todo(todo, models.chat_judge("b", "m", post), F.col("p")).collect()}
+    assert (got["good"].status, got["good"].raw_response) == ("complete", json.dumps(GOOD))
+    assert (got["worse"].status, json.loads(got["worse"].raw_response)) == ("failed", ["bad 2", "bad 4"])
+    lost = judging.judge_todo(todo, models.chat_judge("b", "m", lambda u, p: 1 / 0), F.col("p"), attempts=1).first()
+    assert json.loads(lost.raw_response) == ["error: ZeroDivisionError"]
     assert models.encoder("b", "m", post)(pd.Series(["s", "t", "u"])).tolist() == [[1.0], [2.0], None]
     assert models.chat_translator("b", "m", lambda u, p: 1 / 0)(pd.Series(["a", None])).tolist() == ["", ""]
-    assert not models.sound("{}", [])
-    assert models.sound(json.dumps(GOOD | {"related_project": "mine"}), ["mine"])
+
+
+def test_a_lost_pointer_is_written_again_and_old_versions_go(spark, tmp_path):
+    root = str(tmp_path)
+    for v in range(1, 6):
+        state.write_version(spark.range(v), root, "t", v)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=3", "v=4", "v=5"]
+    spark.range(99).write.parquet(f"{root}/t/v=6")  # an attempt that died before its pointer
+    assert state.read_version(spark, root, "t")[1] == 5
+    state.write_version(spark.range(6), root, "t", 6)
+    assert state.read_version(spark, root, "t")[0].count() == 6
+    with pytest.raises(ValueError, match="exists"):
+        state.write_version(spark.range(1), root, "t", 6)
+    with pytest.raises(FileNotFoundError):
+        state.read_version(spark, root, "none")
+
+
+def test_a_stream_batch_that_died_halfway_runs_again(spark, tmp_path):
+    spark.createDataFrame([("a", "t1", "2", 0)], "key string, title string, seen_at string, ord long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, title string, seen_at string, ord long").parquet(str(tmp_path / "in"))
+    spark.range(3).write.parquet(str(tmp_path / "state/papers/v=1"))
+    schema = "key string, title string, first_seen string, last_seen string, reading_status string"
+    stream_upserts(stream, str(tmp_path / "state"), "papers", schema, ["key"], ["title"], {"reading_status": F.lit("new")}, str(tmp_path / "cp")).awaitTermination(60)
+    rows, version = state.read_version(spark, str(tmp_path / "state"), "papers")
+    assert (version, [r.key for r in rows.collect()]) == (1, ["a"])
+
+
+def test_a_frequent_doi_is_enriched_once(spark):
+    rows = spark.createDataFrame([(i, "10.1/X", "", "") for i in range(50)] + [(50, "", "", ""), (51, "10.2/y", "own", "c")], "ord long, doi_raw string, abstract string, abstract_source string")
+    works = spark.createDataFrame([("10.1/x", "found", "t", "s", "f", ["t"]), ("10.2/y", "no", "t2", "s", "f", [])], "doi string, abstract string, primary_topic string, topic_subfield string, topic_field string, all_topics array<string>")
+    got = {r.ord: r for r in enrich(rows, works).collect()}
+    assert [i for i, r in got.items() if r.abstract == "found"] == [49]
+    assert (got[51].abstract, got[51].primary_topic, got[50].primary_topic, len(got)) == ("own", "t2", None, 52)
+
+
+def test_conferences_bring_only_their_own_proceedings(spark, monkeypatch):
+    items = [{"title": [f"Paper {i}"], "container-title": [c], "DOI": f"10.1/{i}"} for i, c in enumerate(["Proceedings of the Web Conference", "Unrelated", "the web conference 2", "Web Conference"])]
+    rows = [("crossref", json.dumps({"kind": "conference", "venue": "Web Conference", "aliases": ["WWW"], "pool": "p"}, sort_keys=True), i, json.dumps(x)) for i, x in enumerate(items)]
+    df = spark.createDataFrame(rows, "provider string, key string, row_ord long, item string")
+    monkeypatch.setattr(providers, "discover", lambda *a, **k: (df, df.limit(0)))
+    venues = spark.createDataFrame([("conference",)], "kind string")
+    found, _ = cli.crossref(spark, venues, "a", "b", 2)
+    assert [r.title for r in found.orderBy("ord").collect()] == ["Paper 0", "Paper 2"]
 
 
 def test_command_line(spark, found, tmp_path, capsys):
@@ -327,10 +432,28 @@ def test_command_line(spark, found, tmp_path, capsys):
     assert [(r.run_id, r.to_date, r.finished_at is not None) for r in ledger] == [(out["run_id"], "2026-09-03", True)]
     assert cli.main(["triage", *base, "--from-date", "2026-09-04", "--to-date", "2026-09-03"]) == 2
     assert cli.main(["screen", *base[:2], "--records", str(tmp_path / "found"), "--out", str(tmp_path / "tiers")]) == 0
-    papers = spark.createDataFrame([(1, "s1", "new")], "id long, stable_id string, reading_status string")
-    state.write_version(papers, str(tmp_path / "st"), "papers", 1)
-    (tmp_path / "f.json").write_text(json.dumps([{"stable_id": "s1", "action": "read"}, {"stable_id": "s9"}]))
+    found.write.parquet(str(tmp_path / "later"))
+    capsys.readouterr()
+    assert cli.main(["triage", *base[:4], "--records", str(tmp_path / "later"), "--to-date", "2026-09-04", "--outputs", "notes", "html", "excel", "app", "sheets"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert len(out["written"]) == 5
+    papers, version = state.read_version(spark, str(tmp_path / "out/state"), "papers")
+    assert version == 2 and papers.count() == 3
+    note = "\n".join(r.value for r in spark.read.text(out["written"][0] + "/notes").collect())
+    assert "## Main Contributions" in note and "## Abstract EN" in note
+    assert spark.read.text(out["written"][0] + "/index", wholetext=True).first().value.startswith("\ufeffpaper_id,priority")
+    judged = f"{base[3]}/profile=kg/to_date=2026-09-04/judged-{out['run_id']}"
+    assert cli.main(["render", "--judged", judged, "--out", str(tmp_path / "again"), "--outputs", "html"]) == 0
+    scanned = f"{base[3]}/profile=kg/to_date=2026-09-04/scan-{out['run_id']}"
     capsys.readouterr()
-    assert cli.main(["feedback", "--feedback", str(tmp_path / "f.json"), "--state", str(tmp_path / "st")]) == 1
-    assert json.loads(capsys.readouterr().out) == {"imported": 1, "errors": ["record 1: paper not found"]}
-    assert state.read_version(spark, str(tmp_path / "st"), "papers")[0].first().reading_status == "read"
+    for flag in ("--scan", "--screened"):
+        assert cli.main(["triage", *base[:4], flag, scanned, "--to-date", "2026-09-05", "--outputs"]) == 0
+        assert json.loads(capsys.readouterr().out)["stats"]["count_a"] == 1
+    ids = {r.stable_id: r.id for r in papers.collect()}
+    first = next(iter(ids))
+    (tmp_path / "f.json").write_text(json.dumps([{"stable_id": first, "action": "read", "rating": 4}, {"stable_id": "s9"}, {"paper_id": 77}]))
+    assert cli.main(["feedback", "--feedback", str(tmp_path / "f.json"), "--state", str(tmp_path / "out/state")]) == 1
+    assert json.loads(capsys.readouterr().out) == {"imported": 1, "errors": ["record 1: paper not found", "record 2: paper not found"]}
+    after, _ = state.read_version(spark, str(tmp_path / "out/state"), "papers")
+    assert {r.stable_id: r.reading_status for r in after.collect()}[first] == "read"
+    assert state.read_version(spark, str(tmp_path / "out/state"), "feedback")[0].first().paper_id == ids[first]
