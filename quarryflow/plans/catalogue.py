@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..functions.scratch import scratch_dir
 from ..operators import dedupe, judging, ranking, screening, state, stats
 from ..operators.enrich import enrich
+from . import outputs
 from ..sources.records import crossref_records, openalex_works, semantic_records
 from ..streaming.state_stream import lookback_counts, stream_upserts
 
@@ -148,6 +149,13 @@ def q_inverted_index(spark, sf_dir):
     return indexed.select("item_id", X.from_inverted_index(F.col("index")).alias("rebuilt"))
 
 
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) AS text FROM documents""")
+def q_unescape(spark, sf_dir):
+    """Texts written with character references (numbers and all names) and tags, and read again."""
+    escaped = F.concat(F.lit("<p>"), F.replace(F.replace(X.escape_html("text"), F.lit("é"), F.lit("&eacute;")), F.lit("r"), F.lit("&#x72;")), F.lit("</p>"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.strip_markup(escaped).alias("text"))
+
+
 _TERMS = {"the entire": "T1", "tion": "T2", "que": "T3"}
 
 
@@ -230,7 +238,7 @@ def q_json_props(spark, sf_dir):
 # Sources
 
 
-@query(rf"""WITH {PAPERS} SELECT ord, trim(regexp_replace(title, '[\n\r]+', ' ', 'g')) AS title, trim(regexp_replace(abstract, '[\s\x{00A0}]+', ' ', 'g')) AS abstract,
+@query(rf"""WITH {PAPERS} SELECT ord, trim(regexp_replace(title, '[\n\r]+', ' ', 'g')) AS title, trim(regexp_replace(abstract, '[\s\x{{00A0}}]+', ' ', 'g')) AS abstract,
     CASE ord % 3 WHEN 0 THEN '2024-02-03' WHEN 1 THEN '2024-02' ELSE '2024' END AS publication_date, CAST(2024 AS INTEGER) AS year, venue AS journal, pool,
     CASE WHEN ord % 2 = 0 THEN 'G F' ELSE 'G F; A; B; C; D; E; F; H et al.' END AS authors, lower(doi) AS doi
     FROM papers WHERE trim(title) <> '' AND ord % 7 <> 0""")
@@ -570,6 +578,46 @@ def q_feedback_errors(spark, sf_dir):
     return _feedback(spark, sf_dir)[1]
 
 
+_UPDATED = """
+    known AS (SELECT user_id, arg_max(event_type, event_id) AS keyword_tier, count(*) AS relevance_score FROM events GROUP BY user_id),
+    fresh AS (SELECT user_id, max(event_type) AS keyword_tier, CAST(sum(length(event_type)) AS BIGINT) AS relevance_score FROM events WHERE user_id % 2 = 0 GROUP BY user_id)"""
+
+
+@query(f"""WITH {_UPDATED} SELECT k.user_id, coalesce(f.keyword_tier, k.keyword_tier) AS keyword_tier, coalesce(f.relevance_score, k.relevance_score) AS relevance_score FROM known k LEFT JOIN fresh f USING (user_id)""")
+def q_update_analysis(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    known = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("keyword_tier"), F.count("*").alias("relevance_score"))
+    fresh = events.filter("user_id % 2 = 0").groupBy("user_id").agg(F.max("event_type").alias("keyword_tier"), F.sum(F.length("event_type")).cast("long").alias("relevance_score"))
+    return state.update_analysis(known, fresh, ["user_id"], ["keyword_tier", "relevance_score"])
+
+
+@query(f"""WITH {_STATE} SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) AS BIGINT) AS id FROM up""")
+def q_state_ids(spark, sf_dir):
+    """Numbers of a state's rows, given in two batches: what was numbered keeps its number."""
+    rows = _upserted(spark, sf_dir).select("user_id", F.lit(None).cast("long").alias("id"))
+    once = state.with_ids(rows, ["user_id"])
+    return state.with_ids(once, ["user_id"]).select("user_id", "id")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'complete' ELSE 'failed' END AS status, CASE WHEN l.quality = 1 THEN 'sound' ELSE '["poor","poor"]' END AS raw_response
+    FROM documents d JOIN labels l USING (doc_id)""")
+def q_save_judgment(spark, sf_dir):
+    """Judgments of labelled documents by a judge that answers soundly for the good ones: two attempts, then all answers."""
+    sound = '''{"relevance_score": 90, "research_track": "", "priority": "A", "matched_topics": [], "research_question": "", "method_summary": "", "main_contributions": [], "why_relevant": "", "methodological_value": "", "potential_use": "", "related_project": "", "recommended_action": "save"}'''
+    todo = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality")
+    # the prompt tells which; what a judge would make of the text does not matter here
+    judged = judging.judge_todo(todo, lambda asked: asked.map(lambda c: sound if "good" in c.split("}")[0] else "poor"), F.when(F.col("quality") == 1, "good").otherwise("bad"), [])
+    return judged.select("doc_id", "status", F.when(F.col("status") == "complete", "sound").otherwise(F.col("raw_response")).alias("raw_response"))
+
+
+@query("""SELECT o_orderkey AS ord, CASE left(o_orderpriority, 1) WHEN '1' THEN 'A' WHEN '2' THEN 'B' WHEN '3' THEN 'C' WHEN '4' THEN 'D' ELSE 'Ignore' END AS priority,
+    strftime(o_orderdate, '%Y-%m-%d') AS publication_date FROM orders""")
+def q_snapshot(spark, sf_dir):
+    """A snapshot as JSON lines, read back."""
+    path = outputs.snapshot(judged_orders(spark, sf_dir), f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}", "kg", REFERENCE_DAY, "judged")
+    return spark.read.schema("ord long, priority string, publication_date string").json(path)
+
+
 # Flagship
 
 
