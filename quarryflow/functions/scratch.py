@@ -73,6 +73,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, which are few tasks however much work a row is, dealt evenly; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table that `store` wrote, once nothing reads it any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

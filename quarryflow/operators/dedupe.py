@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import store
 from ..functions.text import normalize_doi, text_or_empty, title_key
 
 
@@ -50,8 +51,10 @@ def merge_records(df: DataFrame, key: str = "stable_id", ord: str = "ord") -> Da
     record's or, if it has none, the first one after it. Every other column is
     its first filled value, else the last that is not null. Aggregates alone
     do this, so a hot key costs one row from each task; no group is collected,
-    only its distinct sources.
+    only its distinct sources. The keyed records are stored once, so what their
+    keys cost is paid once, and the passes over sources read narrow columns.
     """
+    df = store(df, "merge-records")
     others = [c for c, _ in df.dtypes if c not in (key, ord, "source", "abstract", "abstract_source")]
     kinds = dict(df.dtypes)
     place = F.struct(F.length(text_or_empty("abstract")), -F.col(ord))

@@ -69,15 +69,16 @@ def keyword_hits(hay: Column, keywords: list[str]) -> Column:
 
 def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str | None = None, title: str = "title") -> DataFrame:
     """Adds core_hits, proxy_hits, eco_hits, matched_keywords, keyword_tier and tier."""
-    # the text is lowered once for each row, not once for each tier
-    out = df.withColumn("__hay", haystack(title, topics=topics))
-    for t in TIERS:
-        out = out.withColumn(f"{t}_hits", keyword_hits(F.col("__hay"), keywords.get(t, [])))
+    # the text is lowered and searched once for each row: the hits come out of a generator,
+    # as filters on them would otherwise repeat the searches below every projection
+    hay = F.col("__hay")
+    hits = F.struct(*[keyword_hits(hay, keywords.get(t, [])).alias(f"{t}_hits") for t in TIERS])
+    out = df.withColumn("__hay", haystack(title, topics=topics)).select("*", F.inline(F.array(hits))).drop("__hay")
     tier = F.lit("other")
     for t in reversed(TIERS):
         tier = F.when(F.size(f"{t}_hits") > 0, t).otherwise(tier)
     matched = F.array_distinct(F.concat(*[F.col(f"{t}_hits") for t in TIERS]))
-    return out.withColumn("matched_keywords", matched).withColumn("keyword_tier", tier).withColumn("tier", F.col("keyword_tier")).drop("__hay")
+    return out.withColumn("matched_keywords", matched).withColumn("keyword_tier", tier).withColumn("tier", F.col("keyword_tier"))
 
 
 def keyword_pairs(df: DataFrame, keywords: dict[str, list[str]], id: str, title: str = "title") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.scratch import scratch_dir
+from ..functions.scratch import scratch_dir, spread
 from ..operators import dedupe, judging, ranking, screening, state, stats
 from ..operators.enrich import enrich
 from . import outputs
@@ -57,7 +57,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
     provider = F.when(even, "crossref").otherwise("semantic_scholar")
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ord"),
         F.col("text").alias("title"),
         F.col("text").alias("abstract"),
