@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import drop_stored, shared_dir, store, with_positions
+from ..functions.scratch import drop_stored, shared_dir, spread, store, with_positions
 
-__all__ = ["WORD", "drop_stored", "fresh", "lookup", "map_texts", "release_shuffles", "row_key", "shared_dir", "slices", "small", "store", "table", "text_key", "with_positions", "words"]
+__all__ = ["WORD", "drop_stored", "fresh", "lookup", "map_texts", "release_shuffles", "row_key", "shared_dir", "slices", "small", "spread", "store", "table", "text_key", "texts", "with_positions", "words"]
 
 #: Narrow rows (an id or a key and a few numbers) of a table that may be broadcast.
 MOST_BROADCAST = 1_000_000
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are much work each."""
+    return spread(table(spark, sf_dir, name))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's context cleaner see that finished plans are unreachable.
 
