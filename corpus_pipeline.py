@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryflow.llm.common import store, table
+from quarryflow.llm.common import store, table, texts
 from quarryflow.llm.decontaminate import decontaminate
 from quarryflow.llm.near_dedup import keep_one
 from quarryflow.llm.packing import pack
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
