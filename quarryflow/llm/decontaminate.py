@@ -97,7 +97,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
 
     # where documents have a shingle of any item
     shingles = shingled(docs, [row_key().alias("row"), F.col("doc_id")]).select("row", "doc_id", "n_words", F.size("shingles").alias("size"), F.posexplode_outer("shingles").alias("pos", "h"))
-    hits = store(shingles.join(small(index.select("h").distinct(), n_index), "h", "left_semi"), "leaks-hits")
+    # rows that are all alike count once, and are made one in each task
+    hits = store(shingles.join(small(index.select("h").distinct(), n_index), "h", "left_semi").distinct(), "leaks-hits")
     often = hits.groupBy("h").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("item").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1)
     rare = index.join(small(often, n_index), "h").withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0)))
