@@ -104,7 +104,8 @@ def run_triage(spark: SparkSession, a: argparse.Namespace) -> dict:
     judge = models.chat_judge(a.api_base, a.model, post, a.temperature) if a.model else None
     encode = models.encoder(a.api_base, a.embedding_model, post) if a.embedding_model else None
     vector = encode(_texts(profile.description))[0] if encode else None
-    settings = Settings(a.exclude, projects, bool(encode), a.threshold, a.model, a.api_base, a.temperature)
+    caps = files.merged(profile.caps, a.caps) if a.caps else None
+    settings = Settings(a.exclude, projects, bool(encode), a.threshold, a.model, a.api_base, a.temperature, caps)
     look_up = (lambda kept: works_of(kept, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries)) if a.enrich else None
     run = triage(found, profile, settings, now, state, judgments, look_up, encode, vector, judge, screened)
     root = a.state or f"{a.out}/state"
@@ -191,9 +192,10 @@ def _parser() -> argparse.ArgumentParser:
 
     def command(name: str, run, required: tuple[str, ...]) -> argparse.ArgumentParser:
         p = sub.add_parser(name)
-        p.set_defaults(run=run)
+        p.add_argument("--config", help="a JSON file of options; those of the command line go before it")
         for r in required:
-            p.add_argument(r, required=True)
+            p.add_argument(r)
+        p.set_defaults(run=run, parser=p, required=[r[2:] for r in required], caps=None)
         return p
 
     def web(p: argparse.ArgumentParser) -> None:
@@ -240,10 +242,34 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def main(argv: list[str] | None = None) -> int:
+#: Options that are paths; in a settings file they are relative to it.
+PATHS = ("profile", "out", "state", "records", "scan", "screened", "judged", "feedback", "venues", "project")
+
+
+def _options(spark: SparkSession, argv: list[str] | None) -> argparse.Namespace:
+    """The options of the command line over those of its settings file."""
     a = _parser().parse_args(argv)
+    if a.config:
+        settings = {k.replace("-", "_"): v for k, v in files.read_settings(spark, a.config, {}).items()}
+        folder = a.config.rpartition("/")[0] or "."
+        for name in settings.keys() & set(PATHS):
+            v = settings[name]
+            settings[name] = [files.resolve(x, folder) for x in v] if isinstance(v, list) else files.resolve(v, folder)
+        known = vars(a).keys() - {"run", "parser", "required", "config"}
+        if unknown := settings.keys() - known:
+            raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        a.parser.set_defaults(**settings)
+        given = a.parser.parse_args((sys.argv[1:] if argv is None else argv)[1:])
+        a = given
+    if missing := [r for r in a.required if not getattr(a, r)]:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    return a
+
+
+def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
+        a = _options(spark, argv)
         out = a.run(spark, a)
     except (ValueError, FileNotFoundError, json.JSONDecodeError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)

@@ -73,7 +73,8 @@ def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str
     # as filters on them would otherwise repeat the searches below every projection
     hay = F.col("__hay")
     hits = F.struct(*[keyword_hits(hay, keywords.get(t, [])).alias(f"{t}_hits") for t in TIERS])
-    out = df.withColumn("__hay", haystack(title, topics=topics)).select("*", F.inline(F.array(hits))).drop("__hay")
+    bare = df.drop(*[f"{t}_hits" for t in TIERS])
+    out = bare.withColumn("__hay", haystack(title, topics=topics)).select("*", F.inline(F.array(hits))).drop("__hay")
     tier = F.lit("other")
     for t in reversed(TIERS):
         tier = F.when(F.size(f"{t}_hits") > 0, t).otherwise(tier)

@@ -449,6 +449,14 @@ def test_command_line(spark, found, tmp_path, capsys):
     for flag in ("--scan", "--screened"):
         assert cli.main(["triage", *base[:4], flag, scanned, "--to-date", "2026-09-05", "--outputs"]) == 0
         assert json.loads(capsys.readouterr().out)["stats"]["count_a"] == 1
+    (tmp_path / "set.json").write_text(json.dumps({"profile": "profile-kg.md", "out": "out3", "records": "found", "to-date": "2026-09-03", "caps": {"A": 0, "B": None}, "outputs": []}))
+    assert cli.main(["triage", "--config", str(tmp_path / "set.json")]) == 0
+    assert json.loads(capsys.readouterr().out)["stats"]["count_a"] == 0
+    assert cli.main(["triage", "--config", str(tmp_path / "set.json"), "--records", str(tmp_path / "later"), "--from-date", "2027-01-01"]) == 2
+    (tmp_path / "bad.json").write_text('{"nothing": 1}')
+    assert cli.main(["triage", "--config", str(tmp_path / "bad.json")]) == 2
+    assert cli.main(["feedback", "--state", "x"]) == 2
+    assert json.loads(capsys.readouterr().err.splitlines()[-1]) == {"error": "missing: feedback"}
     ids = {r.stable_id: r.id for r in papers.collect()}
     first = next(iter(ids))
     (tmp_path / "f.json").write_text(json.dumps([{"stable_id": first, "action": "read", "rating": 4}, {"stable_id": "s9"}, {"paper_id": 77}]))
