@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release_shuffles, slices, store
+from .common import MOST_BROADCAST, drop_stored, release_shuffles, slices, store
 from .rolling import MOST, Words, in_portions, winnowed
 
 
@@ -176,6 +176,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _with(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a row of `found` joined to them, and those without one.
+
+    Where the numbers of `found` are few enough to broadcast, only texts that
+    have one are shuffled.
+    """
+    if found.count() > MOST_BROADCAST:
+        return rows.join(found, "row"), rows.join(found.select("row"), "row", "left_anti")
+    numbers = F.broadcast(found.select("row"))
+    return rows.join(numbers, "row", "left_semi").join(found, "row"), rows.join(numbers, "row", "left_anti")
+
+
 def numbered_rows(docs: DataFrame) -> DataFrame:
     """row, doc_id, text: the rows stored under numbers of their own, null texts as empty."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -202,7 +214,7 @@ def repeated_spans(rows: DataFrame, window: int = 35) -> DataFrame:
 
     def found(by_paths: bool) -> DataFrame:
         kinds = "digest binary, path boolean, row long, start int, length int"
-        return store(rows.join(marks, "row").mapInArrow(_span_rows(window, by_paths), kinds), "substring-windows")
+        return store(_with(rows, marks)[0].mapInArrow(_span_rows(window, by_paths), kinds), "substring-windows")
 
     spans = found(True)
     release_shuffles(spark)
@@ -230,5 +242,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     per_row = spans.groupBy("row").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")).alias("spans"))
     per_row = store(per_row, "substring-spans")
     release_shuffles(docs.sparkSession)
-    joined = rows.join(per_row, "row", "left").select("doc_id", "text", "spans")
+    some, others = _with(rows, per_row)
+    joined = some.select("doc_id", "text", "spans").unionByName(others.select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans")))
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
