@@ -60,8 +60,9 @@ def pack(docs: DataFrame, max_tokens: int = 2048, buckets: int = 8, budget: int
     `length` counts a document's tokens (its words, if not given). A batch of
     bucket length b holds budget // b pieces (at least one); batches are
     numbered without gaps. A document without tokens (null or empty text) is one
-    row with n_tokens 0 and null bucket, batch and slot. Repeated rows and null
-    ids are packed like any others; further columns are ignored.
+    row with n_tokens 0 and null bucket, batch and slot. A very long one is as many
+    pieces as it takes. Repeated rows and null ids are packed like any others; an
+    empty table gives an empty result; further columns are ignored.
     """
     counted = docs.select("doc_id", (word_count() if length is None else length).cast("long").alias("doc_tokens"))
     last = F.greatest(F.ceil(F.col("doc_tokens") / max_tokens) - 1, F.lit(0)).cast("int")

@@ -20,7 +20,8 @@ def byte_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.01) -> Da
     """One row for each document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Null texts count as empty (size 1, crc32 0); null ids sort first and stay
-    rows like any other; repeated rows each get a slot of their own. An empty
+    rows like any other; repeated rows each get a slot of their own; a very long
+    text is one row, so shards differ by its size at most. An empty
     table gives an empty result. Further columns of `docs` are ignored.
     """
     text = F.coalesce("text", F.lit(""))

@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) of every row.
 
     Texts without words (null ones too) have fingerprint zero and are linked like
-    any other; fewer words than a shingle make one shingle. Repeated rows and
+    any other; fewer words than a shingle make one shingle; very long texts are
+    hashed whole, in portions. Repeated rows and
     ties share a component. Null ids never name a component: one of null ids
     only has a null component_id. An empty table gives an empty result; further
     columns are ignored.
