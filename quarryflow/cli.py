@@ -17,6 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scratch import clean_scratch
 from .functions.text import first_filled
 from .operators.dedupe import first_by_key, venue_key
 from .operators.ranking import top_per_group, window_bounds
@@ -274,6 +275,8 @@ def main(argv: list[str] | None = None) -> int:
     except (ValueError, FileNotFoundError, json.JSONDecodeError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)
         return 2
+    finally:
+        clean_scratch(spark)
     print(json.dumps(out, ensure_ascii=False))
     return 1 if out.get("errors") else 0
 

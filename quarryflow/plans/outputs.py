@@ -53,8 +53,19 @@ def write_sheets(df: DataFrame, path: str) -> None:
     sheet.write.option("header", True).csv(path + "/all")
 
 
+#: Records of a workbook or page that a reader opens whole; larger results are written as sheets.
+MOST_OPENED = 100_000
+
+
+def _opened_whole(df: DataFrame) -> DataFrame:
+    if df.limit(MOST_OPENED + 1).count() > MOST_OPENED:
+        raise ValueError(f"more than {MOST_OPENED} records for one file: write sheets")
+    return df
+
+
 def workbook(df: DataFrame, stats: dict[str, int]) -> bytes:
     """A small workbook: a summary, a sheet for each of A to D with rows, and all rows; headers frozen and filtered."""
+    df = _opened_whole(df)
     rows = [list(r) for r in cells(df.orderBy(*report_order()), SHEET_FIELDS).toLocalIterator()]
     at = SHEET_FIELDS.index("priority")
     sheets = [("Summary", [["metric", "count"], *[[k, str(v)] for k, v in stats.items()]])]
@@ -183,6 +194,7 @@ def report(df: DataFrame, title: str, stats: dict[str, int]) -> Iterator[str]:
 
 def app(df: DataFrame, profile: str, stats: dict[str, int]) -> str:
     """A page that holds the records as JSON, for a reader who rates them and exports feedback."""
+    df = _opened_whole(df)
     fields = ("id", "stable_id", "title", "abstract", "venue", "publication_date", "doi_url", "priority", "relevance_score", "matched_keywords", "research_track", "related_project")
     have = [f for f in fields if f in df.columns]
     records = [json.loads(r[0]) for r in df.orderBy(*report_order()).select(F.to_json(F.struct(*have))).toLocalIterator()]

@@ -339,6 +339,10 @@ def test_sinks(spark, found, tmp_path):
     assert page.count("<article") == 3
     assert "|" in outputs.preview(run.queue, {"A": 1})
     assert outputs.workbook(run.candidates, {"A": 1})[:2] == b"PK"
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(outputs, "MOST_OPENED", 2)
+        with pytest.raises(ValueError, match="write sheets"):
+            outputs.workbook(run.candidates, {})
     assert "</script>" not in outputs.app(run.candidates, "kg", {}).split("id=data>")[1].split("</script>")[0]
     outputs.write_notes(run.queue, str(tmp_path / "n"))
     outputs.write_sheets(run.candidates, str(tmp_path / "s"))
