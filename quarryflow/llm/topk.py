@@ -6,7 +6,7 @@ a row x the triangle inequality gives |q - x| >= max over pivots of
 evaluated in falling order of that upper bound until it drops below the k-th
 best score, so nothing that could enter the result is skipped.
 
-Rows lie in the cell of their nearest pivot, large cells in several blocks, and
+Rows lie in the cell of their nearest pivot (of the first few), large cells in several blocks, and
 stay there. Every query first searches one block of its own cell, which gives it
 a floor, the score that a k-th best row has at least. Then it goes to the blocks
 of those cells alone whose ranges of distances allow the floor. A task holds one
@@ -75,7 +75,7 @@ class Block:
 
     def __init__(self, x: np.ndarray, uid: np.ndarray, vec_id: np.ndarray, piv: np.ndarray, k: int):
         self.x, self.uid, self.vec_id, self.piv, self.k = x, uid, vec_id, piv, k
-        self.norm = (x * x).sum(1)
+        self.norm, self.most = (x * x).sum(1), np.abs(x).max(initial=0)
         # float errors never raise a lower bound
         self.slack = 1e-6 * piv.max(1, initial=0) + 1e-7 * np.sqrt(self.norm)
 
@@ -87,11 +87,14 @@ class Block:
         upper = (norm + self.norm - low * low) / 2 + 1e-9 * (norm + self.norm) + 1
         live = np.flatnonzero((upper >= floor) & (self.uid != uid))
         order = live[np.argsort(-upper[live], kind="stable")]
+        whole = self.most * np.abs(q).max(initial=0) * len(q) < 2**53
         got, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 64
         while at < len(order) and upper[order[at]] >= floor:
             part = order[at : at + step]
-            at, step = at + step, 4 * step
-            got, scores = np.concatenate((got, part)), np.concatenate((scores, inner(self.x[part], q)))
+            at, step = at + step, 1024
+            found = (self.x[part] @ q).astype(np.int64) if whole else self.x[part].astype(np.int64) @ q.astype(np.int64)
+            near = found >= floor
+            got, scores = np.concatenate((got, part[near])), np.concatenate((scores, found[near]))
             best = np.lexsort((self.vec_id[got], -scores))[: self.k]
             got, scores = got[best], scores[best]
             if len(got) == self.k:
@@ -149,7 +152,9 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 3
     integers and must fit in them. Further columns are ignored.
     """
     rows = store(quantised(vectors), "topk-vectors")
-    width = max(rows.agg(F.max(F.size("q"))).first()[0] or 1, 1)
+    n, width = rows.agg(F.count("*"), F.max(F.size("q"))).first()
+    width = max(width or 1, 1)
+    n_cells = max(1, min(pivots, n // row_block))  # cells of about a block each, while there are pivots
     sample = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(PIVOT_SAMPLE).toPandas()
     points = matrix([np.array(v, np.int64).tobytes() for v in sample["q"]], width)
     chosen = farthest_first(points, pivots) if len(points) else np.empty(0, int)
@@ -164,7 +169,7 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 3
             scores = inner(v, seeds.T).astype(np.float64)
             scores[pdf["uid"].to_numpy()[:, None] == seed_uid] = -np.inf
             floor = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(v), -np.inf)
-            cell = d.argmin(1) if d.shape[1] else np.zeros(len(v))
+            cell = d[:, :n_cells].argmin(1) if d.shape[1] else np.zeros(len(v))
             yield pd.DataFrame({"uid": pdf["uid"], "vec_id": pdf["vec_id"], "q": whole, "piv": [x.tobytes() for x in d], "cell": cell.astype(np.int32), "norm": (v * v).sum(1), "floor": floor})
 
     # the pivot table, stored
