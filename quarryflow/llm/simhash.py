@@ -182,15 +182,18 @@ def meet(keyed: DataFrame, radius: int, name: str, first: tuple[int, int] | None
     """Links a, b among the nodes that share a key: a spanning forest of each set. keyed: node, bits (the fingerprint's bytes), key.
 
     A key with more than MEET nodes is split into chunks, and each pair of chunks
-    is a set of its own. The keys are made twice, to find those that are that
-    frequent and for the sets, which is cheaper than to store them.
+    is a set of its own. The keys are made anew for each step, which is cheaper
+    than to store them.
     """
     often = store(keyed.groupBy("key").count().filter(F.col("count") > MEET), f"{name}-often")
-    chunks = F.coalesce(F.ceil(F.col("count") / (MEET // 2)).cast("int"), F.lit(1))
-    pairs = keyed.join(often, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = pairs.select("node", "bits", part.alias("part")).repartition("part").sortWithinPartitions("part")
+    sets = keyed.select("node", "bits", F.col("key").alias("part"))
+    if not often.isEmpty():
+        chunks = F.ceil(F.col("count") / (MEET // 2)).cast("int")
+        split = keyed.join(often, "key").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        sets = keyed.join(often, "key", "left_anti").select("node", "bits", F.col("key").alias("part")).unionByName(split.select("node", "bits", part.alias("part")))
+    dealt = sets.repartition("part").sortWithinPartitions("part")
     return dealt.mapInPandas(_links(radius, first), "a long, b long")
 
 
