@@ -127,12 +127,12 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, CAST((SELECT count(*) FROM cuts WHERE cuts.cut <= o.before) AS INTEGER) AS shard FROM o)
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(pos - min(pos) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
     """,
-    # the pages' markup alone: one article each, h1 and p as blocks, four character references
+    # the pages' markup alone: one article each, h1 and p as blocks, four character references, which may lack the semicolon
     "op4_html_extraction": r"""
         WITH b AS (
           SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(?:p|h1)>'),
-            lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
-              '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM pages),
+            lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+              '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM pages),
         t AS (SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text FROM b)
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
     """,
