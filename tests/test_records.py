@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryflow import cli
+from quarryflow.functions import scratch
 from quarryflow.functions import text as X
 from quarryflow.operators import dedupe, judging, ranking, screening, state
 from quarryflow.operators.enrich import enrich
@@ -415,6 +416,22 @@ def test_a_frequent_doi_is_enriched_once(spark):
     assert (got[51].abstract, got[51].primary_topic, got[50].primary_topic, len(got)) == ("own", "t2", None, 52)
 
 
+def test_few_files_are_dealt_and_many_stay(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    sizes = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert sizes(scratch.spread(one)) == spark.sparkContext.defaultParallelism
+    assert scratch.spread(many) is many
+    made = spark.range(3)
+    assert scratch.spread(made) is made
+    kept = scratch.store(made, "few")
+    file = kept.inputFiles()[0]
+    assert scratch.exists(spark, file)
+    scratch.drop_stored(kept)
+    assert not scratch.exists(spark, file)
+
+
 def test_conferences_bring_only_their_own_proceedings(spark, monkeypatch):
     items = [{"title": [f"Paper {i}"], "container-title": [c], "DOI": f"10.1/{i}"} for i, c in enumerate(["Proceedings of the Web Conference", "Unrelated", "the web conference 2", "Web Conference"])]
     rows = [("crossref", json.dumps({"kind": "conference", "venue": "Web Conference", "aliases": ["WWW"], "pool": "p"}, sort_keys=True), i, json.dumps(x)) for i, x in enumerate(items)]
