@@ -15,6 +15,7 @@ from .pii import find_pii
 from .quality import classify
 from .sharding import byte_shards
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import remove_repeats
 from .topk import exact_top_k
 
@@ -59,6 +60,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(texts(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(texts(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,4 +178,28 @@ ORACLE_SQL: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS r FROM s)
         WHERE r <= 5
     """,
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                 lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+        runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        times AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+        hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'),
+                    lambda b: CAST((instr('0123456789ABCDEF', b[1]) - 1) * 16 + instr('0123456789ABCDEF', b[2]) - 1 AS BIGINT))),
+                  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM times, tab),
+        w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+                SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+              WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+        less AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+                 UNION SELECT less.word, w.word FROM less JOIN w ON less.d = w.word UNION SELECT w.word, less.word FROM less JOIN w ON less.d = w.word),
+        ranked AS (SELECT near.word, other, w.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                     row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS r FROM near JOIN w ON w.word = other),
+        formed AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN other END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+                   FROM w LEFT JOIN ranked ON ranked.word = w.word AND r = 1),
+        walk(word, top) AS (SELECT word, form FROM formed WHERE form IS NOT NULL
+                           UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.top WHERE formed.form IS NOT NULL),
+        ends AS (SELECT walk.word, top FROM walk JOIN formed ON formed.word = top WHERE formed.form IS NULL)
+        SELECT formed.word, form, coalesce(top, formed.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed LEFT JOIN ends ON ends.word = formed.word
+    """,
 }
