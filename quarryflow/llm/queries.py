@@ -10,8 +10,10 @@ from .common import table, texts
 from .decontaminate import contaminated
 from .html_extract import extract_pages
 from .license_scan import scan_licenses
+from .minhash import minhash_groups
 from .packing import pack
 from .pii import find_pii
+from .prefix_trie import prefix_trie
 from .quality import classify
 from .sharding import byte_shards
 from .simhash import near_duplicates
@@ -64,6 +66,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(texts(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(texts(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -202,4 +214,47 @@ ORACLE_SQL: dict[str, str] = {
         ends AS (SELECT walk.word, top FROM walk JOIN formed ON formed.word = top WHERE formed.form IS NULL)
         SELECT formed.word, form, coalesce(top, formed.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM formed LEFT JOIN ends ON ends.word = formed.word
     """,
+    "op12_prefix_trie": r"""
+        WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                 lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+        t AS (SELECT conv_id, tid, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) AS p FROM (
+                SELECT conv_id, turn, md5(CAST(length(role) AS VARCHAR) || ':' || role || text) AS tid, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+        ids AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'),
+                    lambda b: CAST((instr('0123456789ABCDEF', b[1]) - 1) * 16 + instr('0123456789ABCDEF', b[2]) - 1 AS BIGINT))),
+                  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+        r AS (SELECT ids.conv_id AS c, 0 AS part, p, tid, w FROM ids JOIN t ON t.conv_id = ids.conv_id - ids.conv_id % 20 AND p <= h
+              UNION ALL SELECT conv_id, 1, p, tid, w FROM ids JOIN t USING (conv_id) WHERE p > h),
+        s AS (SELECT c, tid, w, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM r),
+        pre AS (SELECT c, d, w, md5(string_agg(tid, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+        node AS (SELECT d, k, min(c) AS m, count(*) AS n, min(w) AS w FROM pre GROUP BY d, k),
+        link AS (SELECT node.d, node.k, pre.k AS pk FROM node JOIN pre ON pre.c = node.m AND pre.d = node.d - 1),
+        kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM link GROUP BY d, pk),
+        leaves AS (SELECT pre.d, pre.k, count(*) AS n_leaves FROM node JOIN pre ON pre.c = node.m AND pre.d <= node.d
+                   WHERE NOT EXISTS (SELECT 1 FROM kids WHERE kids.d = node.d AND kids.k = node.k) GROUP BY pre.d, pre.k),
+        saved AS (SELECT pre.d, pre.k, sum((node.n - 1) * node.w) AS saved FROM node JOIN pre ON pre.c = node.m AND pre.d <= node.d GROUP BY pre.d, pre.k),
+        last AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
+        ends AS (SELECT pre.d, k, sha256(string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c)) AS e FROM pre JOIN last ON pre.c = last.c AND pre.d = last.d GROUP BY pre.d, k)
+        SELECT node.m AS conv_id, CAST(node.d AS BIGINT) AS depth, up.m AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+        FROM node LEFT JOIN link ON link.d = node.d AND link.k = node.k LEFT JOIN node up ON up.d = node.d - 1 AND up.k = link.pk
+        LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k JOIN leaves ON leaves.d = node.d AND leaves.k = node.k
+        JOIN saved ON saved.d = node.d AND saved.k = node.k LEFT JOIN ends ON ends.d = node.d AND ends.k = node.k
+    """,
+    "op13_minhash": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT u, array_to_string(w[p + 1:p + 3], ' ') AS h FROM (SELECT u, w, unnest(range(greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+        n AS (SELECT u, count(*) AS n, md5(string_agg(h, chr(10) ORDER BY h)) AS k FROM s GROUP BY u),
+        one AS (SELECT k, min(u) AS u, any_value(n) AS n FROM n GROUP BY k),
+        os AS (SELECT s.u, h FROM s JOIN one USING (u)),
+        both_ AS (SELECT a.u AS a, b.u AS b, count(*) AS x FROM os a JOIN os b ON a.h = b.h AND a.u < b.u GROUP BY a.u, b.u),
+        near AS (SELECT a, b FROM both_ JOIN one p ON p.u = a JOIN one q ON q.u = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+        edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        reach(u, v) AS (SELECT u, u FROM one UNION SELECT reach.u, edge.b FROM reach JOIN edge ON edge.a = reach.v),
+        least AS (SELECT k, min(d.doc_id) AS m FROM n JOIN d USING (u) GROUP BY k),
+        comp AS (SELECT x.k, min(least.m) AS component_id FROM reach JOIN one x ON x.u = reach.u JOIN one y ON y.u = reach.v JOIN least ON least.k = y.k GROUP BY x.k)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+               doc_id IS NOT DISTINCT FROM CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS kept
+        FROM d LEFT JOIN n USING (u) LEFT JOIN comp USING (k)
+    """,
 }
