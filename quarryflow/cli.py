@@ -17,7 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scratch import clean_scratch
+from .functions.scratch import clean_scratch, delete
 from .functions.text import first_filled
 from .operators.dedupe import first_by_key, venue_key
 from .operators.ranking import top_per_group, window_bounds
@@ -108,10 +108,18 @@ def run_triage(spark: SparkSession, a: argparse.Namespace) -> dict:
     caps = files.merged(profile.caps, a.caps) if a.caps else None
     settings = Settings(a.exclude, projects, bool(encode), a.threshold, a.model, a.api_base, a.temperature, caps)
     look_up = (lambda kept: works_of(kept, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries)) if a.enrich else None
-    run = triage(found, profile, settings, now, state, judgments, look_up, encode, vector, judge, screened)
     root = a.state or f"{a.out}/state"
-    write_version(run.state.drop("is_new", "in_batch"), root, "papers", at + 1)
+    log = f"{root}/judgment_log"
+    if judge:  # what was seen outlives a run that dies while the judge is asked
+        versions = iter((at + 1, at + 2))
+        run = triage(found, profile, settings, now, state, judgments, look_up, encode, vector, judge, screened, log, run_id, lambda seen: write_version(seen, root, "papers", next(versions)))
+    else:
+        versions = iter((at + 1,))
+        run = triage(found, profile, settings, now, state, judgments, look_up, encode, vector, judge, screened)
+    # judgments first: a crash in between leaves no paper analysed by judgments that are not there
     write_version(run.judgments, root, "judgments", judged_at + 1)
+    write_version(run.state.drop("is_new", "in_batch"), root, "papers", next(versions))
+    delete(spark, f"{log}/run={run_id}")
     queued = run.queue.select("stable_id", F.lit(True).alias("in_queue"))  # the weekly capacity at most
     candidates = run.candidates.join(F.broadcast(queued), "stable_id", "left").withColumn("in_queue", F.coalesce("in_queue", F.lit(False)))
     candidates = translate(candidates, models.chat_translator(a.api_base, a.translation_model, post)) if a.translation_model else candidates

@@ -61,6 +61,13 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as an address that is the same on all machines, with its scheme."""
+    path, files = _path(spark, folder)
+    found = files.makeQualified(path).toString()
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 

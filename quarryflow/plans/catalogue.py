@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from ..functions import text as X
 from ..functions.scratch import scratch_dir, spread
 from ..operators import dedupe, judging, ranking, screening, state, stats
 from ..operators.enrich import enrich
+from ..operators.judgment_log import judge_durably
 from . import outputs
 from ..sources.records import crossref_records, openalex_works, semantic_records
 from ..streaming.state_stream import lookback_counts, stream_upserts
@@ -610,6 +612,23 @@ def q_save_judgment(spark, sf_dir):
     return judged.select("doc_id", "status", F.when(F.col("status") == "complete", "sound").otherwise(F.col("raw_response")).alias("raw_response"))
 
 
+@query("""SELECT d.doc_id, 'complete' AS status, CASE WHEN l.quality = 1 THEN 'reused' ELSE 'completed' END AS judge_checkpoint, CASE WHEN l.quality = 1 THEN 'first' ELSE 'second' END AS research_track
+    FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def q_judgment_resume(spark, sf_dir):
+    """A run that judged the good documents alone, then one over all: what the log holds is not asked about again."""
+    folder = f"{scratch_dir(spark)}/judgments-{uuid.uuid4().hex}"
+
+    def judge(track: str):
+        answer = json.dumps({f: [] if f in judging.LIST_FIELDS else "" for f in judging.FIELDS} | {"relevance_score": 90, "priority": "A", "recommended_action": "save", "research_track": track})
+        return lambda asked: asked.map(lambda _: answer)
+
+    ids = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stable_id"), F.lit("c").alias("context_hash"), F.lit("m").alias("model"), "doc_id")
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    for run, rows in (("first", ids.join(good, "doc_id", "left_semi")), ("second", ids)):
+        judged = judge_durably(rows, judge(run), F.col("stable_id"), folder, run, portion=64)
+    return judged.select("doc_id", "status", "judge_checkpoint", F.get_json_object("raw_response", "$.research_track").alias("research_track"))
+
+
 @query("""SELECT o_orderkey AS ord, CASE left(o_orderpriority, 1) WHEN '1' THEN 'A' WHEN '2' THEN 'B' WHEN '3' THEN 'C' WHEN '4' THEN 'D' ELSE 'Ignore' END AS priority,
     strftime(o_orderdate, '%Y-%m-%d') AS publication_date FROM orders""")
 def q_snapshot(spark, sf_dir):

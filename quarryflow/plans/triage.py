@@ -18,6 +18,7 @@ from ..functions.text import first_filled, normalize_doi, normalized_name, prote
 from ..operators.dedupe import merge_records
 from ..operators.enrich import enrich
 from ..operators.judging import VERSION, context_hash, fallback, judge_todo, parsed_or_fallback, prompt, reuse
+from ..operators.judgment_log import judge_durably, judgments_of, read_log
 from ..operators.ranking import select_capacity, with_cosine, with_semantic_rank
 from ..operators.screening import is_candidate, is_excluded, with_keyword_tier
 from ..operators.state import update_analysis, upsert, with_ids
@@ -72,11 +73,17 @@ def triage(
     query_vector: list[float] | None = None,
     judge: Callable[[pd.Series], pd.Series] | None = None,
     screened: bool = False,
+    log: str | None = None,
+    run: str = "run",
+    save: Callable[[DataFrame], None] | None = None,
 ) -> Run:
     """One run over discovered records (with ord, title, abstract, abstract_source, venue, journal, journal_source, doi, doi_raw, doi_url, source, publication_date).
 
     `look_up` gives the works (for `enrich`) of the records it is shown. Records
-    that were `screened` before keep their keyword hits and tiers.
+    that were `screened` before keep their keyword hits and tiers. Given the folder
+    of a `log`, the judge's answers are put down there as they come, under `run`;
+    `save` is given the state before the judge is asked, so that a run that dies
+    then has not forgotten what it saw.
     """
     spark = records.sparkSession
     state = spark.createDataFrame([], STATE_SCHEMA) if state is None else state
@@ -92,6 +99,8 @@ def triage(
     after = store(with_ids(after, keys), "triage-state")
     known = after.filter("in_batch").select("stable_id", F.col("id").alias("paper_id"), "is_new", "first_seen", "reading_status")
     kept = kept.drop("paper_id", "is_new", "first_seen", "reading_status").join(known, "stable_id")
+    if save:
+        save(after.drop("is_new", "in_batch"))
     no_topics = F.array().cast("array<string>")
     rich = store(enrich(kept, look_up(kept)), "triage-rich") if look_up else kept if "all_topics" in kept.columns else kept.withColumn("all_topics", no_topics)
     tiered = _with_screening_defaults(rich) if screened else with_keyword_tier(rich, profile.keywords, "all_topics")
@@ -108,11 +117,15 @@ def triage(
     names = [p.name for p in settings.projects]
     if judge:
         reused, todo = reuse(candidates, judgments.select(*on, "status", "raw_response"), on)
-        asked = store(judge_todo(todo, judge, prompt(profile.description, [p.prompt for p in settings.projects]), names), "triage-judged")
-        judged = reused.withColumn("judge_checkpoint", F.lit("reused")).unionByName(
-            asked.withColumn("judge_checkpoint", F.when(F.col("status") == "complete", "completed").otherwise("failed-fallback"))
-        )
-        answers = asked.select(*on, "status", "raw_response")
+        request = prompt(profile.description, [p.prompt for p in settings.projects])
+        if log:
+            answered = judge_durably(todo, judge, request, log, run, projects=names)
+            answers = judgments_of(read_log(spark, log), run, projects=names).select(*on, "status", "raw_response")
+        else:
+            asked = store(judge_todo(todo, judge, request, names), "triage-judged")
+            answered = asked.withColumn("judge_checkpoint", F.when(F.col("status") == "complete", "completed").otherwise("failed-fallback"))
+            answers = asked.select(*on, "status", "raw_response")
+        judged = reused.withColumn("judge_checkpoint", F.lit("reused")).unionByName(answered)
         judgments = judgments.join(answers.select(*on), on, "left_anti").select(*on, "status", "raw_response").unionByName(answers)
     else:
         judged = candidates.withColumn("status", F.lit("none")).withColumn("raw_response", F.lit("")).withColumn("judge_checkpoint", F.lit("disabled"))

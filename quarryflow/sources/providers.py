@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.scratch import store
 from ..functions.text import normalize_doi
 from .http import Client, Patience
 
@@ -119,9 +120,10 @@ class PagedApi(DataSource):
 
 
 def discover(spark: SparkSession, provider: str, keys: list[dict[str, Any]], **options: Any) -> tuple[DataFrame, DataFrame]:
-    """(items, errors) of a provider over its keys."""
+    """(items, errors) of a provider over its keys, of one scan: what it brings is stored before it is read."""
     spark.dataSource.register(PagedApi)
     rows = spark.read.format("paged_api").options(provider=provider, keys=json.dumps(keys), **{k: str(v) for k, v in options.items()}).load()
+    rows = store(rows, "discovered")
     return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("provider", "key", "error")
 
 
