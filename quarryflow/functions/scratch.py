@@ -61,6 +61,37 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what a folder holds, hidden ones aside; none if it is not there."""
+    path, files = _path(spark, folder)
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return [n for n in names if n[0] not in "._"]
+
+
+def read_file(spark: SparkSession, file: str) -> str:
+    """A small file as text."""
+    path, files = _path(spark, file)
+    stream = files.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_file(spark: SparkSession, file: str, text: str) -> bool:
+    """Writes a small file under a hidden name and renames it; False if the file is there already."""
+    path, files = _path(spark, file)
+    hidden, _ = _path(spark, f"{path.getParent().toString()}/_{uuid.uuid4().hex}")
+    out = files.create(hidden, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    # a rename onto a file that exists fails on most stores; asking first covers those where it replaces it
+    done = not files.exists(path) and files.rename(hidden, path)
+    if not done:
+        files.delete(hidden, False)
+    return done
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """The folder as an address that is the same on all machines, with its scheme."""
     path, files = _path(spark, folder)

@@ -64,9 +64,14 @@ def update_analysis(state: DataFrame, analysed: DataFrame, keys: list[str], colu
     return joined.select(*[F.when(F.col("__came"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in state.columns])
 
 
-def write_version(df: DataFrame, root: str, name: str, version: int, keep: int = 3) -> None:
+POINTER = "version int, stream string, batch long"
+
+
+def write_version(df: DataFrame, root: str, name: str, version: int, keep: int = 3, stream: tuple[str, int] = (None, None)) -> None:
     """A new version beside the old ones, then the pointer; a reader never sees half a table.
 
+    The pointer notes which batch of which stream the version took in, if any.
+
     Data without a pointer are what a failed attempt left: they are written
     anew. Of versions that have one the last `keep` stay, for readers that are
     still at work.
@@ -76,7 +81,7 @@ def write_version(df: DataFrame, root: str, name: str, version: int, keep: int =
     if version in written:
         raise ValueError(f"version {version} of {name} exists")
     df.write.mode("overwrite").parquet(f"{root}/{name}/v={version}")
-    pointer = spark.createDataFrame([(version,)], "version int").coalesce(1)
+    pointer = spark.createDataFrame([(version, *stream)], POINTER).coalesce(1)
     pointer.write.mode("append").parquet(f"{root}/{name}_versions")
     for old in sorted(written)[: -keep + 1 or None] if keep > 1 else sorted(written):
         delete(spark, f"{root}/{name}/v={old}")
@@ -84,10 +89,12 @@ def write_version(df: DataFrame, root: str, name: str, version: int, keep: int =
 
 def versions(spark: SparkSession, root: str, name: str) -> set[int]:
     """The versions that have a pointer."""
+    return {r[0] for r in pointers(spark, root, name).select("version").distinct().collect()}
+
+
+def pointers(spark: SparkSession, root: str, name: str) -> DataFrame:
     path = f"{root}/{name}_versions"
-    if not exists(spark, path):
-        return set()
-    return {r[0] for r in spark.read.schema("version int").parquet(path).distinct().collect()}
+    return spark.read.schema(POINTER).parquet(path) if exists(spark, path) else spark.createDataFrame([], POINTER)
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, int]:

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.scratch import scratch_dir, spread
 from ..operators import dedupe, judging, ranking, screening, state, stats
+from ..operators.bucket_state import BucketState
 from ..operators.enrich import enrich
 from ..operators.judgment_log import judge_durably
 from . import outputs
 from ..sources.records import crossref_records, openalex_works, semantic_records
-from ..streaming.state_stream import lookback_counts, stream_upserts
+from ..streaming.state_stream import lookback_counts, stream_bucket_upserts, stream_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,12 +539,15 @@ _STATE = """
       FROM old FULL OUTER JOIN new ON old.user_id = new.user_id)"""
 
 
-def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = read(spark, sf_dir, "events")
     early = (F.col("ts") < F.lit("2024-01-10").cast("timestamp")) & (F.col("user_id") % 3 != 0)
     old = events.filter(early).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.lit("saved").alias("reading_status"))
-    batch = events.filter(~early).select("user_id", "event_type", F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"))
-    return state.upsert(old, batch, ["user_id"], ["event_type"], {"reading_status": F.lit("new")})
+    return old, events.filter(~early).select("user_id", "event_type", F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"))
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.upsert(*_state_and_batch(spark, sf_dir), ["user_id"], ["event_type"], {"reading_status": F.lit("new")})
 
 
 @query(f"""WITH {_STATE} SELECT user_id, event_type, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, reading_status, is_new FROM up""")
@@ -551,6 +555,18 @@ def q_upsert_state(spark, sf_dir):
     return _upserted(spark, sf_dir).select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")], "reading_status", "is_new")
 
 
+@query(f"""WITH {_STATE} SELECT user_id, event_type, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, reading_status, is_new FROM up""")
+def q_upsert_buckets(spark, sf_dir):
+    """The same state in hash buckets, of which the batch writes the changed rows alone."""
+    old, batch = _state_and_batch(spark, sf_dir)
+    schema = "user_id long, event_type string, first_seen timestamp, last_seen timestamp, reading_status string"
+    table = BucketState(spark, f"{scratch_dir(spark)}/buckets-{uuid.uuid4().hex}", schema, ("user_id",), 16)
+    table.add(old)
+    changed = table.upsert(batch, ["event_type"], {"reading_status": F.lit("new")})
+    rows = table.read().join(changed.select("user_id", "is_new"), "user_id", "left")
+    return rows.select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")], "reading_status", F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
 @query(f"""WITH {_STATE} SELECT is_new, count(*) AS n FROM up WHERE in_batch GROUP BY is_new""")
 def q_new_vs_seen(spark, sf_dir):
     return _upserted(spark, sf_dir).filter("in_batch").groupBy("is_new").agg(F.count("*").alias("n"))
@@ -667,6 +683,21 @@ def q_stream_upserts(spark, sf_dir):
     return found.select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")])
 
 
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY user_id""")
+def q_stream_buckets(spark, sf_dir):
+    """The state that two streams after each other leave in one bucketed table, the second with a checkpoint of its own."""
+    source = read(spark, sf_dir, "events")
+    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table = BucketState(spark, f"{root}/users", "user_id long, event_type string, first_seen timestamp, last_seen timestamp, reading_status string", ("user_id",), 16)
+    for half in (0, 1):
+        stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+        # the earlier half of each user's events first
+        mine = stream.filter((F.col("ts") < F.lit("2024-01-10").cast("timestamp")) == (half == 0))
+        rows = mine.select("user_id", "event_type", F.col("ts").alias("seen_at"), F.col("event_id").alias("ord"))
+        stream_bucket_upserts(rows, table, ["event_type"], {"reading_status": F.lit("new")}, f"{root}/checkpoint-{half}").awaitTermination()
+    return table.read().select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")])
+
+
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def q_daily_counts(spark, sf_dir):
     """Tumbling one-day windows; the same function counts a stream."""
