@@ -19,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, store
 from .rolling import U, Words, in_portions, mix
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters. What a fit holds on the driver is bounded by 2 * sample_per_class * features_per_document * 8 bytes."""
+    """Parameters. What a fit holds on the driver is bounded by 2 * sample_features * 8 bytes, and one document."""
 
     sample_per_class: int = 1000
-    features_per_document: int = 4096
+    sample_features: int = 6_000_000
     buckets: int = 1 << 17
     width: int = 12
     epochs: int = 6
@@ -128,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
     """Learns from a bounded sample of labelled rows that `learn` allows.
 
     Features are hashed on the executors; the driver gets each sampled
-    document's distinct buckets with their counts, of a document with more than
-    features_per_document of them the most frequent. Rows with null labels, or
+    document's distinct buckets with their counts. The sample is bounded in rows
+    and in features: of each class it takes, in the order of the hash of their ids, up to
+    sample_per_class documents while these have sample_features distinct buckets
+    at most; a document is taken whole or not at all. Rows with null labels, or
     labels other than 0 and 1, and ids with both labels teach nothing. Without
     rows of both classes every score is 0.5.
     """
@@ -144,14 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
                 for _, f in feature_ids([t], s):
                     total += np.bincount(f.astype(np.int64), minlength=s.buckets).astype(np.int32)
                 at = np.flatnonzero(total)
-                if len(at) > s.features_per_document:
-                    at = np.sort(at[np.argsort(-total[at], kind="stable")[: s.features_per_document]])
                 ids.append(at.astype(np.int32).tobytes())
                 counts.append(total[at].tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "q": pdf["q"], "ids": ids, "counts": counts})
 
     allowed = F.lit(True) if learn is None else learn
-    rows = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary").toArrow()
+    sampled = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary")
+    # 2 * sample_per_class rows, of which the window sees the sizes
+    sampled = store(sampled.withColumn("size", F.octet_length("ids") / 4), "quality-sample")
+    order = Window.partitionBy("q").orderBy(F.xxhash64("doc_id"), "doc_id")
+    upto = sampled.select("doc_id", F.sum("size").over(order).alias("upto"), F.row_number().over(order).alias("place"))
+    taken = upto.filter((F.col("upto") <= s.sample_features) | (F.col("place") == 1)).select("doc_id")
+    rows = sampled.join(F.broadcast(taken), "doc_id").select("doc_id", "q", "ids", "counts").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("q", "ascending"), ("ids", "ascending")])
     documents = []
     ids = counts = None
