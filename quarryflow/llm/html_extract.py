@@ -6,8 +6,8 @@ texts, text slots where pages differ, optional groups (?) and repeated groups
 in tasks, then the tasks' wrappers: equal tokens stay, differing texts
 become slots, neighbours of one shape fold into a repeated group, and what one
 page lacks becomes optional. The wrapper tells which element holds the slots of
-the article; the texts that every page of the kind has at one path go. Both
-decide what is kept of each page.
+the article. Where no element does, the texts that every page of the kind has at
+one path go.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -60,6 +60,8 @@ _NEUTRAL = set(
     "panel content body links link button buttons icon icons text title row col column primary secondary first last mobile desktop fixed sticky "
     "small large wide post article entry story blog field label message count unit slot region holder form header js".split()
 )
+#: Words by which an inline element names itself an advert.
+_ADVERT = set("ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
 _MAIN = ("article", "main")
 #: Elements below this depth count as siblings there, in page order.
 DEEP = 100
@@ -135,6 +137,8 @@ def parse(page: str) -> Node:
         if name in _INLINE:
             if name == "br":
                 add_text(" ")
+            elif not m[1] and m[3] and _is_advert(m[3]):
+                at = _past(page, name, at)
             continue
         if m[1]:
             if is_open[name]:
@@ -160,18 +164,51 @@ def parse(page: str) -> Node:
             is_open[name] += 1
 
 
+def _past(page: str, name: str, at: int) -> int:
+    """The end of an element whose start tag ends at `at`; `at` if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return at
+
+
+def _tokens(attributes: str) -> Iterator[list[str]]:
+    """The words of each token of class, id and role."""
+    for m in _ATTR.finditer(attributes):
+        for token in html.unescape(m[2] or m[3] or m[4] or "").split():
+            yield re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+
+
+def _is_advert(attributes: str) -> bool:
+    return any(any(w in _ADVERT for w in parts) and all(w in _ADVERT or w in _NEUTRAL for w in parts) for parts in _tokens(attributes))
+
+
+@cache
+def _segments(word: str) -> tuple[str, ...]:
+    """A word written as one of several known ones, "commentlist", as these; others as they are. "ad" alone is too short to be told inside a word."""
+    if word in _APART_WORDS or word in _NEUTRAL:
+        return (word,)
+    for i in range(3, len(word) - 1):
+        if word[:i] in _APART_WORDS or word[:i] in _NEUTRAL:
+            rest = _segments(word[i:])
+            if all(w in _APART_WORDS or w in _NEUTRAL for w in rest):
+                return (word[:i], *rest)
+    return (word,)
+
+
 def _label(name: str, attributes: str) -> str:
     if not attributes:
         return name
     words: dict[str, None] = {}
     aside = header = False
-    for m in _ATTR.finditer(attributes):
-        for token in html.unescape(m[2] or m[3] or m[4] or "").split():
-            parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
-            words.update(dict.fromkeys(parts))
-            if all(w in _APART_WORDS or w in _NEUTRAL for w in parts):
-                aside |= any(w in _APART_WORDS for w in parts)
-                header |= "header" in parts
+    for parts in _tokens(attributes):
+        words.update(dict.fromkeys(parts))
+        known = [w for p in parts for w in _segments(p)]
+        if all(w in _APART_WORDS or w in _NEUTRAL for w in known):
+            aside |= any(w in _APART_WORDS for w in known)
+            header |= "header" in known
     plain = name in ("html", "body", *_MAIN)
     return ".".join([name, *words]) + ("" if plain else "!" if aside else "^" if header else "")
 
@@ -427,6 +464,8 @@ def host(url: str = "url"):
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
 
 
+#: The path of a main element that is all of the page.
+_WHOLE = r"^(html[^/]*)?/?(body[^/]*)?$"
 BLOCKS = "paths array<string>, marks array<string>, texts array<string>"
 
 
@@ -505,8 +544,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A block is kept if it lies in the main element that the wrapper of its page's
-    kind tells, or anywhere if the page has nothing there, unless its text is one
-    that all pages of the kind have at that path. A null html is empty and gives
+    kind tells. If the page has nothing there, or the kind has no such element,
+    all its blocks are kept but those whose text all pages of the kind have at
+    that path; inside the main element nothing is dropped for being common. A null html is empty and gives
     an empty text, as does a page without an article; pages with a null url share
     the wrappers of the host ''. A page alone of its kind is its own wrapper.
     Repeated rows give repeated results. Very long and deep pages are taken
@@ -517,8 +557,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = every.filter("learned IS NULL").drop("learned").join(rules, ["host", "kind"], "left")
     block = F.arrays_zip("paths", "marks", "texts")
     fixed = F.coalesce("fixed", F.array().cast("array<string>"))
-    inside = lambda b: F.exists("main", lambda m: (m == "") | (b["paths"] == m) | b["paths"].startswith(F.concat(m, F.lit("/"))))
-    kept = F.filter(block, lambda b: ~F.array_contains(fixed, b["marks"]))
+    under = lambda b, m: (b["paths"] == m) | b["paths"].startswith(F.concat(m, F.lit("/")))
+    held = lambda b: F.exists("main", lambda m: ~m.rlike(_WHOLE) & under(b, m))
+    inside = lambda b: F.exists("main", lambda m: (m == "") | under(b, m))
+    kept = F.filter(block, lambda b: held(b) | ~F.array_contains(fixed, b["marks"]))
     rows = rows.select("page_id", "url", "main", kept.alias("kept")).select("page_id", "url", "kept", F.filter("kept", inside).alias("within"))
     text = F.array_join(F.when(F.size("within") > 0, F.col("within.texts")).otherwise(F.col("kept.texts")), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

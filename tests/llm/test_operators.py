@@ -86,7 +86,7 @@ def test_quality_learns_and_holds_out(spark):
 
 def test_quality_training_is_bounded_by_rows_and_bytes(spark):
     """Repeated ids, very long documents and unlike texts of one id teach one bounded row each."""
-    s = quality.Settings(sample_per_class=30, features_per_document=500, buckets=1 << 12)
+    s = quality.Settings(sample_per_class=30, sample_features=20_000, buckets=1 << 12)
     rows = [(i, prose(i, 40)) for i in range(60) for _ in range(20)] + [(1, prose(999, 20_000)), (2, None)]
     lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     chosen = quality._balanced(documents(spark, rows), lab, F.lit(True), s).collect()
@@ -98,6 +98,26 @@ def test_quality_training_is_bounded_by_rows_and_bytes(spark):
     assert quality.fit(documents(spark, rows), lab, None, s).weights.shape == (1 << 12,)
 
 
+def test_quality_takes_documents_whole(spark):
+    """A long document counts in full: its rarest feature teaches; beyond the bound later documents are left out, never a part of one."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(0, long + " rareword"), (1, long + " otherword"), *[(i, prose(i, 20)) for i in range(2, 40)]]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    sizes = {}
+
+    def spy(documents, classes, s):
+        sizes[s.sample_features] = [(len(ids), float(part.sum())) for ids, part in documents]
+        return quality.Model(np.zeros(s.buckets), 0.0, s)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "train", spy)
+        for most in (10**6, 9000, 1):
+            quality.fit(documents(spark, rows), lab, None, quality.Settings(sample_features=most))
+    assert len(sizes[10**6]) == 40 and max(sizes[10**6])[0] > 8000
+    assert len(sizes[1]) == 2 and 2 < len(sizes[9000]) < 40
+    assert all(s[1] == pytest.approx(1) for x in sizes.values() for s in x)
+
+
 def test_quality_scores_equal_plain_loops():
     """Every feature by itself, without arrays over all texts."""
     s = quality.Settings(buckets=1 << 10)
@@ -333,7 +353,7 @@ def test_every_page_of_a_host_takes_part_by_its_kind(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text.split("\n") for r in html_extract.extract_pages(df).collect()}
     for i in range(40):
-        assert got[i] == [f"t{i}", prose(i, 9), prose(i + 100, 9)]
+        assert got[i] == [f"t{i}", prose(i, 9), prose(i + 100, 9), "Read our house rules first"]  # in the article, hence kept
     for i in range(40, 80):
         assert got[i] == [prose(i, 9), prose(i + 100, 9), *(["Now and then"] if i % 20 else [])]
 
@@ -351,14 +371,40 @@ def test_names_have_no_power_over_what_holds_an_article_or_says_more():
 
 
 def test_the_wrapper_decides_what_is_kept(spark):
-    """Without the wrapper's main element and fixed texts the same pages keep what is no article."""
+    """Without the wrapper's main element the same pages keep what is no article; what it holds stays, common or not."""
     rows = [(i, "http://w.example/", page(f"<div id=text><p>{prose(i, 9)}</p><p>{prose(i + 99, 9)}</p><p>Printed by us</p></div><div id=x><p>Weather</p><p>{i % 2}</p></div>")) for i in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
-    assert got == {i: prose(i, 9) + "\n" + prose(i + 99, 9) for i in range(12)}
+    assert got == {i: prose(i, 9) + "\n" + prose(i + 99, 9) + "\nPrinted by us" for i in range(12)}
     assert all("\n".join(html_extract.blocks(html_extract.parse(h))[2]) != got[i] for i, _, h in rows)
 
 
+def test_headings_that_all_articles_share_stay(spark):
+    """However many pages of a kind there are, and whatever a further one says."""
+    for n, last in ((2, None), (4, None), (4, "Background")):
+        heads = ["Introduction"] * n + ([last] if last else [])
+        rows = [(i, "http://s.example/", page(f"<article><h1>t{i}</h1><h2>{h}</h2><p>{prose(i, 9)}</p><h2>Conclusion</h2><p>{prose(i + 50, 9)}</p></article>")) for i, h in enumerate(heads)]
+        got = {r.page_id: r.text.split("\n") for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: [f"t{i}", h, prose(i, 9), "Conclusion", prose(i + 50, 9)] for i, h in enumerate(heads)}
+
+
+def test_common_texts_go_where_no_element_is_the_main_one(spark):
+    """Three columns of like size: none is the main element, and the line that all pages have at one path goes."""
+    rows = [(i, "http://n.example/", page("".join(f"<div id={c}><p>{prose(9 * i + k, 9)}</p><p>{prose(9 * i + k + 500, 9)}</p></div>" for k, c in enumerate("xyz")) + "<p>Printed by us</p>")) for i in range(6)]
+    got = [r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert all("Printed by us" not in t and len(t.split("\n")) == 6 for t in got)
+
+
+def test_adverts_in_a_line_and_lists_of_comments_go():
+    cases = {
+        '<article><p>before <span class="advertisement">Buy <span>now</span></span> after</p></article>': ["before after"],
+        '<article><p>a <span class="ad-label">x</span>b <b class="added">c</b> <a class="comment">d</a> <i class="ads">e</p><p>f</p></article>': ["a b c d e", "f"],
+        '<article><p>in</p><ol class="commentlist"><li>first!</li></ol><div id="sidebarwidget">w</div><div class="commentary">kept</div><p class="shadow">too</p></article>': ["in", "kept", "too"],
+    }
+    for text, want in cases.items():
+        assert html_extract.blocks(html_extract.parse(text))[2] == want
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 100_000 + "<p>one</p><nav><div>no</div></nav>two" + "</div>" * 50_000 + "<p>three</p>"
     mixed = "<article>" + "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(10_000)) + "</article>"
