@@ -10,7 +10,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -21,6 +21,7 @@ from ..operators.enrich import enrich
 from ..operators.judgment_log import judge_durably
 from . import outputs
 from ..sources.records import crossref_records, openalex_works, semantic_records
+from ..streaming.seen_stream import late_rows, lookback_stream, seen_stream, start_append
 from ..streaming.state_stream import lookback_counts, stream_bucket_upserts, stream_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -698,6 +699,46 @@ def q_stream_buckets(spark, sf_dir):
     return table.read().select("user_id", "event_type", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")])
 
 
+_SPLIT = "2024-01-20"
+
+
+def _starts(spark: SparkSession, sf_dir: str, second: Column, plan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list]:
+    """(what a stream of events appends, its queries) that starts twice: on the events that are not `second`, then on those too."""
+    events, root = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"), f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    started = []
+    for part in (~second, second):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        started.append(start_append(plan(stream), f"{root}/out", f"{root}/checkpoint"))
+        started[-1].awaitTermination()
+    return spark.read.parquet(f"{root}/out"), started
+
+
+@query(f"""WITH a AS (SELECT user_id, min(ts) AS f, max(ts) AS l FROM events WHERE ts < TIMESTAMP '{_SPLIT}' GROUP BY user_id), b AS (SELECT user_id, min(ts) AS f, max(ts) AS l FROM events WHERE ts >= TIMESTAMP '{_SPLIT}' GROUP BY user_id),
+    r AS (SELECT *, true AS is_new FROM a UNION ALL SELECT b.user_id, coalesce(a.f, b.f), b.l, a.user_id IS NULL FROM b LEFT JOIN a ON a.user_id = b.user_id)
+    SELECT user_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(l, '%Y-%m-%d %H:%M:%S') AS last_seen, is_new FROM r""")
+def q_stream_seen(spark, sf_dir):
+    """Users told apart into new and seen by a stream that stops and starts again."""
+    later = F.col("ts") >= F.lit(_SPLIT).cast("timestamp")
+    found, _ = _starts(spark, sf_dir, later, lambda s: seen_stream(s, "user_id", "ts"))
+    return found.select(F.col("k").cast("long").alias("user_id"), *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")], "is_new")
+
+
+_LATE = "user_id % 10 = 0 AND ts < TIMESTAMP '2024-01-15'"
+
+
+@query(f"""WITH m AS (SELECT max(ts) FILTER (ts < TIMESTAMP '{_SPLIT}' AND NOT ({_LATE})) - INTERVAL 1 DAY AS early, max(ts) - INTERVAL 1 DAY AS last FROM events),
+    w AS (SELECT date_trunc('day', ts) AS d, event_type, count(*) AS n FROM events, m WHERE NOT ({_LATE} AND ts <= early) GROUP BY d, event_type)
+    SELECT strftime(d, '%Y-%m-%d') AS day, event_type, n FROM w, m WHERE d + INTERVAL 1 DAY <= last
+    UNION ALL SELECT 'late', '', count(*) FILTER ({_LATE} AND ts <= early) FROM events, m""")
+def q_stream_lookback(spark, sf_dir):
+    """Complete days of a stream that starts twice, and how many of its rows came after the watermark."""
+    second = F.expr(f"({_LATE}) OR ts >= TIMESTAMP '{_SPLIT}'")
+    found, started = _starts(spark, sf_dir, second, lambda s: lookback_stream(s, "event_id", "ts", "1 day", "1 day", "event_type"))
+    late = spark.createDataFrame([("late", "", sum(map(late_rows, started)))], "day string, event_type string, n long")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n").unionByName(late)
+
+
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def q_daily_counts(spark, sf_dir):
     """Tumbling one-day windows; the same function counts a stream."""

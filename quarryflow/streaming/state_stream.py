@@ -47,4 +47,5 @@ def stream_bucket_upserts(stream: DataFrame, table: BucketState, replace: list[s
 
 
 def lookback_counts(stream: DataFrame, time: str, late: str, width: str, *by: str) -> DataFrame:
+    """Counts by window of time, of a table or of a stream, which leaves out rows later than its watermark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))
