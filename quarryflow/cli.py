@@ -75,7 +75,7 @@ def discovered(spark: SparkSession, a: argparse.Namespace, profile: files.Profil
     if a.scan:
         return spark.read.json(a.scan), [], False
     parts, errors = [], []
-    common = {"pause": a.pause, "timeout": a.timeout, "tries": a.tries}
+    common = {"pause": a.pause, "timeout": a.timeout, "tries": a.tries, "lanes": a.lanes, "pages": a.pages}
     if "crossref" in a.data_sources:
         found, failed = crossref(spark, providers.in_pools(files.read_venues(spark, *a.venues), a.pools), start, end, a.max_per_venue, a.crossref_url, **common)
         parts, errors = [*parts, found], [*errors, failed]
@@ -107,7 +107,7 @@ def run_triage(spark: SparkSession, a: argparse.Namespace) -> dict:
     vector = encode(_texts(profile.description))[0] if encode else None
     caps = files.merged(profile.caps, a.caps) if a.caps else None
     settings = Settings(a.exclude, projects, bool(encode), a.threshold, a.model, a.api_base, a.temperature, caps)
-    look_up = (lambda kept: works_of(kept, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries)) if a.enrich else None
+    look_up = (lambda kept: works_of(kept, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries, lanes=a.lanes)) if a.enrich else None
     root = a.state or f"{a.out}/state"
     log = f"{root}/judgment_log"
     if judge:  # what was seen outlives a run that dies while the judge is asked
@@ -177,7 +177,7 @@ def run_screen(spark: SparkSession, a: argparse.Namespace) -> dict:
 def run_enrich(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Fills abstracts and topics of records."""
     rows = spark.read.parquet(a.records)
-    enrich(rows, works_of(rows, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries)).write.mode("errorifexists").parquet(a.out)
+    enrich(rows, works_of(rows, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries, lanes=a.lanes)).write.mode("errorifexists").parquet(a.out)
     return {"records": spark.read.parquet(a.out).count()}
 
 
@@ -208,11 +208,12 @@ def _parser() -> argparse.ArgumentParser:
         return p
 
     def web(p: argparse.ArgumentParser) -> None:
-        for name, kind, default in (("--pause", float, 0.2), ("--timeout", float, 30), ("--tries", int, 3), ("--openalex-url", str, OPENALEX)):
+        for name, kind, default in (("--pause", float, 0.2), ("--timeout", float, 30), ("--tries", int, 3), ("--lanes", int, 1), ("--openalex-url", str, OPENALEX)):
             p.add_argument(name, type=kind, default=default)
 
     def search(p: argparse.ArgumentParser) -> None:
         web(p)
+        p.add_argument("--pages", default="", help="a folder of pages that are not asked for again, for scans that died")
         p.add_argument("--records", help="a Parquet table of records instead of a scan")
         p.add_argument("--scan", help="a scan's JSON lines instead of a scan")
         p.add_argument("--screened", help="JSON lines of records screened before")
@@ -252,7 +253,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 #: Options that are paths; in a settings file they are relative to it.
-PATHS = ("profile", "out", "state", "records", "scan", "screened", "judged", "feedback", "venues", "project")
+PATHS = ("profile", "out", "state", "pages", "records", "scan", "screened", "judged", "feedback", "venues", "project")
 
 
 def _options(spark: SparkSession, argv: list[str] | None) -> argparse.Namespace:

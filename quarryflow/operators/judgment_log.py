@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.scratch import exists, qualified, store
+from ..sources.page_log import file_system, put_down
 from .judging import conversation, valid_judgment
 
 Judge = Callable[[pd.Series], pd.Series]
@@ -37,26 +38,16 @@ class _Answered(WriterCommitMessage):
     count: int
 
 
-def _file_system(folder: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(folder)
-
-
 def _put_down(folder: str, rows: list[dict[str, Any]]) -> None:
     """One file of JSON lines, complete or not there."""
-    files, path = _file_system(folder)
-    name = f"{uuid.uuid4().hex}.json"
-    with files.open_output_stream(f"{path}/_{name}") as f:
-        f.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode())
-    files.move(f"{path}/_{name}", f"{path}/{name}")
+    put_down(folder, f"{uuid.uuid4().hex}.json", "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
 
 
 def _answered_before(folder: str, keys: list[str]) -> set[tuple]:
     """What an earlier attempt of this task put down."""
     from pyarrow.fs import FileSelector
 
-    files, path = _file_system(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     found = set()
     for info in files.get_file_info(FileSelector(path)):

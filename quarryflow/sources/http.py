@@ -70,5 +70,29 @@ class Client:
             self.wait(pause)
 
 
+@dataclass
+class Paced:
+    """A fetch that holds a rate: two requests begin `pause` seconds apart or more, further tries and pages included.
+
+    One such object serves a lane of requests in turn, so when a server asks to
+    wait, all that come after in the lane wait too.
+    """
+
+    fetch: Callable[..., dict[str, Any]]
+    pause: float = 0
+    clock: Callable[[], float] = time.monotonic
+    wait: Callable[[float], None] = time.sleep
+    free: float = float("-inf")
+
+    def __call__(self, url: str, payload: dict[str, Any] | None = None) -> dict[str, Any]:
+        left = self.free - self.clock()
+        if left > 0:
+            self.wait(left)
+        try:
+            return self.fetch(url, payload) if payload is not None else self.fetch(url)
+        finally:  # from its end on: what it waited for a busy server counts in full
+            self.free = self.clock() + self.pause
+
+
 def bearer(key: str) -> dict[str, str]:
     return {"Authorization": f"Bearer {key}"} if key else {}
