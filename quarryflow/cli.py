@@ -14,18 +14,18 @@ import os
 import sys
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scratch import clean_scratch, delete
 from .functions.text import first_filled
 from .operators.dedupe import first_by_key, venue_key
 from .operators.ranking import top_per_group, window_bounds
-from .operators.screening import matches_alias, tier_histogram, with_keyword_tier
+from .operators.screening import TIERS, matches_alias, with_keyword_tier
 from .operators.state import FEEDBACK, apply_feedback, feedback_rows, finish_run, read_or_empty, read_version, resolve_feedback, start_run, write_version
 from .operators.enrich import enrich
 from .plans import outputs
-from .plans.triage import JUDGMENT_TABLE, STATE_SCHEMA, Settings, translate, triage
+from .plans.triage import JUDGMENT_TABLE, STATE_SCHEMA, STATE_STEPS, Settings, translate, triage
 from .sources import files, models, providers, records
 
 #: The addresses of the public APIs.
@@ -98,7 +98,7 @@ def run_triage(spark: SparkSession, a: argparse.Namespace) -> dict:
     now = datetime.now(UTC).isoformat(timespec="seconds")
     run_id = start_run(spark, f"{a.out}/runs", profile.name, start, end, now)
     found, errors, screened = discovered(spark, a, profile, start, end)
-    state, at = read_or_empty(spark, a.state or f"{a.out}/state", "papers", STATE_SCHEMA)
+    state, at = read_or_empty(spark, a.state or f"{a.out}/state", "papers", STATE_SCHEMA, STATE_STEPS)
     judgments, judged_at = read_or_empty(spark, a.state or f"{a.out}/state", "judgments", JUDGMENT_TABLE)
     key = os.environ.get("QUARRYFLOW_API_KEY", "")
     post = models.poster(key, a.timeout, a.tries)
@@ -144,7 +144,7 @@ def render(judged: DataFrame, a: argparse.Namespace, profile: str, stats: dict,
     for mode in a.outputs:
         path = f"{a.out}/{run_id}/{mode}"
         if mode == "notes":
-            outputs.write_notes(judged.filter("in_queue"), path)
+            outputs.write_note_files(judged.filter("in_queue"), path)
         elif mode == "sheets":
             outputs.write_sheets(judged, path)
         else:
@@ -163,22 +163,27 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> dict:
     start, end = window_bounds(a.from_date, a.to_date, a.days, datetime.now(UTC).date().isoformat())
     profile = files.read_profile(spark, a.profile)
     found, errors, _ = discovered(spark, a, profile, start, end)
-    found.write.mode("errorifexists").json(a.out)
+    written = Observation()
+    found.observe(written, F.count("*").alias("n")).write.mode("errorifexists").json(a.out)
     failed = [r.asDict() for e in errors for r in e.collect()]
-    return {"found": spark.read.schema(RECORD).json(a.out).count(), "errors": failed}
+    return {"found": written.get["n"], "errors": failed}
 
 
 def run_screen(spark: SparkSession, a: argparse.Namespace) -> dict:
     tiers = with_keyword_tier(spark.read.parquet(a.records), files.read_profile(spark, a.profile).keywords)
-    tiers.write.mode("errorifexists").parquet(a.out)
-    return {r.keyword_tier: r.n for r in tier_histogram(spark.read.parquet(a.out)).collect()}
+    counts = Observation()
+    each = [F.count_if(F.col("keyword_tier") == t).alias(t) for t in (*TIERS, "other")]
+    tiers.observe(counts, *each).write.mode("errorifexists").parquet(a.out)
+    return {t: n for t, n in counts.get.items() if n}
 
 
 def run_enrich(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Fills abstracts and topics of records."""
     rows = spark.read.parquet(a.records)
-    enrich(rows, works_of(rows, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries, lanes=a.lanes)).write.mode("errorifexists").parquet(a.out)
-    return {"records": spark.read.parquet(a.out).count()}
+    written = Observation()
+    rich = enrich(rows, works_of(rows, a.openalex_url, pause=a.pause, timeout=a.timeout, tries=a.tries, lanes=a.lanes))
+    rich.observe(written, F.count("*").alias("n")).write.mode("errorifexists").parquet(a.out)
+    return {"records": written.get["n"]}
 
 
 def run_render(spark: SparkSession, a: argparse.Namespace) -> dict:

@@ -8,8 +8,11 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import keyword_index
 from ..functions.text import first_filled, normalize_doi, plain_name, text_or_empty
 
+#: Keywords that are tested one by one inside the generated code.
+LITERALS = 40
 TIERS = ("core", "proxy", "eco")
 
 #: How titles of notices that are no research begin.
@@ -68,11 +71,16 @@ def keyword_hits(hay: Column, keywords: list[str]) -> Column:
 
 
 def with_keyword_tier(df: DataFrame, keywords: dict[str, list[str]], topics: str | None = None, title: str = "title") -> DataFrame:
-    """Adds core_hits, proxy_hits, eco_hits, matched_keywords, keyword_tier and tier."""
+    """Adds core_hits, proxy_hits, eco_hits, matched_keywords, keyword_tier and tier.
+
+    Up to LITERALS keywords are tests in the plan, more are found by an automaton in one pass of each text; the hits are the same.
+    """
     # the text is lowered and searched once for each row: the hits come out of a generator,
     # as filters on them would otherwise repeat the searches below every projection
     hay = F.col("__hay")
-    hits = F.struct(*[keyword_hits(hay, keywords.get(t, [])).alias(f"{t}_hits") for t in TIERS])
+    lists = {f"{t}_hits": keywords.get(t, []) for t in TIERS}
+    many = sum(map(len, lists.values())) > LITERALS and keyword_index.available()
+    hits = keyword_index.all_hits(df.sparkSession, hay, lists) if many else F.struct(*[keyword_hits(hay, ks).alias(c) for c, ks in lists.items()])
     bare = df.drop(*[f"{t}_hits" for t in TIERS])
     out = bare.withColumn("__hay", haystack(title, topics=topics)).select("*", F.inline(F.array(hits))).drop("__hay")
     tier = F.lit("other")
@@ -93,6 +101,11 @@ def tier_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("keyword_tier").agg(F.count("*").alias("n"))
 
 
+def tier_totals(df: DataFrame, field: str) -> DataFrame:
+    """field, keyword_tier, n, level of each tier of each value of a field (level 0), of each value (1, tier null) and of all (3, both null), in one pass."""
+    return df.rollup(field, "keyword_tier").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
 def is_candidate(embedding: bool = False, threshold: float = 0.45, tier: str = "keyword_tier", score: str = "semantic_score") -> Column:
     by_tier = first_filled(tier) != "other"
     return by_tier | (F.coalesce(F.col(score), F.lit(0.0)) >= threshold) if embedding else by_tier

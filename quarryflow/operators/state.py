@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,9 +106,36 @@ def read_version(spark: SparkSession, root: str, name: str) -> tuple[DataFrame,
     return spark.read.parquet(f"{root}/{name}/v={max(known)}"), max(known)
 
 
-def read_or_empty(spark: SparkSession, root: str, name: str, schema: str) -> tuple[DataFrame, int]:
-    """The newest version, or an empty table as version 0."""
-    return read_version(spark, root, name) if versions(spark, root, name) else (spark.createDataFrame([], schema), 0)
+def read_or_empty(spark: SparkSession, root: str, name: str, schema: str, steps: tuple[Step, ...] = ()) -> tuple[DataFrame, int]:
+    """The newest version as it would be written today, or an empty table as version 0."""
+    if not versions(spark, root, name):
+        return spark.createDataFrame([], schema), 0
+    found, version = read_version(spark, root, name)
+    return migrated(found, schema, steps), version
+
+
+@dataclass(frozen=True)
+class Step:
+    """A change of a table's schema: `column` came with the value of `default`, an SQL expression over the columns before it."""
+
+    number: int
+    column: str
+    default: str = "NULL"
+
+
+def migrated(df: DataFrame, schema: str, steps: tuple[Step, ...] = ()) -> DataFrame:
+    """A version of any age in the schema of today.
+
+    Steps run in the order of their numbers and skip what the version has;
+    further columns that it lacks are null, those that the schema does not know
+    stay behind the others, and types follow the schema.
+    """
+    for step in sorted(steps, key=lambda s: s.number):
+        if step.column not in df.columns:
+            df = df.withColumn(step.column, F.expr(step.default))
+    wanted = df.sparkSession.createDataFrame([], schema).dtypes
+    known = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted]
+    return df.select(*known, *[c for c in df.columns if c not in dict(wanted)])
 
 
 RUNS = "run_id string, profile string, from_date string, to_date string, started_at string, finished_at string, counts map<string, long>, errors string"

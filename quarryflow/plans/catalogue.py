@@ -401,6 +401,23 @@ def q_tier_histogram(spark, sf_dir):
     return screening.tier_histogram(tiered(spark, sf_dir))
 
 
+@query(f"""WITH {PAPERS}, {TIERED} SELECT pool, keyword_tier, count(*) AS n, CAST(GROUPING(pool, keyword_tier) AS INTEGER) AS level FROM tiered GROUP BY ROLLUP (pool, keyword_tier)""")
+def q_tier_totals(spark, sf_dir):
+    return screening.tier_totals(tiered(spark, sf_dir), "pool")
+
+
+@query(r"""WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark)),
+    hits AS (SELECT doc_id, w FROM documents JOIN words ON contains(lower(text), w))
+    SELECT d.doc_id, count(w) AS n, md5(coalesce(string_agg(w, ' ' ORDER BY w), '')) AS hits FROM documents d LEFT JOIN hits ON hits.doc_id = d.doc_id GROUP BY d.doc_id""")
+def q_keyword_many(spark, sf_dir):
+    """A vocabulary of thousands: all longer words of the benchmark, anywhere in the documents."""
+    found = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    vocabulary = sorted(r.w for r in found.collect())
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("title"), F.lit("").alias("abstract"))
+    hits = screening.with_keyword_tier(docs, {"core": vocabulary})
+    return hits.select("doc_id", F.size("core_hits").cast("long").alias("n"), F.md5(F.array_join("core_hits", " ").cast("binary")).alias("hits"))
+
+
 @query(f"""WITH {PAPERS}, k(tier, keyword) AS (VALUES {", ".join(f"('{t}', '{k}')" for t, ks in KEYWORDS.items() for k in ks)}), hay AS (SELECT ord, {HAY} AS hay FROM papers)
     SELECT ord, tier, keyword FROM hay JOIN k ON contains(hay, keyword)""")
 def q_keyword_long(spark, sf_dir):

@@ -16,6 +16,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import file_sink
 from ..functions.text import escape_table, escape_yaml, first_filled, joined_list, paper_link, slugify, text_or_empty
 from ..operators.ranking import PRIORITIES, report_order
 
@@ -114,7 +115,7 @@ def _column(n: int) -> str:
 
 
 #: A note's front matter, the headings of its parts and what stands for an empty one.
-NOTE_FRONT = ("paper_id", "title", "title_cn", "priority", "relevance_score", "related_project", "reading_status", "doi_url")
+NOTE_FRONT = (("paper_id", "paper_id"), ("title", "title"), ("title_cn", "title_cn"), ("priority", "priority"), ("relevance_score", "relevance_score"), ("related_project", "related_project"), ("reading_status", "reading_status"), ("doi", "doi_url"))
 NOTE_FACTS = (("Priority", "priority"), ("Relevance Score", "relevance_score"), ("Research Track", "research_track"), ("Related Project", "related_project"), ("Recommended Action", "recommended_action"))
 NOTE_PARTS = (
     ("为什么值得读", "why_relevant", "(需人工判断)"),
@@ -138,7 +139,8 @@ def note_text(df: DataFrame) -> Column:
             return F.lit("")
         return F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n") if kinds[c].startswith("array") else text_or_empty(c)
 
-    front = [F.concat(F.lit(f'{c}: "'), escape_yaml(value(c)), F.lit('"')) for c in NOTE_FRONT]
+    quote = lambda c: F.lit("" if c == "relevance_score" else '"')  # noqa: E731 - a number stands without quotes
+    front = [F.concat(F.lit(f"{name}: "), quote(c), escape_yaml(value(c)), quote(c)) for name, c in NOTE_FRONT]
     facts = [F.concat(F.lit(f"- {name}: "), value(c), F.lit("/100" if c == "relevance_score" else "")) for name, c in NOTE_FACTS]
     parts = [F.concat(F.lit(f"## {name}\n\n"), F.when(value(c) == "", F.lit(empty)).otherwise(value(c)), F.lit("\n")) for name, c, empty in NOTE_PARTS]
     heading = F.concat(F.lit("# "), first_filled(value("title_cn"), value("title")), F.lit("\n"))
@@ -146,21 +148,34 @@ def note_text(df: DataFrame) -> Column:
 
 
 def write_notes(df: DataFrame, path: str) -> None:
-    """One text file for each record of a reading queue under its priority (Ignore left out), and an index.
+    """The notes of `note_files` as tables: a folder of text for each note, and the index."""
+    files = note_files(df)
+    files.filter("name <> '_index.csv'").withColumn("value", F.col("body")).select("priority", F.col("name").alias("note"), "value").write.partitionBy("priority", "note").text(path + "/notes")
+    files.filter("name = '_index.csv'").select(F.regexp_replace("body", "\r\n$", "").alias("value")).coalesce(1).write.text(path + "/index")
 
-    The queue is limited by its capacity, so a folder for each note is no burden
-    and the index fits one file, which begins with the mark that spreadsheets
-    take for UTF-8. Of records with one date and slug the last stays, like a file
-    written twice.
+
+def note_files(df: DataFrame) -> DataFrame:
+    """priority, name, body of each note of a reading queue (Ignore left out) and of the index, whose priority is empty.
+
+    Of records with one date and slug the last stays, like a file written twice.
+    The queue is limited by its capacity, so its index fits one row; it begins
+    with the mark that spreadsheets take for UTF-8.
     """
     slug = F.concat_ws("_", first_filled("publication_date", F.lit("nodate")), slugify("title"))
     chosen = df.filter("priority <> 'Ignore'")
-    named = chosen.withColumn("note", slug).groupBy("priority", "note").agg(F.max_by(note_text(df), "ord").alias("value"))
-    named.write.partitionBy("priority", "note").text(path + "/notes")
+    notes = chosen.withColumn("name", F.concat(slug, F.lit(".md"))).groupBy("priority", "name").agg(F.max_by(note_text(df), "ord").alias("body"))
     quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in INDEX_FIELDS]
-    lines = cells(chosen, INDEX_FIELDS).select(F.lit(1).alias("at"), F.concat_ws(",", *quoted).alias("value"))
-    head = df.sparkSession.createDataFrame([(0, "\ufeff" + ",".join(INDEX_FIELDS))], "at int, value string")
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("at", "value").select("value").write.text(path + "/index")
+    cell = lambda c, q: F.when(F.col(c).rlike('[",\r\n]'), q).otherwise(F.col(c))
+    lines = cells(_opened_whole(chosen), INDEX_FIELDS).select(F.concat_ws(",", *[cell(c, q) for c, q in zip(INDEX_FIELDS, quoted, strict=True)]).alias("line"))
+    head = F.lit("\ufeff" + ",".join(INDEX_FIELDS))
+    index = lines.agg(F.concat(F.concat_ws("\r\n", head, F.sort_array(F.collect_list("line"))), F.lit("\r\n")).alias("body"))
+    return notes.unionByName(index.select(F.lit("").alias("priority"), F.lit("_index.csv").alias("name"), "body"))
+
+
+def write_note_files(df: DataFrame, path: str) -> None:
+    """One file for each note, `<priority>/<date>_<slug>.md`, and `_index.csv`, all at once or none: see `sources.file_sink`."""
+    file_sink.write_files(note_files(df).select(F.concat_ws("/", F.nullif("priority", F.lit("")), "name").alias("path"), "body"), path)
+
 
 
 def preview(df: DataFrame, stats: dict[str, int], limit: int = 50) -> str:

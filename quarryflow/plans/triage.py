@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scratch import store
@@ -21,7 +21,7 @@ from ..operators.judging import VERSION, context_hash, fallback, judge_todo, par
 from ..operators.judgment_log import judge_durably, judgments_of, read_log
 from ..operators.ranking import select_capacity, with_cosine, with_semantic_rank
 from ..operators.screening import is_candidate, is_excluded, with_keyword_tier
-from ..operators.state import update_analysis, upsert, with_ids
+from ..operators.state import Step, update_analysis, upsert, with_ids
 from ..operators.stats import priority_stats
 from ..sources.files import Profile, Project
 
@@ -57,6 +57,8 @@ STATE_SCHEMA = (
     "id long, profile string, stable_id string, doi string, title string, abstract string, publication_date string, venue string, source string, first_seen string, "
     "last_seen string, keyword_tier string, semantic_score double, relevance_score int, priority string, research_track string, related_project string, reading_status string"
 )
+#: How the table of papers came to its columns.
+STATE_STEPS = (Step(1, "reading_status", "'new'"), Step(2, "keyword_tier", "'other'"), Step(3, "semantic_score"), Step(4, "research_track", "''"), Step(5, "related_project", "''"))
 JUDGMENT_TABLE = "stable_id string, context_hash string, model string, status string, raw_response string"
 FROM_SOURCES = ["doi", "title", "abstract", "publication_date", "venue", "source"]
 
@@ -111,7 +113,8 @@ def triage(
         scored = tiered.withColumn("semantic_score", F.lit(None).cast("double")).withColumn("semantic_rank", F.lit(None).cast("int"))
     candidate = is_candidate(settings.embedding, settings.threshold)
     named = scored.withColumn("is_candidate", candidate).withColumn("model", F.lit(settings.model)).withColumn("context_hash", context_hash(_context(profile, settings)))
-    everything = store(named, "triage-screened")
+    scanned, judged_rows = Observation(), Observation()
+    everything = store(named.observe(scanned, F.count("*").alias("n")), "triage-screened")
     candidates = everything.filter("is_candidate").drop("is_candidate")
     on = ["stable_id", "context_hash", "model"]
     names = [p.name for p in settings.projects]
@@ -129,14 +132,14 @@ def triage(
         judgments = judgments.join(answers.select(*on), on, "left_anti").select(*on, "status", "raw_response").unionByName(answers)
     else:
         judged = candidates.withColumn("status", F.lit("none")).withColumn("raw_response", F.lit("")).withColumn("judge_checkpoint", F.lit("disabled"))
-    done = store(parsed_or_fallback(judged), "triage-done")
+    done = store(parsed_or_fallback(judged).observe(judged_rows, F.count("*").alias("n")), "triage-done")
     rest = everything.filter("NOT is_candidate").select("*", fallback(F.col("keyword_tier"), F.col("matched_keywords")).alias("j"))
     learned = [c for c in ANALYSIS if c not in ("keyword_tier", "semantic_score")]
     shown = ["stable_id", "title", "abstract", first_filled("venue", "journal").alias("venue"), "keyword_tier", "semantic_score"]
     analysed = done.select(*shown, *learned).unionByName(rest.select(*shown, *[F.col(f"j.{c}").alias(c) for c in learned]))
     after = update_analysis(after, analysed.withColumn("profile", F.lit(profile.name)), keys, ["title", "abstract", "venue", *ANALYSIS])
     queue = select_capacity(done, settings.caps or profile.caps, profile.weekly_capacity)
-    counts = [F.lit(n).alias(name) for name, n in (("scanned", everything.count()), ("candidates", done.count()))]
+    counts = [F.lit(n).alias(name) for name, n in (("scanned", scanned.get["n"]), ("candidates", judged_rows.get["n"]))]
     return Run(after, judgments, everything, done, queue, priority_stats(queue, *counts), priority_stats(done, *counts))
 
 

@@ -460,9 +460,9 @@ def test_command_line(spark, found, tmp_path, capsys):
     assert len(out["written"]) == 5
     papers, version = state.read_version(spark, str(tmp_path / "out/state"), "papers")
     assert version == 2 and papers.count() == 3
-    note = "\n".join(r.value for r in spark.read.text(out["written"][0] + "/notes").collect())
+    note = "\n".join(r.value for r in spark.read.option("recursiveFileLookup", True).text(out["written"][0], wholetext=True).filter("value LIKE '---%'").collect())
     assert "## Main Contributions" in note and "## Abstract EN" in note
-    assert spark.read.text(out["written"][0] + "/index", wholetext=True).first().value.startswith("\ufeffpaper_id,priority")
+    assert (tmp_path / "out" / out["run_id"] / "notes/_index.csv").read_text().startswith("\ufeffpaper_id,priority")
     judged = f"{base[3]}/profile=kg/to_date=2026-09-04/judged-{out['run_id']}"
     assert cli.main(["render", "--judged", judged, "--out", str(tmp_path / "again"), "--outputs", "html"]) == 0
     scanned = f"{base[3]}/profile=kg/to_date=2026-09-04/scan-{out['run_id']}"
