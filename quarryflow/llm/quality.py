@@ -22,16 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, store
+from .common import fresh
 from .rolling import U, Words, in_portions, mix
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters. What a fit holds on the driver is bounded by 2 * sample_features * 8 bytes, and one document."""
+    """Parameters. A fit holds some ten bytes on the driver for each character of its sample, 2 * sample_chars and one document of a class at most."""
 
     sample_per_class: int = 1000
-    sample_features: int = 6_000_000
+    sample_chars: int = 2_500_000
     buckets: int = 1 << 17
     width: int = 12
     epochs: int = 6
@@ -70,12 +70,17 @@ def feature_ids(texts: list[str], s: Settings) -> Iterator[tuple[np.ndarray, np.
 
 
 def _balanced(docs: DataFrame, labels: DataFrame, learn: Column, s: Settings) -> DataFrame:
-    """Up to sample_per_class labelled documents of each class, by the hash of their ids; of rows with one id the least text."""
+    """Up to sample_per_class labelled documents of each class with up to sample_chars characters, by the hash of their ids; of rows with one id the least text."""
     known = labels.filter(learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q = 0 OR q = 1")
     part = [known.filter(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_per_class) for q in (0, 1)]
     chosen = part[0].unionByName(part[1])  # 2 * sample_per_class rows at most, so it can be broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id", F.col("q").cast("int").alias("q")).agg(F.min("text").alias("text"))
+    whole = rows.groupBy("doc_id", F.col("q").cast("int").alias("q")).agg(F.min("text").alias("text"))
+    # one document of a tenth of the bound or more must not keep all others out, so these come last
+    order = Window.partitionBy("q").orderBy(F.length("text") * 10 > s.sample_chars, F.xxhash64("doc_id"), "doc_id")
+    upto = whole.withColumns({"upto": F.sum(F.length("text")).over(order), "place": F.row_number().over(order)})
+    taken = upto.filter((F.col("upto") <= s.sample_chars) | (F.col("place") == 1)).select("doc_id", "q", "text")
+    return taken.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
 
 
 @dataclass
@@ -129,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
 
     Features are hashed on the executors; the driver gets each sampled
     document's distinct buckets with their counts. The sample is bounded in rows
-    and in features: of each class it takes, in the order of the hash of their ids, up to
-    sample_per_class documents while these have sample_features distinct buckets
-    at most; a document is taken whole or not at all. Rows with null labels, or
+    and in characters: of each class it takes, in the order of the hash of their
+    ids, up to sample_per_class documents while these have sample_chars
+    characters at most; a document is taken whole or not at all. Rows with null labels, or
     labels other than 0 and 1, and ids with both labels teach nothing. Without
     rows of both classes every score is 0.5.
     """
@@ -151,13 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, setting
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "q": pdf["q"], "ids": ids, "counts": counts})
 
     allowed = F.lit(True) if learn is None else learn
-    sampled = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary")
-    # 2 * sample_per_class rows, of which the window sees the sizes
-    sampled = store(sampled.withColumn("size", F.octet_length("ids") / 4), "quality-sample")
-    order = Window.partitionBy("q").orderBy(F.xxhash64("doc_id"), "doc_id")
-    upto = sampled.select("doc_id", F.sum("size").over(order).alias("upto"), F.row_number().over(order).alias("place"))
-    taken = upto.filter((F.col("upto") <= s.sample_features) | (F.col("place") == 1)).select("doc_id")
-    rows = sampled.join(F.broadcast(taken), "doc_id").select("doc_id", "q", "ids", "counts").toArrow()
+    rows = _balanced(docs, labels, allowed, s).mapInPandas(features, "doc_id long, q int, ids binary, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("q", "ascending"), ("ids", "ascending")])
     documents = []
     ids = counts = None

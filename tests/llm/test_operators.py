@@ -86,7 +86,7 @@ def test_quality_learns_and_holds_out(spark):
 
 def test_quality_training_is_bounded_by_rows_and_bytes(spark):
     """Repeated ids, very long documents and unlike texts of one id teach one bounded row each."""
-    s = quality.Settings(sample_per_class=30, sample_features=20_000, buckets=1 << 12)
+    s = quality.Settings(sample_per_class=30, sample_chars=200_000, buckets=1 << 12)
     rows = [(i, prose(i, 40)) for i in range(60) for _ in range(20)] + [(1, prose(999, 20_000)), (2, None)]
     lab = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     chosen = quality._balanced(documents(spark, rows), lab, F.lit(True), s).collect()
@@ -106,15 +106,15 @@ def test_quality_takes_documents_whole(spark):
     sizes = {}
 
     def spy(documents, classes, s):
-        sizes[s.sample_features] = [(len(ids), float(part.sum())) for ids, part in documents]
+        sizes[s.sample_chars] = [(len(ids), float(part.sum())) for ids, part in documents]
         return quality.Model(np.zeros(s.buckets), 0.0, s)
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(quality, "train", spy)
-        for most in (10**6, 9000, 1):
-            quality.fit(documents(spark, rows), lab, None, quality.Settings(sample_features=most))
+        for most in (10**6, 2000, 1):
+            quality.fit(documents(spark, rows), lab, None, quality.Settings(sample_chars=most))
     assert len(sizes[10**6]) == 40 and max(sizes[10**6])[0] > 8000
-    assert len(sizes[1]) == 2 and 2 < len(sizes[9000]) < 40
+    assert len(sizes[1]) == 2 and 2 < len(sizes[2000]) < 40
     assert all(s[1] == pytest.approx(1) for x in sizes.values() for s in x)
 
 
