@@ -238,8 +238,8 @@ def _on(spans: list[tuple[int, int, int]], first: int, last: int) -> Iterator[in
 
 
 class Scanner:
-    def __init__(self, index: Index, least: float, band: int):
-        self.index, self.least, self.band = index, least, band
+    def __init__(self, index: Index, least: float, band: int, gap: int = 0):
+        self.index, self.least, self.band, self.gap = index, least, band, gap
 
     def scan(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(text number, template, coverage, matched words, start, end in characters), non-overlapping for each template."""
@@ -254,7 +254,7 @@ class Scanner:
                     hits[int(w.doc[p]), t].append((p - place, p))
         copies: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = defaultdict(list)
         for (doc, t), found in sorted(hits.items()):
-            lo, hi = w.doc_from[doc], w.doc_from[doc + 1]
+            begin, end = lo, hi = w.doc_from[doc], w.doc_from[doc + 1]
             need = max(1, index.prints[t] // 4)
             candidates = []
             # the hits of one copy lie on diagonals within the band of each other
@@ -274,6 +274,10 @@ class Scanner:
                 else:
                     todo.append((lo, hi, [h for h in group if h[0] < diagonal]))
                     todo.append((lo, hi, [h for h in group if h[0] > diagonal]))
+            left = found
+            for _, first, last in candidates:
+                left = [h for h in left if h[1] + index.gram[t] <= first or h[1] >= last]
+            candidates += self._chained(t, left, w.hash, begin, end)
             taken: list[tuple[int, int, int]] = []  # spans apart from each other, in order
             for n, first, last in sorted(set(candidates)):
                 at = bisect_left(taken, (last,)) - 1
@@ -289,6 +293,56 @@ class Scanner:
                     if not any(m >= n and m / len(index.words[o]) > share for o, others in found if o != t for m in _on(others, first, last)):
                         yield doc, t, share, n, int(w.starts[first] - begin), int(w.ends[last - 1] - begin)
 
+    def _chained(self, t: int, found: list[tuple[int, int]], hashes: np.ndarray, begin: int, end: int) -> list[tuple[int, int, int]]:
+        """Copies of a template that are parted by inserted words.
+
+        The longest chains of hits in the order of text and template, which a diagonal may
+        leave by `gap` words at a time, are cut where they leave it, and each part is aligned
+        on its own diagonal.
+        """
+        words, gram = self.index.words[t], self.index.gram[t]
+        need = max(2, self.index.prints[t] // 4)
+        hits = sorted((p, p - d) for d, p in found) if len(found) >= need else []  # (place in the text, in the template)
+        best, back = [1] * len(hits), [-1] * len(hits)
+        for i, (p, place) in enumerate(hits):
+            for j in range(i - 1, -1, -1):
+                q, before = hits[j]
+                if p - q > len(words) + self.gap:
+                    break
+                if q < p and before < place and (p - q) - (place - before) <= self.gap and best[j] + 1 > best[i]:
+                    best[i], back[i] = best[j] + 1, j
+        out: list[tuple[int, int, int]] = []
+        used: set[int] = set()
+        for i in sorted(range(len(hits)), key=lambda i: -best[i]):
+            if best[i] < need:
+                break
+            chain, at = [], i
+            while at >= 0 and at not in used:
+                chain.append(at)
+                at = back[at]
+            if at >= 0:
+                continue
+            used.update(chain)
+            parts: list[list[tuple[int, int]]] = []
+            for p, place in (hits[c] for c in reversed(chain)):
+                if not parts or abs((p - place) - (parts[-1][-1][0] - parts[-1][-1][1])) > self.band:
+                    parts.append([])
+                parts[-1].append((p, place))
+            if len(parts) < 2:
+                continue
+            cuts = [0, *[(a[-1][1] + gram + b[0][1]) // 2 for a, b in zip(parts, parts[1:], strict=False)], len(words)]
+            total, spans, start = 0, [], begin
+            for k, part in enumerate(parts):
+                p, place = part[len(part) // 2]
+                n, first, last = aligned(words[cuts[k] : cuts[k + 1]], hashes[start:end], p - place - start + cuts[k], self.band)
+                if n:
+                    total += n
+                    spans.append((first + start, last + start))
+                    start += last
+            if total >= self.least * len(words):
+                out.append((-total, spans[0][0], spans[-1][1]))
+        return out
+
     def _groups(self, found: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = 0
         for j in range(1, len(found) + 1):
@@ -297,17 +351,19 @@ class Scanner:
                 i = j
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, coverage: float = 0.8, band: int = 8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, coverage: float = 0.8, band: int = 8, gap: int = 64) -> DataFrame:
     """doc_id, license, form, coverage, matched_words, start, end: one row for each template copy found.
 
-    start and end count code points of the text. A document may match several
+    start and end count code points of the text. A copy may have `band` more or
+    fewer words than the template up to any of its places, and up to `gap` words inserted at one
+    place, several times; its span goes on over these. A document may match several
     templates (of overlapping ones the better matched stands), and one template at several places; without a match it has no
     row. Null and empty texts match nothing; repeated rows repeat their matches;
     null ids are kept. Very long texts are scanned whole, in portions of one
     text. An empty table gives an empty result; further columns are ignored. The
     templates are a short list that every task holds.
     """
-    scanner = Scanner(Index(templates or TEMPLATES), coverage, band)
+    scanner = Scanner(Index(templates or TEMPLATES), coverage, band, gap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -290,6 +290,25 @@ def test_licenses_equal_brute_force(spark):
     assert {(i, n, f) for i, n, f in found if (n, f) not in want.get(i, {})} == set()
 
 
+def test_license_copies_parted_by_inserted_words_are_found(spark):
+    """Up to 64 words in the middle, or 20 at two places; not where parts of the template come in another order."""
+    apache = next(t for n, f, t in license_scan.TEMPLATES if (n, f) == ("Apache-2.0", "notice")).split()
+    third, half = len(apache) // 3, len(apache) // 2
+
+    def text(*parts):
+        return prose(91, 30) + " " + " ".join(" ".join(p) if isinstance(p, list) else prose(p, p) for p in parts) + " " + prose(92, 30)
+
+    rows = [(n, text(apache[:half], n, apache[half:])) for n in (8, 9, 12, 30, 64)]
+    rows += [(100, text(apache[:third], 20, apache[third : 2 * third], 20, apache[2 * third :])), (101, text(apache[half:], 12, apache[:half])), (102, text(apache[:half], 12, prose(7, 9).split())), (103, text(apache[:half], 400, apache[half:]))]
+    rows += [(104, text(apache[:half], 12, apache[half:], 50, apache, 50, apache[:half], 12, apache[half:]))]
+    got = [r for r in license_scan.scan_licenses(documents(spark, rows)).collect() if (r.license, r.form) == ("Apache-2.0", "notice")]
+    assert sorted(r.doc_id for r in got) == [8, 9, 12, 30, 64, 100, 104, 104, 104]
+    whole = dict(rows)
+    for r in got:
+        words = (whole[r.doc_id][r.start : r.end] + ".").split()
+        assert (words[:5], words[-5:]) == (apache[:5], apache[-5:]) and r.coverage >= 0.95
+
+
 def test_many_license_copies_take_linear_time(spark):
     line = "Released under the MIT License. Licensed under CC BY-SA 4.0\n"
     rows = [(1, line * 2000)]
