@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions.scratch import clean_scratch, delete
 from .functions.text import first_filled
-from .operators.dedupe import first_by_key, venue_key
+from .operators.dedupe import first_by_doi, first_by_key, venue_key
 from .operators.ranking import top_per_group, window_bounds
 from .operators.screening import TIERS, matches_alias, with_keyword_tier
 from .operators.state import FEEDBACK, apply_feedback, feedback_rows, finish_run, read_or_empty, read_version, resolve_feedback, start_run, write_version
@@ -35,11 +35,12 @@ OPENALEX = "https://api.openalex.org/works"
 RECORD = "ord long, title string, abstract string, abstract_source string, publication_date string, venue string, journal string, journal_source string, pool string, authors string, doi string, doi_raw string, doi_url string, source string"
 
 
-def crossref(spark: SparkSession, venues: DataFrame, from_date: str, to_date: str, most: int, base_url: str = CROSSREF, **options: object) -> tuple[DataFrame, DataFrame]:
+def crossref(spark: SparkSession, venues: DataFrame, from_date: str, to_date: str, most: int, base_url: str = CROSSREF, by_doi: bool = False, **options: object) -> tuple[DataFrame, DataFrame]:
     """(records, errors) of the watched venues. The list is short, one partition for each venue.
 
     Proceedings of other conferences that a search by name brings are left out;
-    each venue gives `most` records at most, and a work that two venues give comes once.
+    each venue gives `most` records at most, and a work that two venues give comes
+    once, known by its DOI or its title, or with `by_doi` by its DOI alone.
     """
     keys = [r.asDict(recursive=True) for r in venues.collect()]
     items, errors = providers.discover(spark, "crossref", keys, base_url=base_url, from_date=from_date, to_date=to_date, max_per_key=most, **options)
@@ -49,7 +50,7 @@ def crossref(spark: SparkSession, venues: DataFrame, from_date: str, to_date: st
     aliases = F.concat(F.array(first_filled(names["venue"])), F.coalesce(names["aliases"], F.array().cast("array<string>")))
     wanted = found.filter((first_filled(names["kind"]) != "conference") | matches_alias("journal", aliases))
     capped = top_per_group(wanted, ["key"], [F.col("ord")], most).drop("key")
-    return first_by_key(capped, venue_key("doi_raw", "title")), errors
+    return (first_by_doi(capped, "doi_raw") if by_doi else first_by_key(capped, venue_key("doi_raw", "title"))), errors
 
 
 def semantic(spark: SparkSession, queries: list[str], from_date: str, to_date: str, most: int, base_url: str = SEMANTIC, **options: object) -> tuple[DataFrame, DataFrame]:
@@ -66,18 +67,26 @@ def works_of(kept: DataFrame, base_url: str = OPENALEX, **options: object) -> Da
     return records.openalex_works(found.filter("work IS NOT NULL"))
 
 
-def discovered(spark: SparkSession, a: argparse.Namespace, profile: files.Profile, start: str, end: str) -> tuple[DataFrame, list[DataFrame], bool]:
+def watched(spark: SparkSession, paths: list[str], pools: list[str], scan: bool = False) -> DataFrame:
+    """The venues to ask for. A choice of pools leaves conferences out; a scan skips journals without an ISSN."""
+    venues = files.read_venues(spark, *paths)
+    conference = F.coalesce(F.col("kind") == "conference", F.lit(False))
+    venues = providers.in_pools(venues.filter(~conference) if pools else venues, pools)
+    return venues.filter(conference | (F.coalesce(F.trim("issn"), F.lit("")) != "")) if scan else venues
+
+
+def discovered(spark: SparkSession, a: argparse.Namespace, profile: files.Profile, start: str, end: str, scan: bool = False) -> tuple[DataFrame, list[DataFrame], bool]:
     """(records, error tables, whether they were screened before)."""
     if a.records:
         return spark.read.parquet(a.records), [], False
     if a.screened:
         return spark.read.json(a.screened), [], True
     if a.scan:
-        return spark.read.json(a.scan), [], False
+        return files.read_scan(spark, a.scan, RECORD), [], False
     parts, errors = [], []
     common = {"pause": a.pause, "timeout": a.timeout, "tries": a.tries, "lanes": a.lanes, "pages": a.pages}
     if "crossref" in a.data_sources:
-        found, failed = crossref(spark, providers.in_pools(files.read_venues(spark, *a.venues), a.pools), start, end, a.max_per_venue, a.crossref_url, **common)
+        found, failed = crossref(spark, watched(spark, a.venues, a.pools, scan), start, end, a.max_per_venue, a.crossref_url, scan, **common)
         parts, errors = [*parts, found], [*errors, failed]
     if "semantic_scholar" in a.data_sources:
         queries = providers.semantic_queries(a.queries or None, profile.name, profile.keywords["core"])
@@ -159,10 +168,10 @@ def render(judged: DataFrame, a: argparse.Namespace, profile: str, stats: dict,
 
 
 def run_scan(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Discovery alone: merged records as JSON lines, which `triage --scan` takes."""
+    """Discovery alone: records as JSON lines, one for each DOI, which `triage --scan` takes."""
     start, end = window_bounds(a.from_date, a.to_date, a.days, datetime.now(UTC).date().isoformat())
     profile = files.read_profile(spark, a.profile)
-    found, errors, _ = discovered(spark, a, profile, start, end)
+    found, errors, _ = discovered(spark, a, profile, start, end, True)
     written = Observation()
     found.observe(written, F.count("*").alias("n")).write.mode("errorifexists").json(a.out)
     failed = [r.asDict() for e in errors for r in e.collect()]
@@ -170,7 +179,10 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def run_screen(spark: SparkSession, a: argparse.Namespace) -> dict:
-    tiers = with_keyword_tier(spark.read.parquet(a.records), files.read_profile(spark, a.profile).keywords)
+    if not a.records and not a.scan:
+        raise ValueError("missing: records or scan")
+    rows = spark.read.parquet(a.records) if a.records else files.read_scan(spark, a.scan, RECORD, a.field)
+    tiers = with_keyword_tier(rows, files.read_profile(spark, a.profile).keywords)
     counts = Observation()
     each = [F.count_if(F.col("keyword_tier") == t).alias(t) for t in (*TIERS, "other")]
     tiers.observe(counts, *each).write.mode("errorifexists").parquet(a.out)
@@ -248,7 +260,10 @@ def _parser() -> argparse.ArgumentParser:
         t.add_argument(name, type=float, default=x)
     t.add_argument("--limit", type=int, default=50)
     search(command("scan", run_scan, ("--profile", "--out")))
-    command("screen", run_screen, ("--records", "--profile", "--out"))
+    s = command("screen", run_screen, ("--profile", "--out"))
+    s.add_argument("--records", help="a Parquet table of records")
+    s.add_argument("--scan", help="a scan's JSON instead, of which --field chooses")
+    s.add_argument("--field", default="both", choices=["new", "already_seen", "both"])
     web(command("enrich", run_enrich, ("--records", "--out")))
     r = command("render", run_render, ("--judged", "--out"))
     r.add_argument("--name", default="records")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources import file_sink
 from ..functions.text import escape_table, escape_yaml, first_filled, joined_list, paper_link, slugify, text_or_empty
 from ..operators.ranking import PRIORITIES, report_order
+from ..operators.state import READING
 
 #: The columns of the sheets and of the index.
 SHEET_FIELDS = (
@@ -186,15 +187,19 @@ def preview(df: DataFrame, stats: dict[str, int], limit: int = 50) -> str:
     return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in rows)]) + "\n"
 
 
-#: A reader's choice of text, priority and order, kept in the page alone.
+#: A reader's choice of text, priority, source, venue, days before the newest record and order, kept in the page alone.
 CONTROLS = (
     "<input id=find placeholder=search><select id=only><option value=''>all</option><option>A</option><option>B</option><option>C</option><option>D</option></select>"
+    "<select id=source><option value=''>all sources</option></select><select id=venue><option value=''>all venues</option></select><input id=days type=number min=0 placeholder=days>"
     "<select id=by><option value=''>report order</option><option value=score>relevance</option><option value=date>date</option></select>"
     "<script>addEventListener('load',()=>{const all=[...document.querySelectorAll('article')],box=all[0]?.parentNode,$=i=>document.getElementById(i);"
-    "const show=()=>{const t=$('find').value.toLowerCase(),p=$('only').value,b=$('by').value;"
-    "for(const a of all)a.hidden=!(a.textContent.toLowerCase().includes(t)&&(!p||a.dataset.priority===p));"
+    "for(const f of ['source','venue'])for(const v of [...new Set(all.map(a=>a.dataset[f]))].filter(v=>v).sort())$(f).add(new Option(v,v));"
+    "const newest=Math.max(...all.map(a=>Date.parse(a.dataset.date)||0));"
+    "const show=()=>{const t=$('find').value.toLowerCase(),p=$('only').value,b=$('by').value,d=$('days').value;"
+    "for(const a of all)a.hidden=!(a.textContent.toLowerCase().includes(t)&&(!p||a.dataset.priority===p)&&['source','venue'].every(f=>!$(f).value||a.dataset[f]===$(f).value)"
+    "&&(d===''||Date.parse(a.dataset.date)>=newest-d*864e5));"
     "const s=b==='score'?[...all].sort((x,y)=>y.dataset.score-x.dataset.score):b==='date'?[...all].sort((x,y)=>y.dataset.date.localeCompare(x.dataset.date)):all;"
-    "for(const a of s)box.append(a)};for(const i of ['find','only','by'])$(i).oninput=show})</script>"
+    "for(const a of s)box.append(a)};for(const i of ['find','only','source','venue','days','by'])$(i).oninput=show})</script>"
 )
 
 
@@ -204,7 +209,7 @@ def report(df: DataFrame, title: str, stats: dict[str, int]) -> Iterator[str]:
     yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{CONTROLS}<h1>{html.escape(title)}</h1><p>" + html.escape(", ".join(f"{k}: {v}" for k, v in stats.items())) + "</p>"
     for r in ordered.toLocalIterator():
         e = {k: html.escape("" if v is None else str(v)) for k, v in r.asDict().items()}
-        yield f'<article data-priority="{e["priority"]}" data-score="{e["relevance_score"]}" data-source="{e["source"]}" data-date="{e["publication_date"]}"><h2><a href="{e["link"]}">{e["title"]}</a></h2><p>{e["priority"]} · {e["relevance_score"]} · {e["venue"]} · {e["publication_date"]}</p><p>{e["abstract"]}</p></article>'
+        yield f'<article data-priority="{e["priority"]}" data-score="{e["relevance_score"]}" data-source="{e["source"]}" data-venue="{e["venue"]}" data-date="{e["publication_date"]}"><h2><a href="{e["link"]}">{e["title"]}</a></h2><p>{e["priority"]} · {e["relevance_score"]} · {e["venue"]} · {e["publication_date"]}</p><p>{e["abstract"]}</p></article>'
 
 
 def app(df: DataFrame, profile: str, stats: dict[str, int]) -> str:
@@ -215,11 +220,18 @@ def app(df: DataFrame, profile: str, stats: dict[str, int]) -> str:
     records = [json.loads(r[0]) for r in df.orderBy(*report_order()).select(F.to_json(F.struct(*have))).toLocalIterator()]
     data = json.dumps({"profile": profile, "stats": stats, "papers": records}, ensure_ascii=False).replace("<", "\\u003c")
     script = (
-        "const d=JSON.parse(document.getElementById('data').textContent),k=p=>d.profile+':'+(p.id??p.stable_id),box=document.getElementById('list');"
-        "for(const p of d.papers){const e=document.createElement('section');e.innerHTML='<h2></h2><p></p><input type=number min=1 max=5>';"
-        "e.children[0].textContent=p.priority+' '+p.title;e.children[1].textContent=p.abstract||'';"
-        "e.children[2].value=localStorage[k(p)]||'';e.children[2].onchange=x=>{localStorage[k(p)]=x.target.value};box.append(e)}"
-        "document.getElementById('export').onclick=()=>{const f=d.papers.filter(p=>localStorage[k(p)]).map(p=>({paper_id:p.id,stable_id:p.stable_id,rating:+localStorage[k(p)]}));"
+        "const d=JSON.parse(document.getElementById('data').textContent),k=p=>d.profile+':'+(p.id??p.stable_id),box=document.getElementById('list'),$=i=>document.getElementById(i);"
+        "const kept=p=>JSON.parse(localStorage[k(p)]||'{}'),keep=(p,f,v)=>{localStorage[k(p)]=JSON.stringify({...kept(p),[f]:v})};"
+        f"const states={json.dumps(READING)};"
+        "for(const p of d.papers){const e=document.createElement('section');e.innerHTML='<h2></h2><p></p><input type=number min=1 max=5><select><option></option></select><input placeholder=note>';"
+        "const [h,a,r,s,n]=e.children;h.textContent=p.priority+' '+p.title;a.textContent=p.abstract||'';for(const x of states)s.add(new Option(x,x));"
+        "const o=kept(p);r.value=o.rating||'';s.value=o.reading_status||'';n.value=o.note||'';"
+        "r.onchange=x=>keep(p,'rating',+x.target.value||undefined);s.onchange=x=>keep(p,'reading_status',x.target.value||undefined);n.onchange=x=>keep(p,'note',x.target.value||undefined);"
+        "p.shown=e;box.append(e)}"
+        "const show=()=>{const t=$('find').value.toLowerCase(),o=$('only').value;for(const p of d.papers)p.shown.hidden=!((p.title+' '+(p.abstract||'')+' '+(p.venue||'')).toLowerCase().includes(t)&&(!o||p.priority===o))};"
+        "$('find').oninput=$('only').oninput=show;"
+        "$('export').onclick=()=>{const f=d.papers.filter(p=>Object.keys(kept(p)).length).map(p=>({paper_id:p.id,stable_id:p.stable_id,related_project:p.related_project,timestamp:new Date().toISOString(),...kept(p)}));"
         "const a=document.createElement('a');a.href=URL.createObjectURL(new Blob([JSON.stringify({profile:d.profile,feedback:f})]));a.download='feedback.json';a.click()}"
     )
-    return f'<!doctype html><meta charset=utf-8><title>{html.escape(profile)}</title><button id=export>Export feedback</button><div id=list></div><script type="application/json" id=data>{data}</script><script>{script}</script>'
+    controls = "<input id=find placeholder=search><select id=only><option value=''>all</option><option>A</option><option>B</option><option>C</option><option>D</option><option>Ignore</option></select>"
+    return f'<!doctype html><meta charset=utf-8><title>{html.escape(profile)}</title>{controls}<button id=export>Export feedback</button><div id=list></div><script type="application/json" id=data>{data}</script><script>{script}</script>'

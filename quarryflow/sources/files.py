@@ -99,7 +99,24 @@ def read_snapshot(spark: SparkSession, path: str, record: str, parts: tuple[str,
     schema = ", ".join(f"{p} array<{record}>" for p in ("papers", *parts))
     whole = spark.read.schema(schema).json(path, multiLine=True)
     some = F.concat(*[F.coalesce(F.col(p), F.array().cast(f"array<{record}>")) for p in parts])
-    return whole.select(F.posexplode(F.coalesce("papers", some)).alias("ord", "r")).select(F.col("ord").cast("long"), "r.*")
+    placed = whole.select(F.posexplode(F.coalesce("papers", some)).alias("at", "r")).select("at", "r.*")
+    return placed.select(F.col("at").cast("long").alias("ord"), *[c for c in placed.columns if c not in ("at", "ord")])
+
+
+def read_scan(spark: SparkSession, path: str, record: str, field: str = "both") -> DataFrame:
+    """A scan's records, of which `field` takes the new ones, those seen before, or both.
+
+    A snapshot of one JSON object (`.json`) has these as lists; a folder of JSON
+    lines may tell them by is_new, and without it all are new.
+    """
+    if path.endswith(".json"):
+        parts = ("new", "already_seen") if field == "both" else (field,)
+        return read_snapshot(spark, path, f"struct<{_struct(record)}>", parts)
+    rows = spark.read.json(path)
+    if field == "both":
+        return rows
+    new = F.coalesce("is_new", F.lit(True)) if "is_new" in rows.columns else F.lit(True)
+    return rows.filter(new if field == "new" else ~new)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
