@@ -26,6 +26,8 @@ from .common import store
 
 #: Rows that the pivots are chosen from, at most. Any choice gives exact results.
 PIVOT_SAMPLE = 2000
+#: Blocks that the rows are cut into, while these have so many rows at least and at most.
+BLOCKS, LEAST_ROWS, MOST_ROWS = 64, 4096, 1 << 17
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def _search(width: int, k: int):
 FOUND = "query_uid long, query_id long, vec_id long, score long"
 
 
-def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, row_block: int = 4096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, row_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; candidates are
@@ -154,6 +156,8 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 3
     rows = store(quantised(vectors), "topk-vectors")
     n, width = rows.agg(F.count("*"), F.max(F.size("q"))).first()
     width = max(width or 1, 1)
+    # a query is sent to the blocks it visits: as many blocks as keep BLOCKS tasks busy, while a task can hold one
+    row_block = row_block or min(MOST_ROWS, max(LEAST_ROWS, n // BLOCKS))
     n_cells = max(1, min(pivots, n // row_block))  # cells of about a block each, while there are pivots
     sample = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(PIVOT_SAMPLE).toPandas()
     points = matrix([np.array(v, np.int64).tobytes() for v in sample["q"]], width)

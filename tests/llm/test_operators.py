@@ -466,6 +466,22 @@ def test_top_k_equals_brute_force(spark, dim, scale):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize(("least", "most"), [(4, 8), (4, 10**6), (10**6, 10**6)])
+def test_top_k_does_not_depend_on_the_blocks(spark, monkeypatch, least, most):
+    """However many rows a block has, by the number of rows or at its bounds."""
+    for name, value in (("BLOCKS", 9), ("LEAST_ROWS", least), ("MOST_ROWS", most)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(300, 6)).astype(np.float32)
+    whole = np.floor(v.astype(np.float64) * 256).astype(np.int64)
+    got = topk.exact_top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"))
+    want = []
+    for i in range(0, 300, 50):
+        scored = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:5]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in topk.exact_top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
