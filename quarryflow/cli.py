@@ -17,7 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scratch import clean_scratch, delete
+from .functions.scratch import clean_scratch, delete, write_file
 from .functions.text import first_filled
 from .operators.dedupe import first_by_doi, first_by_key, venue_key
 from .operators.ranking import top_per_group, window_bounds
@@ -159,10 +159,7 @@ def render(judged: DataFrame, a: argparse.Namespace, profile: str, stats: dict,
         else:
             pieces = {"html": lambda: outputs.report(judged, profile, stats), "app": lambda: [outputs.app(judged, profile, stats)], "excel": lambda: [outputs.workbook(judged, stats)]}[mode]()
             path += {"html": ".html", "app": ".app.html", "excel": ".xlsx"}[mode]
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
-                for piece in pieces:
-                    f.write(piece if isinstance(piece, bytes) else piece.encode())
+            write_file(judged.sparkSession, path, (piece if isinstance(piece, bytes) else piece.encode() for piece in pieces))
         written.append(path)
     return written
 

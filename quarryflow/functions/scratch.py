@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,6 +92,17 @@ def put_file(spark: SparkSession, file: str, text: str) -> bool:
     return done
 
 
+def write_file(spark: SparkSession, file: str, pieces: Iterable[bytes]) -> None:
+    """A file of pieces on any store that Spark writes to; one that is there is replaced."""
+    path, files = _path(spark, file)
+    out = files.create(path, True)
+    try:
+        for piece in pieces:
+            out.write(bytearray(piece))
+    finally:
+        out.close()
+
+
 def qualified(spark: SparkSession, folder: str) -> str:
     """The folder as an address that is the same on all machines, with its scheme."""
     path, files = _path(spark, folder)

@@ -3,13 +3,15 @@
 import csv
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quarryflow.functions import scratch
 from quarryflow.operators import keyword_index, screening, state
 from quarryflow.plans import outputs
 from quarryflow.plans.triage import STATE_SCHEMA, STATE_STEPS
-from quarryflow.sources import file_sink
+from quarryflow.sources import file_sink, models
 
 
 def texts(spark, seed, n):
@@ -78,3 +80,24 @@ def test_older_versions_are_migrated(spark, tmp_path):
     state.write_version(after, str(tmp_path), "papers", 2)
     again, _ = state.read_or_empty(spark, str(tmp_path), "papers", STATE_SCHEMA, STATE_STEPS)
     assert {r.stable_id: (r.title, r.related_project) for r in again.collect()} == {"s1": ("t2", ""), "s2": ("u", None)}
+
+
+def test_embeddings_are_asked_for_in_portions():
+    sizes = []
+
+    def post(url, payload):
+        sizes.append(len(payload["input"]))
+        if "bad" in payload["input"]:
+            raise OSError
+        return {"data": [{"index": i, "embedding": [len(t)]} for i, t in reversed(list(enumerate(payload["input"])))]}
+
+    got = models.encoder("b", "m", post, most=4)(pd.Series(["a", "bb", "c", "d", "bad", "e", "f", "g", "hhh"], index=range(5, 14)))
+    assert sizes == [4, 4, 1]
+    assert got.tolist() == [[1.0], [2.0], [1.0], [1.0], None, None, None, None, [3.0]]
+    assert models.encoder("b", "m", post)(pd.Series([], dtype=object)).empty
+
+
+def test_files_go_where_spark_writes(spark, tmp_path):
+    for text in ("one", "two"):
+        scratch.write_file(spark, f"file://{tmp_path}/sub/x.html", [text.encode(), "é".encode()])
+    assert (tmp_path / "sub" / "x.html").read_text() == "twoé"
