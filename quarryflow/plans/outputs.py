@@ -178,7 +178,6 @@ def write_note_files(df: DataFrame, path: str) -> None:
     file_sink.write_files(note_files(df).select(F.concat_ws("/", F.nullif("priority", F.lit("")), "name").alias("path"), "body"), path)
 
 
-
 def preview(df: DataFrame, stats: dict[str, int], limit: int = 50) -> str:
     """A Markdown table of the first rows in report order."""
     columns = ("priority", "relevance_score", "title", "venue", "publication_date")
