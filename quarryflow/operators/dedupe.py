@@ -54,22 +54,27 @@ def merge_records(df: DataFrame, key: str = "stable_id", ord: str = "ord") -> Da
     only its distinct sources. The keyed records are stored once, so what their
     keys cost is paid once, and the passes over sources read narrow columns.
     """
-    df = store(df, "merge-records")
-    others = [c for c, _ in df.dtypes if c not in (key, ord, "source", "abstract", "abstract_source")]
+    columns = df.columns
+    df = store(df.withColumn("__length", F.length(text_or_empty("abstract"))), "merge-records")
+    others = [c for c, _ in df.dtypes if c not in (key, ord, "source", "abstract", "abstract_source", "__length")]
     kinds = dict(df.dtypes)
-    place = F.struct(F.length(text_or_empty("abstract")), -F.col(ord))
-    winner = F.max_by(F.struct(text_or_empty("abstract").alias("abstract"), text_or_empty("abstract_source").alias("abstract_source"), F.col(ord).alias("at")), place).alias("won")
+    place = F.struct("__length", -F.col(ord))
+    winner = F.max_by(F.struct(text_or_empty("abstract").alias("abstract"), text_or_empty("abstract_source").alias("abstract_source")), place).alias("won")
     kept = [F.coalesce(F.expr(f"min_by({c}, {ord}) FILTER (WHERE {_filled(c, kinds[c])})"), F.expr(f"max_by({c}, {ord}) FILTER (WHERE {c} IS NOT NULL)")).alias(c) for c in others]
     merged = df.groupBy(key).agg(F.min(ord).alias(ord), winner, *kept)
-    part = df.filter(text_or_empty("source") != "").select(key, ord, F.explode(F.split("source", ";")).alias("source")).filter("source <> ''")
-    sources = ordered_distinct(part, [key], "source", ord, "sources")
+    # one narrow pass for the distinct sources and the place of the winner; lengths find it, no text is read again
+    best = F.max_by(F.struct(F.col(ord).alias("at"), (text_or_empty("abstract_source") == "").alias("bare")), place)
+    part = df.select(key, ord, "abstract_source", "__length", F.explode(F.split(text_or_empty("source"), ";")).alias("source"))
+    part = part.groupBy(key, "source").agg(F.min(ord).alias("__first"), best.alias("best"), F.max(place).alias("place"))
+    listed = F.collect_list(F.when(F.col("source") != "", F.struct("__first", "source")))  # nulls are not collected
+    facts = part.groupBy(key).agg(F.transform(F.sort_array(listed), lambda s: s["source"]).alias("sources"), F.max_by("best", "place").alias("best"))
     # a winner without a source of its abstract takes the first one of a later record
-    bare = merged.filter("won.abstract_source = ''").select(key, F.col("won.at").alias("__at"))
+    bare = facts.filter("best.bare").select(key, F.col("best.at").alias("__at"))
     later = df.join(bare, key).filter(f"{ord} > __at AND coalesce(abstract_source, '') <> ''").groupBy(key).agg(F.min_by("abstract_source", ord).alias("__later"))
-    out = merged.join(sources, key, "left").join(later, key, "left")
+    out = merged.join(facts, key, "left").join(later, key, "left")
     chosen = {
         "source": F.coalesce(F.array_join("sources", ";"), F.lit("")),
         "abstract": F.col("won.abstract"),
         "abstract_source": F.when(F.col("won.abstract_source") != "", F.col("won.abstract_source")).otherwise(F.coalesce("__later", F.lit(""))),
     }
-    return out.select(*[chosen[c].alias(c) if c in chosen else F.col(c) for c in df.columns])
+    return out.select(*[chosen[c].alias(c) if c in chosen else F.col(c) for c in columns])
