@@ -5,7 +5,8 @@ further candidates. Labelers (regular expressions, gazetteers, context) vote on
 every candidate, for it, against it or not at all. The votes of all documents,
 counted by vote pattern, go to expectation-maximisation, which estimates each
 labeler's reliability without labels; its posteriors train a logistic span
-classifier, and candidates that this finds likely enough join the base spans.
+classifier, which sees the votes and the span's shape and neighbours too, and
+candidates that this finds likely enough join the base spans.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,16 +34,27 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = re.compile(r"@|at[\])}]", re.I)
 _NO_DIGIT = re.compile(r"[^0-9]+")
-
-# Looser candidates, per kind.
-_LOOSE = {
-    "email": re.compile(r"\b[A-Za-z0-9._%+-]{2,64}\s?(?:\[at\]|\(at\)|\{at\}|\s@\s|@)\s?[A-Za-z0-9-]{2,63}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]{2,63}){0,4}", re.I),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{0,2}[0-9]{4}){2}[ ./_-]{0,2}[0-9]{1,7}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ ./-]{0,2})?(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),
-}
+_SPOKEN = re.compile(r"\s+at\s+", re.I)
+_NUMBER_BEFORE = re.compile(r"[0-9][\s,;|]{1,3}$")
+_NUMBER_AFTER = re.compile(r"[\s,;|]{1,3}[0-9]")
+
+# Looser candidates: kind, what the lowered text must hold (any of the strings of each group), pattern.
+_DOT = r"(?:\s+dot\s+|\s?[\[({]dot[\])}]\s?|\.)"
+_BREAK = r"[ ./_-]"
+_LOOSE = (
+    ("email", (("@", "at]", "at)", "at}"),), r"\b[A-Za-z0-9._%+-]{2,64}\s?(?:\[at\]|\(at\)|\{at\}|\s@\s|@)\s?[A-Za-z0-9-]{2,63}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]{2,63}){0,4}"),
+    ("email", ((" at ",), ("dot",)), rf"\b[A-Za-z0-9_%+-]{{2,64}}+(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}+){{0,4}}\s+at\s+(?:[A-Za-z0-9-]{{2,63}}+{_DOT}){{0,3}}[A-Za-z0-9-]{{2,63}}+\s?[\[({{ ]dot[\])}} ]\s?[A-Za-z]{{2,24}}\b"),
+    ("ip", ((":",),), r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])"),
+    ("ip", (("[.]", "(.)", "{.}", "dot"),), r"(?<![0-9.])[0-9]{1,3}(?:\s?(?:[\[({]\.[\])}]|[\[({]dot[\])}]|\sdot\s)\s?[0-9]{1,3}){3}(?![0-9])"),
+    ("card", (), rf"(?<![0-9])[0-9]{{4}}(?:{_BREAK}{{0,2}}[0-9]{{4}}){{2}}{_BREAK}{{0,2}}[0-9]{{1,7}}(?![0-9])"),
+    ("card", (), rf"(?<![0-9])3[47][0-9]{{2}}{_BREAK}{{1,2}}[0-9]{{6}}{_BREAK}{{1,2}}[0-9]{{5}}(?![0-9])"),
+    ("phone", (), r"(?<![0-9+])(?:\+[0-9]{1,3}[ ./-]{0,2})?(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}[ ./-][0-9]{3,5}(?![0-9])"),
+    ("phone", (), r"(?<![0-9+.])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])"),
+    ("phone", (), r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[ ./-]{1,2}[0-9]{2,5}){2,4}(?![0-9])"),
+    ("phone", (), r"(?<![0-9+])(?:\(0[1-9][0-9]{1,4}\)|0[1-9][0-9]{1,4}) ?[/ -] ?[0-9]{5,9}(?![0-9])"),
+)
+_LOOSE = tuple((KINDS.index(kind), needs, re.compile(pattern, re.I)) for kind, needs, pattern in _LOOSE)
 _CONTEXT = {
     "email": re.compile(r"e-?mail|mailto|correo|courriel|contact|kontakt", re.I),
     "ip": re.compile(r"\bip\b|\bhost\b|server|address|adresse|client", re.I),
@@ -55,6 +67,11 @@ _DOMAIN_ENDINGS = frozenset(
     "com org net edu gov mil int info biz name pro aero coop museum mobi asia jobs tel travel cat app dev io ai co me tv cc "
     "at au be br ca ch cl cn cz de dk es eu fi fr gr hk hu ie il in it jp kr lu mx nl no nz pl pt ro ru se sg sk tr tw ua uk us za".split()
 )
+#: Words that stand before `at` without being an address.
+_NO_NAME = frozenset(
+    "a an and are arrive be buy call found from good have here him hosted is it join live look looked looking me meet more not "
+    "now on online only open out page read see shop site start stay them there this us visit was watch we web website you".split()
+)
 
 
 def luhn(digits: str) -> bool:
@@ -111,13 +128,13 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Candidates of the looser patterns that overlap no base span, and none found before."""
     taken = [(s, e) for _, s, e in base]
     out = []
-    digits = bool(_DIGIT.search(text))
-    for kind, name in enumerate(KINDS):
+    digits, lowered = _DIGIT.search(text), text.lower()
+    for kind, needs, pattern in _LOOSE:
         # what the pattern cannot match without
-        if not (_AT.search(text) if name == "email" else ":" in text if name == "ip" else digits):
+        if not (digits or kind == 0 or ":" in text) or not all(any(x in lowered for x in group) for group in needs):
             continue
         starts, ends = merged(taken)  # matches of one pattern never overlap each other
-        for m in _LOOSE[name].finditer(text):
+        for m in pattern.finditer(text):
             before = bisect_left(starts, m.end()) - 1
             if before < 0 or ends[before] <= m.start():
                 out.append((kind, m.start(), m.end()))
@@ -134,15 +151,20 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
         valid = 1 if luhn(digits) and 13 <= len(digits) <= 19 else -1
         listed = 1 if digits[:1] in ("4", "5", "6") or digits[:2] in ("34", "37") else -1
     elif name == "ip":
-        valid = 1 if strict or span.count(":") == 7 or "::" in span else -1
+        parts = _NO_DIGIT.split(span) if ":" not in span else []
+        valid = 1 if strict or (all(int(p) <= 255 for p in parts) if parts else span.count(":") == 7 or "::" in span) else -1
         listed = 0
     elif name == "phone":
         valid = 1 if 9 <= len(digits) <= 15 else -1
-        listed = 1 if span[0] in "+(" or span.startswith("00") else -1
+        listed = 1 if span[0] in "+(" or span.startswith("00") else 0 if span[0] == "0" else -1
     else:
+        local = _SPOKEN.split(span, maxsplit=1)[0] if _SPOKEN.search(span) else ""
+        nobody = local.lower() in _NO_NAME or (local and not re.search(r"[^\W\d_]", local))
         ending = re.split(r"[^A-Za-z]+", span.lower().rstrip(")]} ."))[-1]
-        valid = 1 if strict else (1 if re.search(r"[\[({]at[\])}]", span, re.I) else 0)
-        listed = 1 if ending in _DOMAIN_ENDINGS else -1
+        named = re.search(r"[\[({]at[\])}]", span, re.I) or re.search(r"[0-9._%+-]|\bdot\b", local, re.I)
+        # a bare word before a spoken `at` is more often a verb than an address
+        valid = 1 if strict else -1 if nobody or (local and not named) else 1 if named else 0
+        listed = 1 if ending in _DOMAIN_ENDINGS and not nobody else -1
     return (
         1 if strict else 0,
         valid,
@@ -150,55 +172,92 @@ def votes(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int
         1 if _CONTEXT[name].search(before) else 0,
         -1 if _AGAINST.search(before[-16:]) else 0,
         -1 if (after[:1].isalnum() or before[-1:].isalnum()) else 0,
+        # a number among numbers, as in tables
+        -1 if name != "email" and _NUMBER_BEFORE.search(before[-16:]) and _NUMBER_AFTER.match(text, end) else 0,
+        # digits that are all alike or nearly
+        -1 if name in ("card", "phone") and len(set(digits)) <= 2 else 0,
     )
 
 
-N_LABELERS = 6
+N_LABELERS = 8
+#: Values of each part of a span's shape.
+SHAPE = (4, 3, 3, 3)
+
+
+def shape(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
+    """The span's size, its kinds of separators, and what stands before and after it, each as a small number."""
+    span = text[start:end]
+    size, steps = (len(span), (12, 20, 32)) if kind < 2 else (sum("0" <= c <= "9" for c in span), (9, 12, 16))
+
+    def beside(c: str) -> int:
+        return 0 if not c or c.isspace() else 2 if c.isalnum() else 1
+
+    return (sum(size >= x for x in steps), min(2, len({c for c in span if not c.isalnum()})), beside(text[start - 1 : start] if start else ""), beside(text[end : end + 1]))
+
+
+def described(text: str, kind: int, start: int, end: int, strict: bool) -> tuple[int, ...]:
+    """What the classifier sees of a span: its votes and its shape."""
+    return (*votes(text, kind, start, end, strict), *shape(text, kind, start, end))
 
 
 @dataclass
 class SpanModel:
-    """Logistic weights over (kind, votes), and the reliabilities that EM found."""
+    """Logistic weights over kind, votes and shape, and the reliabilities that EM found."""
 
     weights: np.ndarray
     reliability: np.ndarray
+    known: dict = field(default_factory=dict)  # few patterns make up most spans
+
+    def probability(self, kind: int, seen: tuple[int, ...]) -> float:
+        if (kind, seen) not in self.known:
+            self.known[kind, seen] = float(1 / (1 + np.exp(-(_features(kind, seen) @ self.weights))))
+        return self.known[kind, seen]
+
 
-    def probability(self, kind: int, vote: tuple[int, ...]) -> float:
-        return float(1 / (1 + np.exp(-(_features(kind, vote) @ self.weights))))
+N_FEATURES = 1 + len(KINDS) + 2 * N_LABELERS + len(KINDS) * SHAPE[0] + sum(SHAPE[1:])
 
 
-def _features(kind: int, vote: tuple[int, ...]) -> np.ndarray:
-    x = np.zeros(1 + len(KINDS) + 2 * N_LABELERS)
+def _features(kind: int, seen: tuple[int, ...]) -> np.ndarray:
+    x = np.zeros(N_FEATURES)
     x[0] = x[1 + kind] = 1
-    for j, v in enumerate(vote):
+    at = 1 + len(KINDS)
+    for j, v in enumerate(seen[:N_LABELERS]):
         if v:
-            x[1 + len(KINDS) + 2 * j + (v < 0)] = 1
+            x[at + 2 * j + (v < 0)] = 1
+    at += 2 * N_LABELERS
+    size, *others = seen[N_LABELERS:]
+    x[at + kind * SHAPE[0] + size] = 1  # sizes are told apart by kind
+    at += len(KINDS) * SHAPE[0]
+    for v, values in zip(others, SHAPE[1:], strict=True):
+        x[at + v] = 1
+        at += values
     return x
 
 
 def learn(patterns: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50) -> SpanModel:
-    """EM over counted vote patterns, then a logistic fit to its posteriors.
+    """EM over the votes of counted patterns, then a logistic fit of the whole patterns to its posteriors.
 
     A labeler that votes is right with its own reliability; a Beta(8, 2) prior
     keeps it better than chance where votes are few, which also fixes which of
-    the two classes is which. Each kind has its own prevalence.
+    the two classes is which. Each kind has its own prevalence, base spans and
+    looser candidates apart.
     """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
-    kind = np.array([k[0] for k in keys], int)
-    v = np.array([k[1] for k in keys], int).reshape(-1, N_LABELERS)
-    right, prior = np.full(N_LABELERS, 0.8), np.full(len(KINDS), 0.5)
+    group = np.array([2 * k[0] + k[1][0] for k in keys], int)
+    v = np.array([k[1][:N_LABELERS] for k in keys], int).reshape(-1, N_LABELERS)
+    right, prior = np.full(N_LABELERS, 0.8), np.full(2 * len(KINDS), 0.5)
     post = np.zeros(len(keys))
     for _ in range(rounds if len(keys) else 0):
         log = np.log(right / (1 - right))
-        logit = np.log(prior / (1 - prior))[kind] + v @ log
+        logit = np.log(prior / (1 - prior))[group] + v @ log
         post = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         agree = (n[:, None] * ((v == 1) * post[:, None] + (v == -1) * (1 - post[:, None]))).sum(0)
         cast = (n[:, None] * (v != 0)).sum(0)
         right = np.clip((agree + 8) / (cast + 10), 0.55, 0.98)
-        prior = np.array([(n[kind == k] @ post[kind == k] + 1) / (n[kind == k].sum() + 2) for k in range(len(KINDS))])
+        prior = np.array([(n[group == g] @ post[group == g] + 1) / (n[group == g].sum() + 2) for g in range(2 * len(KINDS))])
         prior = np.clip(prior, 0.02, 0.98)
-    x = np.array([_features(*k) for k in keys]).reshape(-1, 1 + len(KINDS) + 2 * N_LABELERS)
+    x = np.array([_features(*k) for k in keys]).reshape(-1, N_FEATURES)
     w = np.zeros(x.shape[1])
     total = max(1.0, n.sum())
     for _ in range(300):  # damped Newton steps on the weighted log loss with an L2 penalty
@@ -213,7 +272,7 @@ def learn(patterns: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50) ->
 
 
 def count_votes(docs: DataFrame) -> dict[tuple[int, tuple[int, ...]], int]:
-    """How often each vote pattern occurs in all documents: at most 4 * 3^6 patterns."""
+    """How often each pattern of votes and shape occurs in all documents: at most 576 * 108 patterns a kind, some hundreds in practice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -221,7 +280,7 @@ def count_votes(docs: DataFrame) -> dict[tuple[int, tuple[int, ...]], int]:
             for text in pdf["text"]:
                 base = base_spans(text)
                 for strict, spans in ((True, base), (False, loose_spans(text, base))):
-                    found.update((k, *votes(text, k, s, e, strict)) for k, s, e in spans)
+                    found.update((k, *described(text, k, s, e, strict)) for k, s, e in spans)
         yield pd.DataFrame([(",".join(map(str, p)), n) for p, n in found.items()], columns=["pattern", "n"]).astype({"pattern": str, "n": "int64"})
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()
@@ -232,7 +291,7 @@ def count_votes(docs: DataFrame) -> dict[tuple[int, tuple[int, ...]], int]:
 def all_spans(text: str, model: SpanModel, least: float = 0.9) -> tuple[list, list]:
     """The base spans, and these with the likely candidates, each by kind and start."""
     base = base_spans(text)
-    added = [c for c in loose_spans(text, base) if model.probability(c[0], votes(text, *c, False)) >= least]
+    added = [c for c in loose_spans(text, base) if model.probability(c[0], described(text, *c, False)) >= least]
     return base, sorted(base + added)
 
 
