@@ -334,7 +334,12 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
-    """`docs` with personal data masked in text, all columns kept; a null text stays null, an empty table empty."""
+    """`docs` with personal data masked in text, all columns kept.
+
+    A null text stays null, an empty one empty; a very long text is masked
+    whole. Repeated rows and null ids are rows like any other, an empty table
+    gives an empty one. Further columns stay as they are.
+    """
     model = learn(count_votes(docs))
 
     @F.pandas_udf("string")
