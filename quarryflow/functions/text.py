@@ -63,9 +63,17 @@ def stable_id(doi: Column | str, title: Column | str) -> Column:
 
 
 def slugify(x: Column | str, most: int = 80) -> Column:
-    slug = F.regexp_replace(text_or_empty(x), SLUG_BREAK, "-")
+    """Runs of other characters as hyphens, none at the ends, lower case, at most `most` characters; `item` if nothing is left.
+
+    Each kept character gives one of the slug, so no more of a text is rewritten than what holds `most`
+    of them, however far apart they are.
+    """
+    kept, gap = "[" + SLUG_BREAK[2:-1], SLUG_BREAK[:-1] + "*+"
+    told = F.regexp_extract(text_or_empty(x), f"^{gap}(?:{kept}{gap}){{0,{most}}}+", 0)
+    slug = F.regexp_replace(told, SLUG_BREAK, "-")
     slug = F.substring(F.lower(F.regexp_replace(slug, r"^-+|-+$", "")), 1, most)
-    return F.when(slug == "", F.lit("item")).otherwise(slug)
+    # one expression: a CASE evaluates the slug once for its condition and once for its value
+    return F.regexp_replace(slug, "^$", "item")
 
 
 def paper_link(doi: Column, semantic_url: Column, crossref_url: Column) -> Column:

@@ -1,6 +1,8 @@
 """Record operators on small cases: merging, screening, judging, state, feedback, sources."""
 
 import json
+import re
+import time
 
 import pandas as pd
 import pytest
@@ -45,6 +47,28 @@ def test_identifiers(spark):
         assert one(spark, X.api_base(F.lit(url))) == "https://a.b/v1"
 
 
+def test_slugs_of_long_texts_and_far_apart_characters(spark):
+    far = "\n".join([" é🙂\u2028" * 30_000, "Ab", "-" * 70_000, "c知", "?" * 50_000])
+    texts = [None, "", "a", "-a-", far, far * 50, "x" * 79 + " y", "x" * 78 + " y z", "x" * 80 + "-", "x" * 200, "a\n\n", "知 识\t" * 60, "É" * 300]
+    texts += [f"{'é' * (i % 4)}{'Word, ' * i}{'-' * (i % 3)}" for i in range(40)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.slugify("t").alias("s"), X.slugify("t", 3).alias("three"))
+    for r in got.collect():
+        whole = re.sub("^-+|-+$", "", re.sub(X.SLUG_BREAK, "-", texts[r.i] or "")).lower()
+        assert (r.s, r.three) == (whole[:80] or "item", whole[:3] or "item"), r.i
+
+
+def test_a_slug_costs_less_than_its_text(spark):
+    texts = spark.range(0, 24, 1, 4).select(F.repeat(F.concat_ws(", ", F.col("id"), F.lit("some words of a long text")), 10_000).alias("t")).localCheckpoint()
+
+    def seconds(c):
+        start = time.perf_counter()
+        texts.agg(F.max(c)).collect()
+        return time.perf_counter() - start
+
+    rewritten, slug = ([seconds(c) for _ in range(3)] for c in (F.regexp_replace("t", X.SLUG_BREAK, "-"), X.slugify("t")))
+    assert min(slug) < min(rewritten) / 2
+
+
 def test_markup_and_dates(spark):
     assert one(spark, X.strip_markup(F.lit("<p>a&amp;quot;<b>b</b>&nbsp; c</p>"))) == "a&quot; b c"
     assert one(spark, X.strip_abstract_label(F.lit("Abstract. Text"))) == "Text"
