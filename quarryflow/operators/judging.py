@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,14 @@ FALLBACK_REASON = "Keyword recall only; enable LLM Judge for a research rational
 JUDGMENT_SCHEMA = "relevance_score int, " + ", ".join(f"{f} string" for f in TEXT_FIELDS) + ", " + ", ".join(f"{f} array<string>" for f in LIST_FIELDS)
 
 
+#: The schemas of variants with these fields, strictly typed; an empty list has no type of its own.
+_SHAPES = [
+    f"OBJECT<{', '.join(f'{f}: {kinds[f]}' for f in sorted(FIELDS))}>"
+    for lists in product(("ARRAY<STRING>", "ARRAY<VOID>"), repeat=len(LIST_FIELDS))
+    for kinds in [dict.fromkeys(TEXT_FIELDS, "STRING") | {"relevance_score": "BIGINT"} | dict(zip(LIST_FIELDS, lists, strict=True))]
+]
+
+
 def fallback(tier: Column, matched: Column) -> Column:
     """The judgment that a keyword tier alone supports, as a struct."""
 
@@ -44,33 +53,30 @@ def fallback(tier: Column, matched: Column) -> Column:
     return F.struct(*[known.get(f, F.lit("")).alias(f) for f in FIELDS])
 
 
-def judgment_object(raw: Column) -> Column:
-    """The outermost {...} of a response, code fences aside, as a variant; null if there is none."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(text_or_empty(raw), r"(?s)\{.*\}", 0), F.lit("")))
-
-
 def valid_judgment(raw: Column, projects: list[str] | None = None) -> Column:
     """Whether a response holds exactly the fields, strictly typed, with a score in its priority's band.
 
-    Types come from the variant's own schema, because reading a value as an int
-    would accept true and 9.5.
+    The outermost {...} counts, code fences aside. Types come from the variant's own schema, because reading a value as an int
+    would accept true and 9.5. A response is searched and parsed once: lambdas bind
+    what would otherwise be parsed anew for every field.
     """
     body = F.nullif(F.regexp_extract(text_or_empty(raw), r"(?s)\{.*\}", 0), F.lit(""))
-    v = judgment_object(raw)
+    return _bound(body, lambda b: _bound(F.try_parse_json(b), lambda v: _is_judgment(b, v, projects)))
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is evaluated once, however often it is read."""
+    return F.get(F.transform(F.array(value), then), 0)
 
-    def kind(field: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
+def _is_judgment(body: Column, v: Column, projects: list[str] | None) -> Column:
     def text(field: str) -> Column:
         return F.try_variant_get(v, f"$.{field}", "string")
 
     score = F.try_variant_get(v, "$.relevance_score", "bigint")
-    ok = v.isNotNull() & (F.array_sort(F.json_object_keys(body)) == F.array(*map(F.lit, sorted(FIELDS))))
-    ok = ok & (kind("relevance_score") == "BIGINT") & score.between(0, 100)
-    for f in TEXT_FIELDS:
-        ok = ok & (kind(f) == "STRING")
+    ok = v.isNotNull() & (F.sort_array(F.json_object_keys(body)) == F.array(*map(F.lit, sorted(FIELDS))))
+    ok = ok & F.schema_of_variant(v).isin(*_SHAPES) & score.between(0, 100)
     for f in LIST_FIELDS:
-        ok = ok & kind(f).isin("ARRAY<STRING>", "ARRAY<VOID>")
         ok = ok & ~F.coalesce(F.exists(F.try_variant_get(v, f"$.{f}", "array<string>"), lambda x: x.isNull()), F.lit(False))
     band = F.lit(False)
     for p, (lo, hi) in BANDS.items():

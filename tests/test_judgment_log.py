@@ -1,7 +1,10 @@
 """Judgments that outlive a run: the log of answers, killed runs, repeated tasks, reminders."""
 
+import contextlib
+import io
 import json
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -9,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarryflow.operators import judging
+from quarryflow.operators import judging, judgment_log
 from quarryflow.operators.judgment_log import _answered_before, _put_down, fold_log, judge_durably, judgments_of, read_log
 
 GOOD = json.dumps({f: [] if f in judging.LIST_FIELDS else "" for f in judging.FIELDS} | {"relevance_score": 90, "priority": "A", "recommended_action": "save"})
@@ -92,3 +95,26 @@ def test_an_empty_demand_and_answers_given_twice(spark, tmp_path):
     got = {r.stable_id: r for r in fold_log(log, "r").collect()}
     assert got["s"].found is None and got["s"].tries == ["no", ""]
     assert got["t"].found.run == "r"
+
+
+def test_a_run_reads_what_others_answered_once(spark, tmp_path, monkeypatch):
+    read = []
+    monkeypatch.setattr(judgment_log, "read_log", lambda s, folder, *a: (read.append(folder.rpartition("/log")[2]), read_log(s, folder, *a))[1])
+    log, folder = str(tmp_path / "log"), tmp_path / "asked"
+    folder.mkdir()
+    judge_durably(demand(spark, 4), recording(folder, lambda t: GOOD), F.col("title"), log, "a")
+    read.clear()
+    # s7 needs a second answer, s8 gets no sound one
+    answer = lambda t: "no" if t[0]["content"] == "text 8" or t[0]["content"] == "text 7" and len(t) == 1 else GOOD
+    got = {r.stable_id: r for r in judge_durably(demand(spark, 9), recording(folder, answer), F.col("title"), log, "b").collect()}
+    assert read == ["", "/run=b", "/run=b"]
+    assert [got[f"s{i}"].judge_checkpoint for i in range(9)] == ["reused"] * 4 + ["completed"] * 4 + ["failed-fallback"]
+    assert json.loads(got["s8"].raw_response) == ["no", "no"] and got["s7"].raw_response == GOOD
+    assert asked(folder) == sorted([f"text {i}" for i in range(9)] + ["text 7", "text 8"])
+
+
+def test_an_answer_is_parsed_once(spark):
+    answers = spark.range(1).select(F.concat(F.lit(GOOD), F.col("id")).alias("a"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        answers.select(judging.valid_judgment(F.col("a"), [])).explain()
+    assert len(re.findall("parseJson", out.getvalue())) == 1, out.getvalue()
